@@ -1,0 +1,18 @@
+"""Join helpers: broadcast only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DIMENSION_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast only if the table has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows; beyond the bound the table is
+    returned unhinted and Catalyst/AQE pick a shuffle join from statistics.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
