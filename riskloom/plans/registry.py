@@ -205,3 +205,74 @@ def q_distance_gap(spark, sf_dir):
           + " ORDER BY fraud_rate DESC, Transaction_Location DESC LIMIT 15")
 def q_top_locations(spark, sf_dir):
     return A.top_locations(A.rate_by(mf(spark, sf_dir), "Transaction_Location"))
+
+
+# ── features, encoding, imputation ───────────────────────────────────────────
+
+from riskloom.operators import encode as EN  # noqa: E402
+from riskloom.operators import features as FT  # noqa: E402
+from riskloom.operators import train as TR  # noqa: E402
+from riskloom.plans.features_sql import FEATURE_CTES  # noqa: E402
+from riskloom.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES  # noqa: E402
+
+
+def _r6(c: str, doubles=FT.DOUBLE_FEATURES):
+    return F.round(F.col(c), 6).alias(c) if c in doubles else F.col(c)
+
+
+def _r6_sql(c: str, doubles=FT.DOUBLE_FEATURES) -> str:
+    return f"round({c}, 6) AS {c}" if c in doubles else c
+
+
+def _feature_query(cols):
+    def q(spark, sf_dir):
+        fe = FT.engineer_features(tx(spark, sf_dir))
+        return fe.select("Transaction_ID", *[_r6(c) for c in cols])
+    return q
+
+
+for _name, _cols in (("features_temporal", FT.TEMPORAL), ("features_ratio", FT.RATIOS),
+                     ("features_flags", FT.FLAGS), ("features_interaction", FT.INTERACTIONS)):
+    register(_name, S.with_ctes(
+        f"SELECT Transaction_ID, {', '.join(_r6_sql(c) for c in _cols)} FROM fe",
+        *FEATURE_CTES))(_feature_query(_cols))
+
+
+_CODES_SQL = ("SELECT \"column\", value, CAST(row_number() OVER (PARTITION BY \"column\" "
+              "ORDER BY value) - 1 AS INTEGER) AS code FROM (" + " UNION ".join(
+                  f"SELECT '{c}' AS \"column\", coalesce(CAST({c} AS VARCHAR), 'Unknown') AS value "
+                  f"FROM tx UNION SELECT '{c}', 'Unknown'" for c in CATEGORICAL_FEATURES) + ") u")
+
+
+@register("category_codes", S.with_ctes(_CODES_SQL))
+def q_category_codes(spark, sf_dir):
+    return EN.fit_category_codes(tx(spark, sf_dir))
+
+
+@register("encoded_categories", S.with_ctes(
+    "SELECT Transaction_ID, " + ", ".join(
+        f"(SELECT code FROM codes WHERE \"column\" = '{c}' AND value = "
+        f"coalesce(CAST(tx.{c} AS VARCHAR), 'Unknown')) AS {c}" for c in CATEGORICAL_FEATURES)
+    + " FROM tx", ("codes", _CODES_SQL)))
+def q_encoded_categories(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    enc = EN.collect_codes(EN.fit_category_codes(t))
+    return EN.apply_category_codes(t.select("Transaction_ID", *CATEGORICAL_FEATURES), enc)
+
+
+@register("imputed_medians", S.with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median FROM fe"
+    for c in NUMERIC_FEATURES), *FEATURE_CTES))
+def q_imputed_medians(spark, sf_dir):
+    m = EN.fit_medians(FT.feature_frame(tx(spark, sf_dir)), NUMERIC_FEATURES)
+    return m.select("feature", F.round("median", 6).alias("median"))
+
+
+@register("class_weights", S.with_ctes("""
+SELECT label, count(*) AS n,
+  round(CAST(sum(count(*)) OVER () AS DOUBLE) / (2 * count(*)), 6) AS weight
+FROM (SELECT CASE WHEN Fraud_Label = 'Fraud' THEN 1 ELSE 0 END AS label FROM tx) t
+GROUP BY label"""))
+def q_class_weights(spark, sf_dir):
+    w = TR.class_weights(tx(spark, sf_dir).select(EN.label().alias("label")))
+    return w.select("label", "n", F.round("weight", 6).alias("weight"))
