@@ -276,3 +276,195 @@ GROUP BY label"""))
 def q_class_weights(spark, sf_dir):
     w = TR.class_weights(tx(spark, sf_dir).select(EN.label().alias("label")))
     return w.select("label", "n", F.round("weight", 6).alias("weight"))
+
+
+# ── evaluation on the surrogate score ────────────────────────────────────────
+
+from riskloom.operators import evaluate as EV  # noqa: E402
+from riskloom.schema import THRESHOLD_GRID  # noqa: E402
+from riskloom.sources.transactions import surrogate_predictions  # noqa: E402
+
+
+def preds(spark, sf_dir):
+    return surrogate_predictions(tx(spark, sf_dir))
+
+
+_PR = ("pr", "SELECT 'surrogate' AS model, Transaction_ID, label, p FROM sc")
+_SC = ("sc", S.SC_SQL)
+
+
+def _ev_sql(body: str, *ctes) -> str:
+    return S.with_ctes(body, _SC, _PR, *ctes)
+
+
+_GRID_VALUES = ", ".join(f"({t!r}::DOUBLE)" for t in THRESHOLD_GRID)
+_RAW_VALUES = ", ".join(f"({t!r}::DOUBLE)" for t in EV.RAW_GRID)
+_GRID = ("grid", f"SELECT * FROM (VALUES {_GRID_VALUES}) v(threshold)")
+_COUNTS_SQL = """SELECT model, threshold, count_if(label = 1 AND p >= threshold) AS tp,
+   count_if(label = 0 AND p >= threshold) AS fp, count_if(label = 0 AND p < threshold) AS tn,
+   count_if(label = 1 AND p < threshold) AS fn FROM pr, {g} GROUP BY model, threshold"""
+_F1_SQL = "CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END"
+_SWEEP_SQL = f"""SELECT model, threshold, tp, fp, tn, fn,
+   round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END, 4) AS precision,
+   round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END, 4) AS recall,
+   round({_F1_SQL}, 4) AS f1 FROM counts"""
+_SWEEP_CTES = (_GRID, ("counts", _COUNTS_SQL.format(g="grid")), ("sweep", _SWEEP_SQL))
+_OPT_SQL = f"""SELECT a.model, a.optimal_f1_threshold, c.optimal_cost_threshold, r.opt_thresh_raw,
+   round(r.opt_thresh_raw, 2) AS opt_thresh
+ FROM (SELECT DISTINCT ON (model) model, threshold AS optimal_f1_threshold FROM sweep
+       ORDER BY model, f1 DESC, threshold) a
+ JOIN (SELECT DISTINCT ON (model) model, threshold AS optimal_cost_threshold FROM sweep
+       ORDER BY model, 5.0::DOUBLE * fn + 0.1::DOUBLE * fp, threshold) c USING (model)
+ JOIN (SELECT DISTINCT ON (model) model, threshold AS opt_thresh_raw FROM rawcounts
+       ORDER BY model, {_F1_SQL} DESC, threshold) r USING (model)"""
+_OPT_CTES = (*_SWEEP_CTES, ("rawgrid", f"SELECT * FROM (VALUES {_RAW_VALUES}) v(threshold)"),
+             ("rawcounts", _COUNTS_SQL.format(g="rawgrid")), ("optima", _OPT_SQL))
+
+
+@register("confusion", _ev_sql("""
+SELECT model, '0.5' AS at, 0.5::DOUBLE AS threshold,
+  count_if(label = 1 AND p >= 0.5) AS tp, count_if(label = 0 AND p >= 0.5) AS fp,
+  count_if(label = 1 AND p < 0.5) AS fn, count_if(label = 0 AND p < 0.5) AS tn
+FROM pr GROUP BY model
+UNION ALL
+SELECT pr.model, 'optimal', o.opt_thresh,
+  count_if(label = 1 AND p >= o.opt_thresh_raw), count_if(label = 0 AND p >= o.opt_thresh_raw),
+  count_if(label = 1 AND p < o.opt_thresh_raw), count_if(label = 0 AND p < o.opt_thresh_raw)
+FROM pr JOIN optima o USING (model) GROUP BY pr.model, o.opt_thresh""", *_OPT_CTES))
+def q_confusion(spark, sf_dir):
+    pr = preds(spark, sf_dir)
+    at05 = EV.confusion(pr, 0.5).select("model", F.lit("0.5").alias("at"),
+                                        F.lit(0.5).alias("threshold"), "tp", "fp", "fn", "tn")
+    opt = EV.threshold_optima(pr).select("model", F.col("opt_thresh_raw").alias("threshold"),
+                                         "opt_thresh")
+    c = EV.confusion_at(pr, opt.select("model", "threshold"))
+    c = c.join(opt.select("model", "opt_thresh"), "model").select(
+        "model", F.lit("optimal").alias("at"), F.col("opt_thresh").alias("threshold"),
+        "tp", "fp", "fn", "tn")
+    return at05.unionByName(c)
+
+
+_REPORT_SQL = _ev_sql("""
+SELECT model, class, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, support FROM (
+ SELECT model, '0' AS class, z(tn, tn + fn) AS precision, z(tn, tn + fp) AS recall,
+        z(2 * tn, 2 * tn + fn + fp) AS f1, tn + fp AS support FROM c
+ UNION ALL SELECT model, '1', z(tp, tp + fp), z(tp, tp + fn), z(2 * tp, 2 * tp + fp + fn), tp + fn FROM c
+ UNION ALL SELECT model, 'accuracy', NULL, NULL, z(tp + tn, n), n FROM c
+ UNION ALL SELECT model, 'macro avg', (z(tn, tn + fn) + z(tp, tp + fp)) / 2,
+        (z(tn, tn + fp) + z(tp, tp + fn)) / 2,
+        (z(2 * tn, 2 * tn + fn + fp) + z(2 * tp, 2 * tp + fp + fn)) / 2, n FROM c
+ UNION ALL SELECT model, 'weighted avg',
+        z(tn, tn + fn) * z(tn + fp, n) + z(tp, tp + fp) * z(tp + fn, n),
+        z(tn, tn + fp) * z(tn + fp, n) + z(tp, tp + fn) * z(tp + fn, n),
+        z(2 * tn, 2 * tn + fn + fp) * z(tn + fp, n) + z(2 * tp, 2 * tp + fp + fn) * z(tp + fn, n), n
+ FROM c) r""", ("c", """SELECT model, count_if(label = 1 AND p >= 0.5) AS tp,
+  count_if(label = 0 AND p >= 0.5) AS fp, count_if(label = 1 AND p < 0.5) AS fn,
+  count_if(label = 0 AND p < 0.5) AS tn, count(*) AS n FROM pr GROUP BY model"""))
+_REPORT_SQL = ("CREATE OR REPLACE TEMP MACRO z(a, b) AS "
+               "CASE WHEN b > 0 THEN CAST(a AS DOUBLE) / b ELSE 0.0 END; " + _REPORT_SQL)
+
+
+@register("class_report", _REPORT_SQL)
+def q_class_report(spark, sf_dir):
+    return EV.class_report(EV.confusion(preds(spark, sf_dir), 0.5))
+
+
+_STEPS = ("steps", """SELECT model, p, sum(label) AS pos, count(*) - sum(label) AS neg,
+  sum(sum(label)) OVER w AS cum_pos, sum(count(*) - sum(label)) OVER w AS cum_neg,
+  row_number() OVER w AS cum_one,
+  lead(sum(label)) OVER w AS next_pos, lead(count(*) - sum(label)) OVER w AS next_neg
+  FROM pr GROUP BY model, p
+  WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+_RANK_SQL = _ev_sql("""SELECT model,
+  CAST(2 * sum(neg) * sum(pos) - sum(pos * (2 * cum_neg - neg)) AS DOUBLE)
+    / CAST(2 * sum(neg) * sum(pos) AS DOUBLE) AS roc_auc,
+  sum(pos * (CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg))) / CAST(sum(pos) AS DOUBLE) AS average_precision
+FROM steps GROUP BY model""", _STEPS)
+
+
+@register("roc_auc", f"SELECT model, round(roc_auc, 10) AS roc_auc FROM ({_RANK_SQL})")
+def q_roc_auc(spark, sf_dir):
+    m = EV.rank_metrics(EV.score_steps(preds(spark, sf_dir)))
+    return m.select("model", F.round("roc_auc", 10).alias("roc_auc"))
+
+
+@register("average_precision",
+          f"SELECT model, round(average_precision, 10) AS average_precision FROM ({_RANK_SQL})")
+def q_average_precision(spark, sf_dir):
+    m = EV.rank_metrics(EV.score_steps(preds(spark, sf_dir)))
+    return m.select("model", F.round("average_precision", 10).alias("average_precision"))
+
+
+@register("brier", _ev_sql(
+    "SELECT model, round(avg(power(p - label, 2)), 4) AS brier FROM pr GROUP BY model"))
+def q_brier(spark, sf_dir):
+    return EV.brier(preds(spark, sf_dir))
+
+
+def _targets_sql(src: str) -> str:
+    return (f"SELECT DISTINCT model, CAST(round_even(i * CASE WHEN least(n, 200) > 1 THEN "
+            f"CAST(n - 1 AS DOUBLE) / (least(n, 200) - 1) ELSE 0.0 END, 0) AS BIGINT) AS idx "
+            f"FROM {src}, range(200) r(i) WHERE i < least(n, 200)")
+
+
+_ROC_SQL = _ev_sql(
+    "SELECT curve.* FROM curve JOIN tg USING (model, idx)", _STEPS,
+    ("kept", "SELECT * FROM steps WHERE cum_one = 1 OR next_pos IS NULL OR next_pos <> pos "
+             "OR next_neg <> neg"),
+    ("tot", "SELECT model, sum(pos) AS n_pos, sum(neg) AS n_neg FROM steps GROUP BY model"),
+    ("curve", """SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY p DESC) AS BIGINT) AS idx,
+        round(CAST(cum_neg AS DOUBLE) / n_neg, 6) AS fpr, round(CAST(cum_pos AS DOUBLE) / n_pos, 6) AS tpr,
+        p AS threshold FROM kept JOIN tot USING (model)
+      UNION ALL SELECT model, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE FROM tot"""),
+    ("lens", "SELECT model, count(*) AS n FROM curve GROUP BY model"),
+    ("tg", _targets_sql("lens")))
+
+
+@register("roc_curve", _ROC_SQL)
+def q_roc_curve(spark, sf_dir):
+    return EV.roc_curve(EV.score_steps(preds(spark, sf_dir)))
+
+
+_PRC_SQL = _ev_sql(
+    "SELECT curve.* FROM curve JOIN tg USING (model, idx)", _STEPS,
+    ("tot", "SELECT model, sum(pos) AS n_pos, count(*) AS m FROM steps GROUP BY model"),
+    ("curve", """SELECT model, CAST(m - cum_one AS BIGINT) AS idx,
+        round(CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg), 6) AS precision,
+        round(CASE WHEN n_pos = 0 THEN 1.0 ELSE CAST(cum_pos AS DOUBLE) / n_pos END, 6) AS recall,
+        p AS threshold FROM steps JOIN tot USING (model)
+      UNION ALL SELECT model, CAST(m AS BIGINT), 1.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE FROM tot"""),
+    ("lens", "SELECT model, m + 1 AS n FROM tot"),
+    ("tg", _targets_sql("lens")))
+
+
+@register("pr_curve", _PRC_SQL)
+def q_pr_curve(spark, sf_dir):
+    return EV.pr_curve(EV.score_steps(preds(spark, sf_dir)))
+
+
+@register("threshold_sweep", _ev_sql("SELECT * FROM sweep", *_SWEEP_CTES))
+def q_threshold_sweep(spark, sf_dir):
+    return EV.threshold_sweep(preds(spark, sf_dir))
+
+
+@register("threshold_optima", _ev_sql("SELECT * FROM optima", *_OPT_CTES))
+def q_threshold_optima(spark, sf_dir):
+    return EV.threshold_optima(preds(spark, sf_dir))
+
+
+@register("nearest_threshold", _ev_sql(
+    "SELECT DISTINCT ON (model) * FROM sweep ORDER BY model, abs(threshold - 0.4::DOUBLE), threshold",
+    *_SWEEP_CTES))
+def q_nearest_threshold(spark, sf_dir):
+    return EV.nearest_threshold(EV.threshold_sweep(preds(spark, sf_dir)), 0.40)
+
+
+_CAL_BIN = " + ".join(f"CAST(p > {e!r}::DOUBLE AS INTEGER)" for e in EV.CALIBRATION_EDGES)
+
+
+@register("calibration", _ev_sql(f"""
+SELECT model, {_CAL_BIN} AS bin, count(*) AS count, round(avg(p), 6) AS prob_pred,
+  round(avg(CAST(label AS DOUBLE)), 6) AS prob_true FROM pr GROUP BY ALL"""))
+def q_calibration(spark, sf_dir):
+    return EV.calibration(preds(spark, sf_dir))
