@@ -468,3 +468,154 @@ SELECT model, {_CAL_BIN} AS bin, count(*) AS count, round(avg(p), 6) AS prob_pre
   round(avg(CAST(label AS DOUBLE)), 6) AS prob_true FROM pr GROUP BY ALL"""))
 def q_calibration(spark, sf_dir):
     return EV.calibration(preds(spark, sf_dir))
+
+
+# ── scoring and rule engine on the surrogate score ───────────────────────────
+
+from riskloom.functions.numbers import py_round, py_round_sql  # noqa: E402
+from riskloom.operators import rules as RU  # noqa: E402
+from riskloom.schema import THRESHOLD_FLOOR  # noqa: E402
+from riskloom.sources.requests import requests_from_transactions  # noqa: E402
+from riskloom.sources.transactions import surrogate_score  # noqa: E402
+
+
+def serving_threshold(pr: DataFrame) -> float:
+    """Floored F1-optimal threshold of the (single-model) predictions."""
+    return max(EV.threshold_optima(pr).first()["optimal_f1_threshold"], THRESHOLD_FLOOR)
+
+
+def scored(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    thr = serving_threshold(surrogate_predictions(t))
+    return RU.score(requests_from_transactions(surrogate_score(t), keep=("p",)), thr)
+
+
+_REQ_SQL = """SELECT tx.Transaction_ID, Transaction_Amount AS amount, Account_Balance AS balance,
+  Distance_From_Home AS distance, Transaction_Time AS tx_time, Transaction_Type AS tx_type,
+  Merchant_Category AS merchant_cat, Card_Type AS card_type, Transaction_Location AS tx_location,
+  Customer_Home_Location AS home_loc, Daily_Transaction_Count AS daily_tx,
+  Weekly_Transaction_Count AS weekly_tx, Avg_Transaction_Amount AS avg_amount,
+  Max_Transaction_Last_24h AS max_24h, Failed_Transaction_Count AS failed,
+  Previous_Fraud_Count AS prev_fraud, Is_International_Transaction AS is_intl,
+  Is_New_Merchant AS is_new, Unusual_Time_Transaction AS unusual"""
+_RANK = "(CASE {x} WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END)"
+_UNRANK = "(CASE WHEN {x} >= 2 THEN 'HIGH' WHEN {x} = 1 THEN 'MEDIUM' ELSE 'LOW' END)"
+
+
+def _b(cond: str, default: str = "false") -> str:
+    return f"coalesce({cond}, {default})"
+
+
+_POINTS = " + ".join(f"(CASE WHEN {c} THEN {v!r}::DOUBLE ELSE 0.0::DOUBLE END)" for c, v in (
+    ("prior", RU.POINTS_PRIOR_FRAUD), ("card_test", RU.POINTS_FAILED),
+    ("intl", RU.POINTS_INTERNATIONAL), ("new_m", RU.POINTS_NEW_MERCHANT)))
+_POINTS += (f" + (CASE WHEN far THEN {RU.POINTS_FAR!r}::DOUBLE WHEN mid THEN {RU.POINTS_MID!r}::DOUBLE "
+            f"ELSE 0.0::DOUBLE END) + " + " + ".join(
+                f"(CASE WHEN {c} THEN {v!r}::DOUBLE ELSE 0.0::DOUBLE END)" for c, v in (
+                    ("unu", RU.POINTS_UNUSUAL), ("moved", RU.POINTS_MISMATCH),
+                    ("intl AND new_m", RU.BONUS_INTL_NEW), ("prior AND intl", RU.BONUS_PRIOR_INTL),
+                    ("prior AND card_test", RU.BONUS_PRIOR_FAILED))))
+_DIST_TXT = "printf('%,d', CAST(trunc(distance) AS BIGINT))"
+_SCORE_CTES = (
+    *_OPT_CTES,
+    ("thr", "SELECT greatest(optimal_f1_threshold, 0.05::DOUBLE) AS t FROM optima"),
+    ("req", _REQ_SQL + ", sc.p FROM tx JOIN sc USING (Transaction_ID)"),
+    ("s0", f"""SELECT req.*, thr.t, {py_round_sql('thr.t * 0.5', 4)} AS mt,
+        {_b('prev_fraud > 0')} AS prior, {_b('failed >= 2')} AS card_test,
+        {_b("is_intl = 'Yes'")} AS intl, {_b("is_new = 'Yes'")} AS new_m,
+        {_b("unusual = 'Yes'")} AS unu, {_b('distance > 2000')} AS far,
+        {_b('distance > 500')} AS mid, {_b('distance > 5000')} AS very_far,
+        {_b('tx_location <> home_loc', 'true')} AS moved FROM req, thr"""),
+    ("s1", f"""SELECT *, CASE WHEN p >= t THEN 'HIGH' WHEN p >= mt THEN 'MEDIUM' ELSE 'LOW' END AS ml_tier,
+        CAST(prior AS INTEGER) + CAST(card_test AS INTEGER) + CAST(intl AS INTEGER)
+          + CAST(new_m AS INTEGER) + CAST(far AS INTEGER) + CAST(unu AS INTEGER) AS critical_flags,
+        {_POINTS} AS rule_points,
+        least(60.0::DOUBLE, (p / greatest(t, 1e-9::DOUBLE)) * 60.0::DOUBLE) AS ml_component FROM s0"""),
+    ("s2", f"""SELECT *,
+        CASE WHEN prior AND card_test AND intl THEN '{RU.RULE_01_TEXT}'
+             WHEN very_far AND intl AND new_m THEN 'RULE_02: extreme displacement (' || {_DIST_TXT}
+                  || ' km) + international + new merchant'
+             WHEN critical_flags >= 5 THEN 'RULE_03: ' || critical_flags || '/6 critical risk signals simultaneously active'
+             WHEN critical_flags >= 4 AND ml_tier = 'LOW' THEN 'RULE_04: ' || critical_flags
+                  || '/6 critical risk signals — elevated for review' END AS rule_id,
+        CASE WHEN (prior AND card_test AND intl) OR (very_far AND intl AND new_m) OR critical_flags >= 5 THEN 2
+             WHEN critical_flags >= 4 AND ml_tier = 'LOW' THEN 1 ELSE 0 END AS override,
+        least(40.0::DOUBLE, rule_points) AS rule_component FROM s1"""),
+    ("s3", f"""SELECT *, {_UNRANK.format(x=f"greatest({_RANK.format(x='ml_tier')}, override)")} AS rule_tier,
+        {py_round_sql('ml_component + rule_component', 1)} AS risk_score FROM s2"""),
+    ("s4", """SELECT *, CASE WHEN risk_score >= 70 THEN 'HIGH' WHEN risk_score >= 35 THEN 'MEDIUM'
+        ELSE 'LOW' END AS score_tier FROM s3"""),
+    ("scored", f"""SELECT *, {_UNRANK.format(x=f"greatest({_RANK.format(x='score_tier')}, {_RANK.format(x='rule_tier')})")} AS tier,
+        printf('%.1f%%', risk_score) AS risk_score_pct,
+        printf('%.1f%%', {py_round_sql('p * 100', 1)}) AS ml_probability_pct FROM s4"""),
+)
+
+
+def _score_sql(cols: str) -> str:
+    return _ev_sql(f"SELECT {cols} FROM scored", *_SCORE_CTES)
+
+
+@register("model_tier", _score_sql("Transaction_ID, p, ml_tier"))
+def q_model_tier(spark, sf_dir):
+    return scored(spark, sf_dir).select("Transaction_ID", "p", "ml_tier")
+
+
+@register("rule_chain", _score_sql("Transaction_ID, critical_flags, rule_id, rule_tier"))
+def q_rule_chain(spark, sf_dir):
+    return scored(spark, sf_dir).select("Transaction_ID", "critical_flags", "rule_id", "rule_tier")
+
+
+@register("rule_points", _score_sql("Transaction_ID, rule_points, rule_component"))
+def q_rule_points(spark, sf_dir):
+    return scored(spark, sf_dir).select("Transaction_ID", "rule_points", "rule_component")
+
+
+@register("risk_score", _score_sql(
+    f"Transaction_ID, {py_round_sql('ml_component', 6)} AS ml_component, risk_score, score_tier, "
+    "tier, risk_score_pct, ml_probability_pct"))
+def q_risk_score(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return s.select("Transaction_ID", py_round(F.col("ml_component"), 6).alias("ml_component"),
+                    "risk_score", "score_tier", "tier", "risk_score_pct", "ml_probability_pct")
+
+
+@register("decision_trace", _score_sql(
+    f"Transaction_ID, {py_round_sql('p', 6)} AS ml_probability, ml_tier, t AS optimal_f1_threshold, "
+    "mt AS medium_threshold, rule_id IS NOT NULL AS fired, rule_id, rule_tier AS tier_override, "
+    f"critical_flags AS critical_flags_active, {py_round_sql('ml_component', 2)} AS ml_component, "
+    f"{py_round_sql('rule_component', 2)} AS rule_component, risk_score AS total, tier AS final_tier"))
+def q_decision_trace(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    tr = s.select("Transaction_ID", RU.decision_trace(s).alias("t"))
+    return tr.select("Transaction_ID", "t.ml_probability", "t.ml_tier", "t.optimal_f1_threshold",
+                     "t.medium_threshold", "t.rule_engine.fired", "t.rule_engine.rule_id",
+                     "t.rule_engine.tier_override", "t.rule_engine.critical_flags_active",
+                     "t.composite.ml_component", "t.composite.rule_component", "t.composite.total",
+                     "t.final_tier")
+
+
+_FLAG_ROWS = [
+    ("intl", "international", f"'{RU.FLAG_INTERNATIONAL}'"),
+    ("new_m", "new_merchant", f"'{RU.FLAG_NEW_MERCHANT}'"),
+    ("unu", "unusual_time", f"'{RU.FLAG_UNUSUAL}'"),
+    ("moved", "location_mismatch", "printf('Location mismatch: %s vs home %s', tx_location, home_loc)"),
+    (_b("distance > 400"), "distance", f"{_DIST_TXT} || ' km from home'"),
+    (_b("failed > 0"), "failed", "printf('%d failed transaction(s) in session', failed)"),
+    (_b("prev_fraud > 0"), "prior_fraud", "printf('Prior fraud history: %d incident(s)', prev_fraud)"),
+    (_b("avg_amount > 0 AND amount > avg_amount * 2"), "amount_spike",
+     "'Amount spike: $' || printf('%,d', CAST(round_even(amount, 0) AS BIGINT)) || ' vs avg $' || "
+     "printf('%,d', CAST(round_even(avg_amount, 0) AS BIGINT)) || ' (' || "
+     f"printf('%.1f', {py_round_sql('amount / avg_amount', 1)}) || '×)'"),
+]
+_FLAGS_SQL = _ev_sql(
+    "SELECT Transaction_ID, CAST(row_number() OVER (PARTITION BY Transaction_ID ORDER BY o) - 1 "
+    "AS INTEGER) AS pos, code, text FROM (" + " UNION ALL ".join(
+        f"SELECT Transaction_ID, {i} AS o, '{code}' AS code, {text} AS text FROM scored WHERE {cond}"
+        for i, (cond, code, text) in enumerate(_FLAG_ROWS)) + ") f", *_SCORE_CTES)
+
+
+@register("flags", _FLAGS_SQL)
+def q_flags(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return (s.select("Transaction_ID", F.posexplode(RU.flags()).alias("pos", "f"))
+            .select("Transaction_ID", "pos", "f.code", "f.text"))
