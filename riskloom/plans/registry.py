@@ -619,3 +619,161 @@ def q_flags(spark, sf_dir):
     s = scored(spark, sf_dir)
     return (s.select("Transaction_ID", F.posexplode(RU.flags()).alias("pos", "f"))
             .select("Transaction_ID", "pos", "f.code", "f.text"))
+
+
+# ── geography, validation ────────────────────────────────────────────────────
+
+from riskloom.operators import geo as GEO  # noqa: E402
+from riskloom.operators import validate as VAL  # noqa: E402
+from riskloom.sources.transactions import fixture_cities  # noqa: E402
+
+_GEO_SQL = S.with_ctes("""
+SELECT Transaction_ID, Customer_Home_Location AS home, Transaction_Location AS loc,
+  h.country AS home_country, l.country AS tx_country,
+  CAST(floor(6371.0::DOUBLE * 2 * atan2(sqrt(a), sqrt(1 - a)) + 0.5) AS BIGINT) AS distance_km,
+  h.country <> l.country AS cross_border
+FROM (SELECT tx.*, h.country AS hc, l.country AS lc,
+        pow(sin((l.lat - h.lat) * (pi() / 180) / 2), 2)
+        + cos(h.lat * (pi() / 180)) * cos(l.lat * (pi() / 180))
+          * pow(sin((l.lon - h.lon) * (pi() / 180) / 2), 2) AS a
+      FROM tx LEFT JOIN cities h ON Customer_Home_Location = h.city
+              LEFT JOIN cities l ON Transaction_Location = l.city) x
+LEFT JOIN cities h ON x.Customer_Home_Location = h.city
+LEFT JOIN cities l ON x.Transaction_Location = l.city""", ("cities", S.CITY_SQL))
+
+
+def _geo(spark, sf_dir):
+    t = tx(spark, sf_dir).select("Transaction_ID", "Customer_Home_Location", "Transaction_Location")
+    return GEO.with_geo(t, fixture_cities(spark, sf_dir), "Customer_Home_Location",
+                        "Transaction_Location")
+
+
+@register("city_distance", f"SELECT Transaction_ID, home, loc, distance_km FROM ({_GEO_SQL})")
+def q_city_distance(spark, sf_dir):
+    return _geo(spark, sf_dir).select(
+        "Transaction_ID", F.col("Customer_Home_Location").alias("home"),
+        F.col("Transaction_Location").alias("loc"), "distance_km")
+
+
+@register("cross_border",
+          f"SELECT Transaction_ID, home_country, tx_country, cross_border FROM ({_GEO_SQL})")
+def q_cross_border(spark, sf_dir):
+    return _geo(spark, sf_dir).select("Transaction_ID", "home_country", "tx_country", "cross_border")
+
+
+FIXTURE_MERCHANTS = [f"Cat{i}" for i in range(16)]
+
+
+def _validation_sql() -> str:
+    from riskloom.schema import VALID_CARD_TYPES, VALID_TX_TYPES, YES_NO
+    rows = []
+
+    def add(field, cond, msg_sql):
+        rows.append(f"SELECT Transaction_ID, '{field}' AS field, {msg_sql} AS message "
+                    f"FROM v WHERE {cond}")
+
+    def lit(s):
+        return "'" + s.replace("'", "''") + "'"
+    req = lambda f: add(f, f"{f} IS NULL", lit(VAL.MSG_REQUIRED))
+    req("tx_time")
+    add("tx_time", "tx_time IS NOT NULL AND try_strptime(tx_time, '%H:%M') IS NULL", lit(VAL.MSG_TIME))
+    for f, dom in (("tx_type", VALID_TX_TYPES), ("merchant_cat", FIXTURE_MERCHANTS),
+                   ("card_type", VALID_CARD_TYPES)):
+        req(f)
+        inlist = ", ".join(lit(d) for d in dom)
+        add(f, f"{f} IS NOT NULL AND {f} NOT IN ({inlist})", lit(VAL._domain_msg(f, dom)))
+    for f, country in (("tx_location", "tx_country"), ("home_loc", "home_country")):
+        req(f)
+        add(f, f"{f} IS NOT NULL AND {country} IS NULL", lit(VAL.MSG_LOCATION))
+    yn = ", ".join(lit(d) for d in YES_NO)
+    for f in ("is_new", "unusual", "is_intl"):
+        req(f)
+        add(f, f"{f} IS NOT NULL AND {f} NOT IN ({yn})", lit(VAL.MSG_YES_NO))
+    exp = "(CASE WHEN home_country <> tx_country THEN 'Yes' ELSE 'No' END)"
+    add("is_intl", f"is_intl IN ({yn}) AND home_country IS NOT NULL AND tx_country IS NOT NULL "
+                   f"AND is_intl <> {exp}", f"printf({lit(VAL.MSG_INTL_FORMAT)}, {exp})")
+    for f in ("amount", "balance", "avg_amount", "max_24h", "distance"):
+        req(f)
+        add(f, f"{f} < 0", lit(VAL.MSG_NON_NEGATIVE))
+    for f in ("daily_tx", "weekly_tx"):
+        req(f)
+        add(f, f"{f} < 1", lit(VAL.MSG_COUNTS))
+    for f in ("failed", "prev_fraud"):
+        req(f)
+        add(f, f"{f} < 0", lit(VAL.MSG_NON_NEGATIVE))
+    trimmed = ("tx_type", "merchant_cat", "card_type", "tx_location", "home_loc",
+               "is_intl", "is_new", "unusual")
+    body = " UNION ALL ".join(rows)
+    rq = (f"SELECT * REPLACE ({', '.join(f'trim({c}) AS {c}' for c in trimmed)}) FROM ("
+          + _REQ_SQL + " FROM tx) r0")
+    v = ("SELECT r.*, h.country AS home_country, l.country AS tx_country FROM rq r "
+         "LEFT JOIN cities h ON r.home_loc = h.city LEFT JOIN cities l ON r.tx_location = l.city")
+    return S.with_ctes(body, ("cities", S.CITY_SQL), ("rq", rq), ("v", v))
+
+
+@register("validation_errors", _validation_sql())
+def q_validation_errors(spark, sf_dir):
+    req = requests_from_transactions(tx(spark, sf_dir))
+    v = VAL.validate(req, fixture_cities(spark, sf_dir), merchant_cats=FIXTURE_MERCHANTS)
+    return VAL.error_rows(v)
+
+
+# ── business impact ──────────────────────────────────────────────────────────
+
+from riskloom.operators import impact as IM  # noqa: E402
+
+_COST_FN_SQL = ("(SELECT CAST(round(CAST(round(avg(Transaction_Amount), 4) AS DECIMAL(20,4)), 1) "
+                "AS DOUBLE) FROM tx WHERE Fraud_Label = 'Fraud')")
+_IMPACT_CTES = (*_SWEEP_CTES,
+                ("par", f"SELECT {_COST_FN_SQL} AS cfn, 15.0::DOUBLE AS cfp, "
+                        "50000.0::DOUBLE / (SELECT count(*) FROM pr) AS scale"),
+                ("imp", """SELECT model, threshold, tp, fp, fn,
+                    (fn * cfn + fp * cfp) * scale AS total, fn * cfn * scale AS fn_cost,
+                    fp * cfp * scale AS fp_cost, tp * cfn * scale AS caught,
+                    (tp * cfn - fp * cfp) * scale AS net, (tp + fn) * cfn * scale AS baseline,
+                    (tp + fn) * cfn * scale - (fn * cfn + fp * cfp) * scale AS savings
+                  FROM sweep, par"""))
+_IMPACT_DOUBLES = ("total", "fn_cost", "fp_cost", "caught", "net", "baseline", "savings")
+
+
+def _impact_rows(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    pr = surrogate_predictions(t)
+    ov = t.where(F.col("Fraud_Label") == "Fraud").agg(
+        F.round(F.round(F.avg("Transaction_Amount"), 4), 1).alias("c")).first()["c"]
+    n = pr.count()
+    return IM.impact_sweep(EV.threshold_sweep(pr), cost_fn=ov, test_size=n), n
+
+
+@register("impact_sweep", _ev_sql(
+    "SELECT model, threshold, tp, fp, fn, " + ", ".join(f"round({c}, 4) AS {c}" for c in _IMPACT_DOUBLES)
+    + " FROM imp", *_IMPACT_CTES))
+def q_impact_sweep(spark, sf_dir):
+    rows, _ = _impact_rows(spark, sf_dir)
+    return rows.select("model", "threshold", "tp", "fp", "fn",
+                       *[F.round(c, 4).alias(c) for c in _IMPACT_DOUBLES])
+
+
+_KPI_COLS = ("caught", "missed", "fp_cost", "net", "annual_saving", "annual_cost",
+             "precision_pct", "capture_pct", "miss_pct", "cost_reduction_pct")
+
+
+@register("impact_kpis", _ev_sql(
+    "SELECT model, opt_threshold, monthly_caught, monthly_alerts, "
+    + ", ".join(f"round({c}, 4) AS {c}" for c in _KPI_COLS) + " FROM kpi", *_IMPACT_CTES,
+    ("o", "SELECT DISTINCT ON (model) * FROM imp ORDER BY model, total, threshold DESC"),
+    ("b", "SELECT DISTINCT ON (model) model, savings AS best FROM imp ORDER BY model, savings DESC, threshold DESC"),
+    ("kpi", """SELECT o.model, o.threshold AS opt_threshold, o.caught, o.fn_cost AS missed,
+        o.fp_cost, o.net, b.best * 12 AS annual_saving, o.total * 12 AS annual_cost,
+        CAST(floor(o.tp / CAST((SELECT count(*) FROM pr) AS DOUBLE) * 50000.0 + 0.5) AS BIGINT) AS monthly_caught,
+        CAST(floor((o.tp + o.fp) / CAST((SELECT count(*) FROM pr) AS DOUBLE) * 50000.0 + 0.5) AS BIGINT) AS monthly_alerts,
+        CASE WHEN o.tp + o.fp > 0 THEN CAST(o.tp AS DOUBLE) / (o.tp + o.fp) * 100 ELSE 0.0 END AS precision_pct,
+        CASE WHEN o.tp + o.fn > 0 THEN CAST(o.tp AS DOUBLE) / (o.tp + o.fn) * 100 ELSE 0.0 END AS capture_pct,
+        CASE WHEN o.tp + o.fn > 0 THEN CAST(o.fn AS DOUBLE) / (o.tp + o.fn) * 100 ELSE 0.0 END AS miss_pct,
+        CASE WHEN o.baseline > 0 THEN (o.baseline - o.total) / o.baseline * 100 ELSE 0.0 END AS cost_reduction_pct
+      FROM o JOIN b USING (model)""")))
+def q_impact_kpis(spark, sf_dir):
+    rows, n = _impact_rows(spark, sf_dir)
+    k = IM.impact_kpis(rows, test_size=n)
+    return k.select("model", "opt_threshold", "monthly_caught", "monthly_alerts",
+                    *[F.round(c, 4).alias(c) for c in _KPI_COLS])
