@@ -344,25 +344,24 @@ def q_confusion(spark, sf_dir):
     return at05.unionByName(c)
 
 
-_REPORT_SQL = _ev_sql("""
+def _z(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END)"
+
+
+_P0, _R0, _F0 = _z("tn", "tn + fn"), _z("tn", "tn + fp"), _z("2 * tn", "2 * tn + fn + fp")
+_P1, _R1, _F1 = _z("tp", "tp + fp"), _z("tp", "tp + fn"), _z("2 * tp", "2 * tp + fp + fn")
+_W0, _W1 = _z("tn + fp", "n"), _z("tp + fn", "n")
+_REPORT_SQL = _ev_sql(f"""
 SELECT model, class, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(f1, 6) AS f1, support FROM (
- SELECT model, '0' AS class, z(tn, tn + fn) AS precision, z(tn, tn + fp) AS recall,
-        z(2 * tn, 2 * tn + fn + fp) AS f1, tn + fp AS support FROM c
- UNION ALL SELECT model, '1', z(tp, tp + fp), z(tp, tp + fn), z(2 * tp, 2 * tp + fp + fn), tp + fn FROM c
- UNION ALL SELECT model, 'accuracy', NULL, NULL, z(tp + tn, n), n FROM c
- UNION ALL SELECT model, 'macro avg', (z(tn, tn + fn) + z(tp, tp + fp)) / 2,
-        (z(tn, tn + fp) + z(tp, tp + fn)) / 2,
-        (z(2 * tn, 2 * tn + fn + fp) + z(2 * tp, 2 * tp + fp + fn)) / 2, n FROM c
- UNION ALL SELECT model, 'weighted avg',
-        z(tn, tn + fn) * z(tn + fp, n) + z(tp, tp + fp) * z(tp + fn, n),
-        z(tn, tn + fp) * z(tn + fp, n) + z(tp, tp + fn) * z(tp + fn, n),
-        z(2 * tn, 2 * tn + fn + fp) * z(tn + fp, n) + z(2 * tp, 2 * tp + fp + fn) * z(tp + fn, n), n
- FROM c) r""", ("c", """SELECT model, count_if(label = 1 AND p >= 0.5) AS tp,
+ SELECT model, '0' AS class, {_P0} AS precision, {_R0} AS recall, {_F0} AS f1, tn + fp AS support FROM c
+ UNION ALL SELECT model, '1', {_P1}, {_R1}, {_F1}, tp + fn FROM c
+ UNION ALL SELECT model, 'accuracy', NULL, NULL, {_z("tp + tn", "n")}, n FROM c
+ UNION ALL SELECT model, 'macro avg', ({_P0} + {_P1}) / 2, ({_R0} + {_R1}) / 2, ({_F0} + {_F1}) / 2, n FROM c
+ UNION ALL SELECT model, 'weighted avg', {_P0} * {_W0} + {_P1} * {_W1}, {_R0} * {_W0} + {_R1} * {_W1},
+        {_F0} * {_W0} + {_F1} * {_W1}, n FROM c) r""", ("c", """SELECT model, count_if(label = 1 AND p >= 0.5) AS tp,
   count_if(label = 0 AND p >= 0.5) AS fp, count_if(label = 1 AND p < 0.5) AS fn,
   count_if(label = 0 AND p < 0.5) AS tn, count(*) AS n FROM pr GROUP BY model"""))
-_REPORT_SQL = ("CREATE OR REPLACE TEMP MACRO z(a, b) AS "
-               "CASE WHEN b > 0 THEN CAST(a AS DOUBLE) / b ELSE 0.0 END; " + _REPORT_SQL)
 
 
 @register("class_report", _REPORT_SQL)
@@ -777,3 +776,67 @@ def q_impact_kpis(spark, sf_dir):
     k = IM.impact_kpis(rows, test_size=n)
     return k.select("model", "opt_threshold", "monthly_caught", "monthly_alerts",
                     *[F.round(c, 4).alias(c) for c in _KPI_COLS])
+
+
+# ── explanations and models ──────────────────────────────────────────────────
+
+from riskloom.operators import explain as XP  # noqa: E402
+from riskloom.operators import models as M  # noqa: E402
+from riskloom.schema import MODEL_INPUTS  # noqa: E402
+
+# Fixture coefficients for the linear-attribution check (a test input, like the
+# surrogate score): coef_i = ((i mod 7) - 3) / 7, center_i = (i mod 5) / 2.
+# Sevenths keep products of the 4-decimal amounts off exact 6-decimal rounding
+# ties, where the fixture's running average (summed in a different order by the
+# two engines, equal to ~1 ulp) would otherwise round to different sides.
+FIXTURE_COEF = [((i % 7) - 3) / 7.0 for i in range(len(MODEL_INPUTS))]
+FIXTURE_CENTER = [(i % 5) / 2.0 for i in range(len(MODEL_INPUTS))]
+
+
+def _linear_attribution_sql() -> str:
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in NUMERIC_FEATURES)
+    xs = []
+    for c in MODEL_INPUTS:
+        if c in CATEGORICAL_FEATURES:
+            xs.append(f"CAST((SELECT code FROM codes WHERE \"column\" = '{c}' AND value = "
+                      f"coalesce(CAST(fe.{c} AS VARCHAR), 'Unknown')) AS DOUBLE) AS {c}")
+        else:
+            xs.append(f"coalesce(CAST(fe.{c} AS DOUBLE), med.{c}) AS {c}")
+    body = " UNION ALL ".join(
+        f"SELECT Transaction_ID, '{c}' AS feature, "
+        f"round({w!r}::DOUBLE * ({c} - {m!r}::DOUBLE), 6) + 0.0 AS contribution FROM x"
+        for c, w, m in zip(MODEL_INPUTS, FIXTURE_COEF, FIXTURE_CENTER))
+    return S.with_ctes(body, *FEATURE_CTES, ("codes", _CODES_SQL), ("med", f"SELECT {med} FROM fe"),
+                       ("x", f"SELECT fe.Transaction_ID, {', '.join(xs)} FROM fe, med"))
+
+
+@register("linear_attribution", _linear_attribution_sql())
+def q_linear_attribution(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    prep = M.fit_prep(t)
+    v = prep.transform(t, keep=("Transaction_ID",))
+    rows = XP.explode_contributions(
+        v, XP.contributions(F.col("features"), prep.inputs, FIXTURE_COEF, FIXTURE_CENTER))
+    # + 0.0 turns -0.0 (zero coefficient times a negative offset) into 0.0
+    return rows.select("Transaction_ID", "feature",
+                       (F.round("contribution", 6) + F.lit(0.0)).alias("contribution"))
+
+
+# Rows-only (no SQL): model fitting is not expressible in SQL. The registry uses
+# small models so the check runs in minutes; the library defaults are the
+# published sizes (TrainConfig()).
+REGISTRY_TRAIN = M.TrainConfig(rf_trees=20, rf_depth=6, calibration_folds=3, gbt_iter=10,
+                               gbt_depth=3, cv_folds=3, lr_max_iter=100)
+
+
+@register("train_compare")
+def q_train_compare(spark, sf_dir):
+    return M.comparison(M.train_all(tx(spark, sf_dir), REGISTRY_TRAIN))
+
+
+@register("forest_importance")
+def q_forest_importance(spark, sf_dir):
+    import dataclasses
+    cfg = dataclasses.replace(REGISTRY_TRAIN, models=(M.RF,), cv_folds=0)
+    res = M.train_all(tx(spark, sf_dir), cfg)
+    return M.importance(res.models[M.RF], res.prep.inputs)

@@ -65,8 +65,11 @@ def requests_from_transactions(tx: DataFrame, as_of: dt.date | None = None,
 
 
 def requests_to_transactions(req: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """Training-named columns; Transaction_Date is the request's as-of date."""
+    """Training-named columns; Transaction_Date is the request's as-of date.
+
+    Columns that are not request fields (ids, as_of, metadata) are carried along.
+    """
     date = F.lit(as_of).cast("date") if as_of is not None else F.col("as_of")
-    keep = [c for c in ("Transaction_ID", "request_id") if c in req.columns]
-    return req.select(*keep, *[F.col(k).alias(v) for k, v in REQUEST_TO_TRANSACTION.items()],
+    extras = [c for c in req.columns if c not in REQUEST_TO_TRANSACTION]
+    return req.select(*extras, *[F.col(k).alias(v) for k, v in REQUEST_TO_TRANSACTION.items()],
                       date.alias("Transaction_Date"))
