@@ -840,3 +840,40 @@ def q_forest_importance(spark, sf_dir):
     cfg = dataclasses.replace(REGISTRY_TRAIN, models=(M.RF,), cv_folds=0)
     res = M.train_all(tx(spark, sf_dir), cfg)
     return M.importance(res.models[M.RF], res.prep.inputs)
+
+
+# ── streaming scoring (rows-only: stream = batch is asserted in the tests) ──
+
+from riskloom.session import shared_path  # noqa: E402
+from riskloom.sources.transactions import surrogate_p  # noqa: E402
+from riskloom.streaming import scoring as ST  # noqa: E402
+
+
+def surrogate_probability(txn: DataFrame) -> DataFrame:
+    """Surrogate score on request-derived rows (the request id is the transaction id)."""
+    if "Transaction_ID" not in txn.columns:
+        txn = txn.withColumn("Transaction_ID", F.col("request_id").cast("long"))
+    return txn.withColumn("p", surrogate_p())
+
+
+def run_stream_scoring(spark, sf_dir):
+    """Write requests derived from the tables as JSON files, score them with the
+    streaming plan (availableNow) and return (scored sink, quarantine sink) paths."""
+    t = tx(spark, sf_dir)
+    thr = serving_threshold(surrogate_predictions(t))
+    src = shared_path(spark, "requests")
+    requests_from_transactions(t).write.mode("overwrite").json(src)
+    queries, sink, quarantine = ST.start_scoring_stream(
+        spark, src, fixture_cities(spark, sf_dir), surrogate_probability, thr,
+        merchant_cats=FIXTURE_MERCHANTS, max_files_per_trigger=4)
+    for q in queries:
+        q.awaitTermination()
+    return sink, quarantine
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    sink, _ = run_stream_scoring(spark, sf_dir)
+    return spark.read.parquet(sink).select(
+        F.col("request_id").cast("long").alias("Transaction_ID"), "p", "ml_tier", "rule_id",
+        "risk_score", "tier")
