@@ -8,7 +8,7 @@ the same pattern MLlib's Imputer uses for its surrogates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.nulls import ratio
@@ -110,11 +110,58 @@ def rate_by_combo(df: DataFrame) -> DataFrame:
     return rate_by(df, combo(), "Combo").select("Combo", "fraud_rate")
 
 
+def _count_aggs() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"), *_rate_aggs()]
+
+
+def _mode_over(dim: str, key: str, weight: str = "n_rows") -> Column:
+    """Most frequent non-null ``key`` of the dimension (lowest on ties), as a window
+    over the small per-value aggregate."""
+    w = Window.partitionBy(dim).orderBy(F.col(key).isNull().asc(), F.desc(weight), F.asc(key))
+    return F.first(F.col(key)).over(w)
+
+
+def _fill_and_merge(counts: DataFrame, dim: str, key: str) -> DataFrame:
+    """Merge each dimension's NULL-key group into its mode group (the mode fill).
+
+    ``counts`` is the small per-value aggregate; the mode is a window over it,
+    so the data is scanned once.
+    """
+    j = counts.select("*", _mode_over(dim, key).alias("_mode"))
+    filled = F.coalesce(F.col(key), F.col("_mode"))
+    return (j.where(filled.isNotNull())
+            .groupBy(dim, filled.alias(key))
+            .agg(F.sum("total").alias("total"), F.sum("fraud").alias("fraud")))
+
+
+def rate_by_filled(df: DataFrame, key: str) -> DataFrame:
+    """A3 with the A2 mode fill in one scan: (key, total, fraud, fraud_rate)."""
+    counts = df.groupBy(F.lit(key).alias("_dim"), F.col(key)).agg(*_count_aggs())
+    return _with_rate(_fill_and_merge(counts, "_dim", key).select(key, "total", "fraud"))
+
+
+def rate_by_combo_filled(df: DataFrame) -> DataFrame:
+    """A6 with both flags mode-filled, one scan: (Combo, fraud_rate)."""
+    i, n = "Is_International_Transaction", "Is_New_Merchant"
+    counts = df.groupBy(F.lit("c").alias("_dim"), F.col(i), F.col(n)).agg(*_count_aggs())
+    per_i = F.sum("n_rows").over(Window.partitionBy("_dim", i))
+    per_n = F.sum("n_rows").over(Window.partitionBy("_dim", n))
+    c2 = counts.select("*", per_i.alias("_ni"), per_n.alias("_nn"))
+    j = c2.select("*", _mode_over("_dim", i, "_ni").alias("_mi"),
+                  _mode_over("_dim", n, "_nn").alias("_mn"))
+    fi, fn = F.coalesce(F.col(i), F.col("_mi")), F.coalesce(F.col(n), F.col("_mn"))
+    key = F.concat(fi, F.lit(" Intl / "), fn, F.lit(" New"))
+    merged = (j.where(key.isNotNull()).groupBy(key.alias("Combo"))
+              .agg(F.sum("total").alias("total"), F.sum("fraud").alias("fraud")))
+    return _with_rate(merged).select("Combo", "fraud_rate")
+
+
 def rates_grouping_sets(df: DataFrame, keys: dict[str, str] = RATE_KEYS) -> DataFrame:
     """All key rates in one scan: (dimension, value, total, fraud, fraud_rate).
 
-    One GROUPING SETS aggregate: Expand (rows x keys, narrow, in codegen) feeds
-    one partial aggregation, so the table is read once instead of per key.
+    One GROUPING SETS aggregate (Expand: rows x keys, narrow, in codegen, then
+    one partial aggregation) keeps NULL keys as their own group; the mode fill
+    then merges each NULL group into its mode, on the small aggregate.
     """
     names = list(keys)
     cols = [keys[n] for n in names]
@@ -127,12 +174,11 @@ def rates_grouping_sets(df: DataFrame, keys: dict[str, str] = RATE_KEYS) -> Data
     for i, (n, c) in enumerate(zip(names, cols)):
         own = full ^ (1 << (len(cols) - 1 - i))
         dim = F.when(gid == own, F.lit(n)).otherwise(dim)
-        val = F.when(gid == own, F.col(c)).otherwise(val)
+        val = F.when(gid == own, F.col(c).cast("string")).otherwise(val)
     agg = df.groupingSets([[F.col(c)] for c in cols], *cols).agg(
-        *_rate_aggs(), F.grouping_id(*cols).alias("_gid"))
-    picked = agg.select(dim.alias("dimension"), val.alias("value"), "total", "fraud")
-    return _with_rate(picked.where(F.col("value").isNotNull())
-                      .select("dimension", "value", "total", "fraud"))
+        *_count_aggs(), F.grouping_id(*cols).alias("_gid"))
+    counts = agg.select(dim.alias("dimension"), val.alias("value"), "n_rows", "total", "fraud")
+    return _with_rate(_fill_and_merge(counts, "dimension", "value"))
 
 
 # ── A7: correlation ──────────────────────────────────────────────────────────

@@ -64,7 +64,7 @@ def q_overview(spark, sf_dir):
 for _name, _col in A.RATE_KEYS.items():
     def _make(col):
         def q(spark, sf_dir):
-            return A.rate_by(mf(spark, sf_dir), col)
+            return A.rate_by_filled(tx(spark, sf_dir), col)
         return q
     register(f"rate_by_{_name}", _rate_sql(_col, _col))(_make(_col))
 
@@ -72,7 +72,7 @@ for _name, _col in A.RATE_KEYS.items():
 @register("rate_by_prev_fraud",
           _rate_sql("CAST(coalesce(Previous_Fraud_Count, 0) AS INTEGER)", "Previous_Fraud_Count"))
 def q_rate_by_prev_fraud(spark, sf_dir):
-    return A.rate_by_prev_fraud(mf(spark, sf_dir))
+    return A.rate_by_prev_fraud(tx(spark, sf_dir))   # the fill touches categoricals only
 
 
 _HOUR_SQL = "CAST(hour(try_strptime(Transaction_Time, '%H:%M')) AS INTEGER)"
@@ -80,7 +80,7 @@ _HOUR_SQL = "CAST(hour(try_strptime(Transaction_Time, '%H:%M')) AS INTEGER)"
 
 @register("rate_by_hour", _rate_sql(_HOUR_SQL, "Hour", "Hour, fraud_rate"))
 def q_rate_by_hour(spark, sf_dir):
-    return A.rate_by_hour(mf(spark, sf_dir))
+    return A.rate_by_hour(tx(spark, sf_dir))
 
 
 _COMBO_SQL = "concat(Is_International_Transaction, ' Intl / ', Is_New_Merchant, ' New')"
@@ -88,7 +88,7 @@ _COMBO_SQL = "concat(Is_International_Transaction, ' Intl / ', Is_New_Merchant,
 
 @register("rate_by_combo", _rate_sql(_COMBO_SQL, "Combo", "Combo, fraud_rate"))
 def q_rate_by_combo(spark, sf_dir):
-    return A.rate_by_combo(mf(spark, sf_dir))
+    return A.rate_by_combo_filled(tx(spark, sf_dir))
 
 
 @register("rates_grouping_sets", S.with_ctes(" UNION ALL ".join(
@@ -96,7 +96,7 @@ def q_rate_by_combo(spark, sf_dir):
     f"FROM mf WHERE {c} IS NOT NULL GROUP BY {c}" for n, c in A.RATE_KEYS.items()),
     ("mf", S.MF_SQL)))
 def q_rates_grouping_sets(spark, sf_dir):
-    return A.rates_grouping_sets(mf(spark, sf_dir))
+    return A.rates_grouping_sets(tx(spark, sf_dir))
 
 
 @register("mode_fill", S.with_ctes(" UNION ALL ".join(
@@ -170,7 +170,7 @@ register("distance_percentiles", _DIST_SQL)(_distance_percentiles)
 @register("top_combo", _rate_sql(_COMBO_SQL, "Combo", "Combo, fraud_rate")
           + " ORDER BY fraud_rate DESC, Combo LIMIT 1")
 def q_top_combo(spark, sf_dir):
-    return A.top_combo(A.rate_by_combo(mf(spark, sf_dir)))
+    return A.top_combo(A.rate_by_combo_filled(tx(spark, sf_dir)))
 
 
 _HOURS = f"""SELECT {_HOUR_SQL} AS Hour,
@@ -188,7 +188,7 @@ FROM (SELECT * FROM hr ORDER BY fraud_rate DESC, Hour LIMIT 1) p,
          coalesce(avg(CASE WHEN Hour BETWEEN 6 AND 21 THEN fraud_rate END), 0.0) AS day_avg
   FROM hr) a""", ("mf", S.MF_SQL), ("hr", _HOURS)))
 def q_hour_insight(spark, sf_dir):
-    return A.hour_insight(A.rate_by_hour(mf(spark, sf_dir)))
+    return A.hour_insight(A.rate_by_hour(tx(spark, sf_dir)))
 
 
 @register("distance_gap", S.with_ctes("""
@@ -204,7 +204,7 @@ def q_distance_gap(spark, sf_dir):
 @register("top_locations", _rate_sql("Transaction_Location", "Transaction_Location")
           + " ORDER BY fraud_rate DESC, Transaction_Location DESC LIMIT 15")
 def q_top_locations(spark, sf_dir):
-    return A.top_locations(A.rate_by(mf(spark, sf_dir), "Transaction_Location"))
+    return A.top_locations(A.rate_by_filled(tx(spark, sf_dir), "Transaction_Location"))
 
 
 # ── features, encoding, imputation ───────────────────────────────────────────
