@@ -877,3 +877,18 @@ def q_stream_score(spark, sf_dir):
     return spark.read.parquet(sink).select(
         F.col("request_id").cast("long").alias("Transaction_ID"), "p", "ml_tier", "rule_id",
         "risk_score", "tier")
+
+
+@register("tree_attribution")
+def q_tree_attribution(spark, sf_dir):
+    """X3b on every test row: the first calibration fold's forest, as published."""
+    import dataclasses
+
+    from riskloom.operators import treeshap as TS
+    cfg = dataclasses.replace(REGISTRY_TRAIN, models=(M.RF,), cv_folds=0)
+    res = M.train_all(tx(spark, sf_dir), cfg)
+    model = res.models[M.RF]
+    forest = model.forests[0] if isinstance(model, M.CalibratedForest) else model
+    test = res.frame.where(F.col("is_test"))
+    contrib = TS.tree_contributions(test, forest, res.prep.inputs)
+    return TS.explode_tree_contributions(contrib, res.prep.inputs)
