@@ -108,3 +108,60 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     vlo = F.col("_vlo").cast("double")
     vhi = F.col("_vhi").cast("double")
     return picks.select(*group_cols, "q", (vlo + (vhi - vlo) * frac).alias("quantile"))
+
+
+def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lookback: int = 3,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Per-key history of ``value`` over earlier rows, safe for a hot key.
+
+    Adds ``prev_sum``/``prev_count`` (sum and count of non-null values on all
+    earlier rows of the key, in ``order_cols`` order) and ``prev_max`` (maximum
+    over the ``lookback`` immediately preceding rows). Equivalent to
+    ``Window.partitionBy(key).orderBy(order)`` frames, but the rows are range
+    partitioned on (key, order) so a key holding a third of the data is spread
+    over many tasks. Only the first and last key of each partition can continue
+    across a partition edge; their corrections come from tables of at most
+    2 and 2 * lookback rows per partition (broadcast behind a row-count check).
+    Rows must be unique on (key, order_cols).
+    """
+    order = [F.col(c) for c in order_cols]
+    tagged = reliable_checkpoint(
+        df.repartitionByRange(_parts(df, num_partitions), F.col(key), *order)
+          .withColumn("_part", F.spark_partition_id()))
+    v = F.col(value)
+    w = Window.partitionBy("_part", key).orderBy(*order)
+    local = tagged.select(
+        "*",
+        F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+         .alias("_ls"),
+        F.count(v).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lc"),
+        F.max(v).over(w.rowsBetween(-lookback, -1)).alias("_lm"),
+        F.row_number().over(w).alias("_rn"),
+        F.count(F.lit(1)).over(Window.partitionBy("_part", key)).alias("_sz"))
+
+    bounds = tagged.groupBy("_part").agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
+    edge_keys = bounded_broadcast(bounds)
+    # running-sum offsets of the edge slices (<= 2 rows per partition)
+    slices = (tagged.join(edge_keys, "_part")
+              .where((F.col(key) == F.col("_kmin")) | (F.col(key) == F.col("_kmax")))
+              .groupBy("_part", key).agg(F.sum(v).alias("_ts"), F.count(v).alias("_tc")))
+    prior = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("_part", key,
+                            F.coalesce(F.sum("_ts").over(prior), F.lit(0.0)).alias("_os"),
+                            F.coalesce(F.sum("_tc").over(prior), F.lit(0)).alias("_oc"))
+    # lookback across edges: first rows of each partition's first key, last rows of its last key
+    marked = local.join(edge_keys, "_part")
+    head = (F.col(key) == F.col("_kmin")) & (F.col("_rn") <= lookback)
+    tail = (F.col(key) == F.col("_kmax")) & (F.col("_sz") - F.col("_rn") < lookback)
+    ends = marked.where(head | tail).select(key, *order_cols, value, head.alias("_head")).distinct()
+    across = Window.partitionBy(key).orderBy(*order).rowsBetween(-lookback, -1)
+    fixes = (ends.select(key, *order_cols, "_head", F.max(v).over(across).alias("_fm"))
+             .where("_head").drop("_head"))
+    out = (local.join(bounded_broadcast(offsets), ["_part", key], "left")
+                .join(bounded_broadcast(fixes.withColumn("_fixed", F.lit(True))),
+                      [key, *order_cols], "left"))
+    return out.select(
+        *df.columns,
+        (F.col("_ls") + F.coalesce(F.col("_os"), F.lit(0.0))).alias("prev_sum"),
+        (F.col("_lc") + F.coalesce(F.col("_oc"), F.lit(0))).alias("prev_count"),
+        F.when(F.col("_fixed"), F.col("_fm")).otherwise(F.col("_lm")).alias("prev_max"))

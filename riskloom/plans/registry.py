@@ -31,7 +31,13 @@ def register(name: str, sql: str | None = None):
 
 
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture_transactions(spark, sf_dir)
+    """Transaction view without the two per-customer history columns."""
+    return fixture_transactions(spark, sf_dir, history=False)
+
+
+def txh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transaction view with Avg_Transaction_Amount and Max_Transaction_Last_24h."""
+    return fixture_transactions(spark, sf_dir, history=True)
 
 
 def mf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +232,7 @@ def _r6_sql(c: str, doubles=FT.DOUBLE_FEATURES) -> str:
 
 def _feature_query(cols):
     def q(spark, sf_dir):
-        fe = FT.engineer_features(tx(spark, sf_dir))
+        fe = FT.engineer_features(txh(spark, sf_dir))
         return fe.select("Transaction_ID", *[_r6(c) for c in cols])
     return q
 
@@ -264,7 +270,7 @@ def q_encoded_categories(spark, sf_dir):
     f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median FROM fe"
     for c in NUMERIC_FEATURES), *FEATURE_CTES))
 def q_imputed_medians(spark, sf_dir):
-    m = EN.fit_medians(FT.feature_frame(tx(spark, sf_dir)), NUMERIC_FEATURES)
+    m = EN.fit_medians(FT.feature_frame(txh(spark, sf_dir)), NUMERIC_FEATURES)
     return m.select("feature", F.round("median", 6).alias("median"))
 
 
@@ -484,7 +490,7 @@ def serving_threshold(pr: DataFrame) -> float:
 
 
 def scored(spark, sf_dir):
-    t = tx(spark, sf_dir)
+    t = txh(spark, sf_dir)
     thr = serving_threshold(surrogate_predictions(t))
     return RU.score(requests_from_transactions(surrogate_score(t), keep=("p",)), thr)
 
@@ -712,7 +718,7 @@ def _validation_sql() -> str:
 
 @register("validation_errors", _validation_sql())
 def q_validation_errors(spark, sf_dir):
-    req = requests_from_transactions(tx(spark, sf_dir))
+    req = requests_from_transactions(txh(spark, sf_dir))
     v = VAL.validate(req, fixture_cities(spark, sf_dir), merchant_cats=FIXTURE_MERCHANTS)
     return VAL.error_rows(v)
 
@@ -812,7 +818,7 @@ def _linear_attribution_sql() -> str:
 
 @register("linear_attribution", _linear_attribution_sql())
 def q_linear_attribution(spark, sf_dir):
-    t = tx(spark, sf_dir)
+    t = txh(spark, sf_dir)
     prep = M.fit_prep(t)
     v = prep.transform(t, keep=("Transaction_ID",))
     rows = XP.explode_contributions(
@@ -831,14 +837,14 @@ REGISTRY_TRAIN = M.TrainConfig(rf_trees=20, rf_depth=6, calibration_folds=3, gbt
 
 @register("train_compare")
 def q_train_compare(spark, sf_dir):
-    return M.comparison(M.train_all(tx(spark, sf_dir), REGISTRY_TRAIN))
+    return M.comparison(M.train_all(txh(spark, sf_dir), REGISTRY_TRAIN))
 
 
 @register("forest_importance")
 def q_forest_importance(spark, sf_dir):
     import dataclasses
     cfg = dataclasses.replace(REGISTRY_TRAIN, models=(M.RF,), cv_folds=0)
-    res = M.train_all(tx(spark, sf_dir), cfg)
+    res = M.train_all(txh(spark, sf_dir), cfg)
     return M.importance(res.models[M.RF], res.prep.inputs)
 
 
@@ -859,7 +865,7 @@ def surrogate_probability(txn: DataFrame) -> DataFrame:
 def run_stream_scoring(spark, sf_dir):
     """Write requests derived from the tables as JSON files, score them with the
     streaming plan (availableNow) and return (scored sink, quarantine sink) paths."""
-    t = tx(spark, sf_dir)
+    t = txh(spark, sf_dir)
     thr = serving_threshold(surrogate_predictions(t))
     src = shared_path(spark, "requests")
     requests_from_transactions(t).write.mode("overwrite").json(src)
@@ -886,7 +892,7 @@ def q_tree_attribution(spark, sf_dir):
 
     from riskloom.operators import treeshap as TS
     cfg = dataclasses.replace(REGISTRY_TRAIN, models=(M.RF,), cv_folds=0)
-    res = M.train_all(tx(spark, sf_dir), cfg)
+    res = M.train_all(txh(spark, sf_dir), cfg)
     model = res.models[M.RF]
     forest = model.forests[0] if isinstance(model, M.CalibratedForest) else model
     test = res.frame.where(F.col("is_test"))

@@ -9,11 +9,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.joins import bounded_broadcast
+from riskloom.functions.ordered import keyed_history
 from riskloom.schema import TRANSACTION_SCHEMA
 
 _TEXT_DATE_SCHEMA = T.StructType([
@@ -42,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fixture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_transactions(spark: SparkSession, sf_dir: str, history: bool = True) -> DataFrame:
     """Transaction view over the driver tables (22 columns, FIXTURES.md §5).
 
     Plan: orders ⋈ customer (size-based strategy chosen by Catalyst/AQE),
@@ -76,9 +77,12 @@ def fixture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = (b.join(hn, b.hk == hn.hn_key).join(ln, F.col("lk") == ln.ln_key)
          .drop("hn_key", "ln_key"))
 
-    earlier = Window.partitionBy("cust").orderBy("d", "k").rowsBetween(
-        Window.unboundedPreceding, -1)
-    last3 = Window.partitionBy("cust").orderBy("d", "k").rowsBetween(-3, -1)
+    # History per customer (average of earlier amounts, maximum of the three
+    # previous ones): range-partitioned running window, safe for a hot customer.
+    # ``history=False`` omits the two columns (and their checkpointed pass) for
+    # consumers that do not read them; using them then fails at analysis time.
+    if history:
+        g = keyed_history(g, "cust", ["d", "k"], "amt", lookback=3)
     cust = F.col("cust")
     intl = F.when(F.col("hr") != F.col("lr"), "Yes").otherwise("No")
     newm = F.when(k % 4 == 1, "Yes").otherwise("No")
@@ -88,9 +92,10 @@ def fixture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         intl.alias("intl"), newm.alias("newm"), unu.alias("unu"),
         F.when(k % 11 == 0, k % 4).otherwise(F.lit(0).cast("bigint")).alias("failed"),
         F.when(cust % 9 == 0, 1 + cust % 3).otherwise(F.lit(0).cast("bigint")).alias("pf"),
-        (F.sum("amt").over(earlier) / F.count("amt").over(earlier)).alias("av"),
-        F.max("amt").over(last3).alias("mx"),
     )
+    if history:
+        h = h.select("*", F.when(F.col("prev_count") > 0, F.col("prev_sum") / F.col("prev_count"))
+                     .alias("av"), F.col("prev_max").alias("mx"))
 
     mi = F.col("mi")
     hhmm = F.concat(F.lpad(F.floor(mi / 60).cast("int").cast("string"), 2, "0"), F.lit(":"),
@@ -121,8 +126,8 @@ def fixture_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_acctbal") * 10).alias("Account_Balance"),
         (1 + k % 12).alias("Daily_Transaction_Count"),
         (1 + k % 12 + cust % 30).alias("Weekly_Transaction_Count"),
-        F.col("av").alias("Avg_Transaction_Amount"),
-        F.col("mx").alias("Max_Transaction_Last_24h"),
+        *([F.col("av").alias("Avg_Transaction_Amount"),
+           F.col("mx").alias("Max_Transaction_Last_24h")] if history else []),
         F.col("intl").alias("Is_International_Transaction"),
         F.col("newm").alias("Is_New_Merchant"),
         F.col("failed").alias("Failed_Transaction_Count"),

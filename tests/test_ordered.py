@@ -44,3 +44,28 @@ def test_ordered_scan_lead_across_partitions(spark):
         cum += i % 3
         assert out[float(i)][0] == cum
         assert out[float(i)][1] == ((i + 1) % 3 if i < 99 else None)
+
+
+def test_keyed_history_matches_plain_window_with_hot_key(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from riskloom.functions.ordered import keyed_history
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(3000):
+        cust = 0 if i % 3 == 0 else int(rng.integers(1, 40))      # one key holds a third
+        amt = None if i % 17 == 0 else float(rng.integers(1, 1000)) / 4
+        rows.append((cust, int(rng.integers(0, 50)), i, amt))
+    df = spark.createDataFrame(rows, "cust long, d long, k long, amt double")
+    got = keyed_history(df, "cust", ["d", "k"], "amt", lookback=3, num_partitions=13)
+    w = Window.partitionBy("cust").orderBy("d", "k")
+    ref = df.select("k", F.sum("amt").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("s"),
+                    F.count("amt").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"),
+                    F.max("amt").over(w.rowsBetween(-3, -1)).alias("m"))
+    a = {r.k: (r.prev_sum, r.prev_count, r.prev_max) for r in got.collect()}
+    b = {r.k: (r.s or 0.0, r.c, r.m) for r in ref.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][1] == b[k][1] and a[k][2] == b[k][2]
+        assert abs(a[k][0] - b[k][0]) <= 1e-9 * max(1.0, abs(b[k][0]))

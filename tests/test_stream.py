@@ -14,7 +14,7 @@ from conftest import SF_SMALL
 def test_batch_equals_stream(spark):
     sink, quarantine = R.run_stream_scoring(spark, SF_SMALL)
     stream = spark.read.parquet(sink)
-    tx = R.tx(spark, SF_SMALL)
+    tx = R.txh(spark, SF_SMALL)
     thr = R.serving_threshold(surrogate_predictions(tx))
     req = requests_from_transactions(surrogate_score(tx), keep=("p",))
     checked = VAL.validate(req, fixture_cities(spark, SF_SMALL), merchant_cats=R.FIXTURE_MERCHANTS)
