@@ -7,10 +7,10 @@
    tag each row with its partition and write a reliable checkpoint so the tag
    survives recomputation after executor loss;
 2. running sums inside each (partition, group) slice with a bounded window;
-3. per-(partition, group) totals and first-row values (at most partitions +
-   groups rows) give, by a tiny window, the exclusive offset of every slice
-   and the first row of the following slice; they are joined back behind a
-   size-checked broadcast.
+3. per-(partition, group) totals and first-row values of the groups on each
+   partition's edges (at most 2 rows per partition) give, by a tiny window, the
+   exclusive offset of every slice and the first row of the following slice;
+   they are broadcast back (the bound is the partition count).
 
 The result is exact and every task holds one range partition only.
 """
@@ -53,7 +53,14 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, descendin
     )
 
     first_key = F.struct(F.col(order_col)) if not descending else F.struct(-F.col(order_col))
-    slices = tagged.groupBy("_part", *group_cols).agg(
+    # only a partition's first and last group can continue across its edges: the
+    # offset table has <= 2 rows per partition, a bound fixed by the partition count
+    gkey = F.struct(*keys)
+    bounds = F.broadcast(tagged.groupBy("_part").agg(F.min(gkey).alias("_gmin"),
+                                                     F.max(gkey).alias("_gmax")))
+    edge = (tagged.join(bounds, "_part")
+            .where((gkey == F.col("_gmin")) | (gkey == F.col("_gmax"))))
+    slices = edge.groupBy("_part", *group_cols).agg(
         *[F.sum(c).alias(f"_tot_{c}") for c in sum_cols],
         *[F.min_by(F.col(c), first_key).alias(f"_first_{c}") for c in lead_cols],
     )
@@ -65,10 +72,11 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, descendin
           for c in sum_cols],
         *[F.lead(f"_first_{c}").over(across).alias(f"_nextfirst_{c}") for c in lead_cols],
     )
-    joined = local.join(bounded_broadcast(offsets), ["_part", *group_cols])
+    joined = local.join(F.broadcast(offsets), ["_part", *group_cols], "left")
     out = joined.select(
         *[F.col(c) for c in df.columns], "_part",
-        *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols],
+        *[(F.col(f"_loc_{c}") + F.coalesce(F.col(f"_off_{c}"), F.lit(0))).alias(f"cum_{c}")
+          for c in sum_cols],
         *[F.coalesce(F.col(f"_lead_{c}"), F.col(f"_nextfirst_{c}")).alias(f"next_{c}")
           for c in lead_cols],
     )
@@ -88,7 +96,8 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
                 .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
     ranked = ordered_scan(counts, group_cols, value_col, False, ["_n"],
                           num_partitions=num_partitions)
-    totals = counts.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
+    # totals from the checkpoint-backed ranks, not from the upstream aggregate
+    totals = ranked.groupBy(*group_cols).agg(F.max("cum__n").alias("_total"))
     qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
     targets = totals.select(*group_cols, "_total", qs)
     pos = F.col("q") * (F.col("_total") - 1)
@@ -121,45 +130,47 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
     partitioned on (key, order) so a key holding a third of the data is spread
     over many tasks. Only the first and last key of each partition can continue
     across a partition edge; their corrections come from tables of at most
-    2 and 2 * lookback rows per partition (broadcast behind a row-count check).
+    2 (offsets) and 2 * lookback (edge rows) rows per partition, a bound fixed by
+    the partition count, so they are broadcast without a count.
     Rows must be unique on (key, order_cols).
     """
+    n = _parts(df, num_partitions)
     order = [F.col(c) for c in order_cols]
     tagged = reliable_checkpoint(
-        df.repartitionByRange(_parts(df, num_partitions), F.col(key), *order)
-          .withColumn("_part", F.spark_partition_id()))
+        df.repartitionByRange(n, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
     v = F.col(value)
     w = Window.partitionBy("_part", key).orderBy(*order)
-    local = tagged.select(
-        "*",
-        F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-         .alias("_ls"),
-        F.count(v).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lc"),
-        F.max(v).over(w.rowsBetween(-lookback, -1)).alias("_lm"),
-        F.row_number().over(w).alias("_rn"),
-        F.count(F.lit(1)).over(Window.partitionBy("_part", key)).alias("_sz"))
-
-    bounds = tagged.groupBy("_part").agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
-    edge_keys = bounded_broadcast(bounds)
-    # running-sum offsets of the edge slices (<= 2 rows per partition)
-    slices = (tagged.join(edge_keys, "_part")
-              .where((F.col(key) == F.col("_kmin")) | (F.col(key) == F.col("_kmax")))
-              .groupBy("_part", key).agg(F.sum(v).alias("_ts"), F.count(v).alias("_tc")))
+
+    # <= 1 row per partition: its first and last key
+    bounds = F.broadcast(tagged.groupBy("_part").agg(F.min(key).alias("_kmin"),
+                                                     F.max(key).alias("_kmax")))
+    edge = (tagged.join(bounds, "_part")
+            .where((F.col(key) == F.col("_kmin")) | (F.col(key) == F.col("_kmax"))))
+    # <= 2 rows per partition: sums of the edge slices, then exclusive offsets
+    slices = edge.groupBy("_part", key).agg(F.sum(v).alias("_ts"), F.count(v).alias("_tc"))
     prior = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("_part", key,
                             F.coalesce(F.sum("_ts").over(prior), F.lit(0.0)).alias("_os"),
                             F.coalesce(F.sum("_tc").over(prior), F.lit(0)).alias("_oc"))
-    # lookback across edges: first rows of each partition's first key, last rows of its last key
-    marked = local.join(edge_keys, "_part")
-    head = (F.col(key) == F.col("_kmin")) & (F.col("_rn") <= lookback)
-    tail = (F.col(key) == F.col("_kmax")) & (F.col("_sz") - F.col("_rn") < lookback)
-    ends = marked.where(head | tail).select(key, *order_cols, value, head.alias("_head")).distinct()
+    # <= 2 * lookback rows per partition: first rows of the first key, last rows of the last key
+    up = F.row_number().over(w)
+    down = F.row_number().over(Window.partitionBy("_part", key).orderBy(*[c.desc() for c in order]))
+    ranked = edge.select(key, *order_cols, value, "_kmin", "_kmax", up.alias("_up"), down.alias("_dn"))
+    head = (F.col(key) == F.col("_kmin")) & (F.col("_up") <= lookback)
+    tail = (F.col(key) == F.col("_kmax")) & (F.col("_dn") <= lookback)
+    ends = ranked.where(head | tail).select(key, *order_cols, value, head.alias("_head"))
     across = Window.partitionBy(key).orderBy(*order).rowsBetween(-lookback, -1)
     fixes = (ends.select(key, *order_cols, "_head", F.max(v).over(across).alias("_fm"))
-             .where("_head").drop("_head"))
-    out = (local.join(bounded_broadcast(offsets), ["_part", key], "left")
-                .join(bounded_broadcast(fixes.withColumn("_fixed", F.lit(True))),
-                      [key, *order_cols], "left"))
+             .where("_head").select(key, *order_cols, "_fm", F.lit(True).alias("_fixed")))
+
+    local = tagged.select(
+        "*",
+        F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+         .alias("_ls"),
+        F.count(v).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lc"),
+        F.max(v).over(w.rowsBetween(-lookback, -1)).alias("_lm"))
+    out = (local.join(F.broadcast(offsets), ["_part", key], "left")
+                .join(F.broadcast(fixes), [key, *order_cols], "left"))
     return out.select(
         *df.columns,
         (F.col("_ls") + F.coalesce(F.col("_os"), F.lit(0.0))).alias("prev_sum"),

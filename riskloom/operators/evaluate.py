@@ -203,7 +203,10 @@ def grid_counts(preds: DataFrame, grid: list[float] = THRESHOLD_GRID) -> DataFra
 
 def threshold_sweep(preds: DataFrame) -> DataFrame:
     """M9: 19 rows per model, metrics rounded to 4."""
-    g = grid_counts(preds)
+    return _sweep_metrics(grid_counts(preds))
+
+
+def _sweep_metrics(g: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return g.select("model", "threshold", "tp", "fp", "tn", "fn",
                     F.round(zero_guarded(tp, tp + fp), 4).alias("precision"),
@@ -219,12 +222,14 @@ def threshold_optima(preds: DataFrame, sweep: DataFrame | None = None) -> DataFr
     opt_thresh_raw: max unrounded F1 on the unrounded grid (first on ties),
     opt_thresh its 2-decimal display value.
     """
-    sweep = sweep if sweep is not None else threshold_sweep(preds)
+    both = grid_counts(preds, sorted(set(THRESHOLD_GRID) | set(RAW_GRID)))   # one scan
+    if sweep is None:
+        sweep = _sweep_metrics(both.where(F.col("threshold").isin(*THRESHOLD_GRID)))
     cost = F.lit(COST_FN_WEIGHT) * F.col("fn") + F.lit(COST_FP_WEIGHT) * F.col("fp")
     a = sweep.groupBy("model").agg(
         F.min_by("threshold", F.struct(-F.col("f1"), F.col("threshold"))).alias("optimal_f1_threshold"),
         F.min_by("threshold", F.struct(cost, F.col("threshold"))).alias("optimal_cost_threshold"))
-    raw = grid_counts(preds, RAW_GRID)
+    raw = both.where(F.col("threshold").isin(*RAW_GRID))
     f1 = _f1(F.col("tp"), F.col("fp"), F.col("fn"))
     b = raw.groupBy("model").agg(
         F.min_by("threshold", F.struct(-f1, F.col("threshold"))).alias("opt_thresh_raw"))
