@@ -2,17 +2,18 @@
 
 Each operator is DataFrame -> small DataFrame; one scan per statistic at
 most, partial (map-side) aggregation everywhere, no row data collected. The
-only driver round trip is ``category_modes`` (one row, one value per column),
-the same pattern MLlib's Imputer uses for its surrogates.
+only driver round trips are category modes (one value per column), the same
+pattern MLlib's Imputer uses for its surrogates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.nulls import ratio
 from riskloom.functions.ordered import exact_quantiles
+from riskloom.session import reliable_checkpoint
 from riskloom.schema import (CORRELATION_COLUMNS, FRAUD_VALUE, HIST_BINS, HIST_MAX,
                              PROFILE_CATEGORICALS, TARGET)
 
@@ -114,22 +115,30 @@ def _count_aggs() -> list[Column]:
     return [F.count(F.lit(1)).alias("n_rows"), *_rate_aggs()]
 
 
-def _mode_over(dim: str, key: str, weight: str = "n_rows") -> Column:
-    """Most frequent non-null ``key`` of the dimension (lowest on ties), as a window
-    over the small per-value aggregate."""
-    w = Window.partitionBy(dim).orderBy(F.col(key).isNull().asc(), F.desc(weight), F.asc(key))
-    return F.first(F.col(key)).over(w)
+def _modes(counts: DataFrame, dim: str, key: str, weight: str = "n_rows") -> dict:
+    """{dimension: most frequent non-null key (lowest on ties)} from a small aggregate.
+
+    A partial-aggregating ``min_by`` per dimension (no window); the result has one
+    value per dimension and is collected.
+    """
+    best = F.min_by(F.col(key), F.struct(-F.col(weight), F.col(key)))
+    rows = counts.where(F.col(key).isNotNull()).groupBy(dim).agg(best.alias("_mode")).collect()
+    return {r[dim]: r["_mode"] for r in rows}
 
 
 def _fill_and_merge(counts: DataFrame, dim: str, key: str) -> DataFrame:
     """Merge each dimension's NULL-key group into its mode group (the mode fill).
 
-    ``counts`` is the small per-value aggregate; the mode is a window over it,
-    so the data is scanned once.
+    ``counts`` is the per-value aggregate; it is written once as a small reliable
+    checkpoint so the data is scanned once for both the modes and the result.
     """
-    j = counts.select("*", _mode_over(dim, key).alias("_mode"))
-    filled = F.coalesce(F.col(key), F.col("_mode"))
-    return (j.where(filled.isNotNull())
+    counts = reliable_checkpoint(counts)
+    modes = _modes(counts, dim, key)
+    mode = F.lit(None).cast("string")
+    for d, m in modes.items():
+        mode = F.when(F.col(dim) == F.lit(d), F.lit(m)).otherwise(mode)
+    filled = F.coalesce(F.col(key).cast("string"), mode)
+    return (counts.where(filled.isNotNull())
             .groupBy(dim, filled.alias(key))
             .agg(F.sum("total").alias("total"), F.sum("fraud").alias("fraud")))
 
@@ -143,15 +152,14 @@ def rate_by_filled(df: DataFrame, key: str) -> DataFrame:
 def rate_by_combo_filled(df: DataFrame) -> DataFrame:
     """A6 with both flags mode-filled, one scan: (Combo, fraud_rate)."""
     i, n = "Is_International_Transaction", "Is_New_Merchant"
-    counts = df.groupBy(F.lit("c").alias("_dim"), F.col(i), F.col(n)).agg(*_count_aggs())
-    per_i = F.sum("n_rows").over(Window.partitionBy("_dim", i))
-    per_n = F.sum("n_rows").over(Window.partitionBy("_dim", n))
-    c2 = counts.select("*", per_i.alias("_ni"), per_n.alias("_nn"))
-    j = c2.select("*", _mode_over("_dim", i, "_ni").alias("_mi"),
-                  _mode_over("_dim", n, "_nn").alias("_mn"))
-    fi, fn = F.coalesce(F.col(i), F.col("_mi")), F.coalesce(F.col(n), F.col("_mn"))
+    counts = reliable_checkpoint(df.groupBy(F.col(i), F.col(n)).agg(*_count_aggs()))
+    per_i = counts.groupBy(F.lit("c").alias("_d"), i).agg(F.sum("n_rows").alias("n_rows"))
+    per_n = counts.groupBy(F.lit("c").alias("_d"), n).agg(F.sum("n_rows").alias("n_rows"))
+    mi, mn = _modes(per_i, "_d", i).get("c"), _modes(per_n, "_d", n).get("c")
+    fi = F.coalesce(F.col(i), F.lit(mi).cast("string"))
+    fn = F.coalesce(F.col(n), F.lit(mn).cast("string"))
     key = F.concat(fi, F.lit(" Intl / "), fn, F.lit(" New"))
-    merged = (j.where(key.isNotNull()).groupBy(key.alias("Combo"))
+    merged = (counts.where(key.isNotNull()).groupBy(key.alias("Combo"))
               .agg(F.sum("total").alias("total"), F.sum("fraud").alias("fraud")))
     return _with_rate(merged).select("Combo", "fraud_rate")
 

@@ -1,6 +1,5 @@
 """Every registered query with an oracle equals its DuckDB SQL (sf0.001 tables)."""
 import math
-import os
 
 import duckdb
 import pytest
@@ -39,6 +38,13 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(sdf.columns) == sorted(ocols)
     cols = sorted(ocols)
     assert _rows(srows, cols) == _rows(orows, cols)
+    _check_plan(sdf)
+
+
+def _check_plan(sdf):
+    """Plan gate: no Python evaluation and no window over a single global partition."""
+    from riskloom.plans.inspect import plan_problems
+    assert plan_problems(sdf) == []
 
 
 def test_every_query_has_oracle_or_is_rows_only():
