@@ -15,6 +15,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _driver_memory() -> str:
+    """About 60 % of physical memory (local mode runs everything in the driver), <= 16g."""
+    if os.environ.get("RISKLOOM_DRIVER_MEMORY"):
+        return os.environ["RISKLOOM_DRIVER_MEMORY"]
+    try:
+        with open("/proc/meminfo") as fh:
+            kb = next(int(line.split()[1]) for line in fh if line.startswith("MemTotal"))
+        return f"{max(1, min(16, int(kb / 1024 / 1024 * 0.6)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "riskloom") -> SparkSession:
     cores = os.environ.get("BENCH_CPUS")
@@ -33,7 +45,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("RISKLOOM_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", _driver_memory())
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
