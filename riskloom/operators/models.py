@@ -53,6 +53,7 @@ class TrainConfig:
     seed: int = 42
     max_rows: int | None = None
     models: tuple[str, ...] = (RF, GBT, LR)
+    parallelism: int = 4                 # concurrent fits (full fits and CV folds), as CrossValidator
 
 
 @dataclasses.dataclass
@@ -242,34 +243,47 @@ def _predict(name, model, df) -> DataFrame:
                                          F.col("label").cast("int").alias("label"), "p")
 
 
+def _fold_ap(name: str, train: DataFrame, k: int, cfg: TrainConfig) -> float:
+    m = fit_candidate(name, train.where(F.col("fold") != k), cfg)
+    pr = _predict(name, m, train.where(F.col("fold") == k))
+    ap = EV.rank_metrics(EV.score_steps(pr)).first()["average_precision"]
+    return float(ap) if ap is not None else 0.0
+
+
+def _mean_std(scores: list[float]) -> tuple[float, float]:
+    mean = sum(scores) / len(scores)
+    return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+
+
 def cross_validate(name: str, train: DataFrame, cfg: TrainConfig) -> tuple[float, float]:
     """Mean and population std of average precision over the CV folds."""
-    scores = []
-    for k in range(cfg.cv_folds):
-        m = fit_candidate(name, train.where(F.col("fold") != k), cfg)
-        pr = _predict(name, m, train.where(F.col("fold") == k))
-        ap = EV.rank_metrics(EV.score_steps(pr)).first()["average_precision"]
-        scores.append(float(ap) if ap is not None else 0.0)
-    mean = sum(scores) / len(scores)
-    std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    return mean, std
+    return _mean_std([_fold_ap(name, train, k, cfg) for k in range(cfg.cv_folds)])
 
 
 def train_all(tx: DataFrame, cfg: TrainConfig = TrainConfig()) -> TrainResult:
+    """Fit every candidate on the training part and run its CV folds.
+
+    Full fits and folds are independent Spark jobs submitted from a thread pool
+    (``cfg.parallelism``), like ``CrossValidator(parallelism=...)``.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     prep, frame = prepare(tx, cfg)
     train = frame.where(~F.col("is_test"))
     test = frame.where(F.col("is_test"))
-    models, preds, cv = {}, [], {}
-    for name in cfg.models:
-        models[name] = fit_candidate(name, train, cfg)
-        preds.append(_predict(name, models[name], test))
-        cv[name] = cross_validate(name, train, cfg) if cfg.cv_folds > 1 else (0.0, 0.0)
+    with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
+        fits = {n: pool.submit(fit_candidate, n, train, cfg) for n in cfg.models}
+        folds = {(n, k): pool.submit(_fold_ap, n, train, k, cfg)
+                 for n in cfg.models for k in range(cfg.cv_folds if cfg.cv_folds > 1 else 0)}
+        models = {n: f.result() for n, f in fits.items()}
+        cv = {n: (_mean_std([folds[(n, k)].result() for k in range(cfg.cv_folds)])
+                  if cfg.cv_folds > 1 else (0.0, 0.0)) for n in cfg.models}
+    preds = [_predict(n, models[n], test) for n in cfg.models]
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)
     allp = reliable_checkpoint(allp)
     metrics = model_metrics(allp, cv)
-    best = (metrics.orderBy(F.desc("cv_mean_raw"), F.desc("pr_auc")).first()["name"])
+    best = metrics.orderBy(F.desc("cv_mean_raw"), F.desc("pr_auc")).first()["name"]
     return TrainResult(prep, models, allp, metrics, best, frame)
 
 
