@@ -83,40 +83,100 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, descendin
     return out
 
 
-def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
-                    probs: list[float], num_partitions: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, NULLs skipped.
+def _pick(ranked: DataFrame, targets: DataFrame, keys: list[str], value_col: str,
+          offset_col: str | None = None) -> DataFrame:
+    """Interpolate between the order statistics at ranks _lo and _hi (0-based).
 
-    Returns one row per (group, q) with ``quantile``. Distributed: the value
-    counts are pre-aggregated, ranked by ``ordered_scan`` and the two order
-    statistics around each target rank are picked by a join to a small target
-    table (groups x probabilities).
+    ``ranked`` has cum__n (inclusive running count within ``keys``) and _n;
+    ``offset_col`` (on targets) shifts ranks by the rows below the ranked range.
     """
+    shift = F.col(offset_col) if offset_col else F.lit(0)
+    first_rank = F.col("cum__n") - F.col("_n") + shift
+    last_rank = F.col("cum__n") + shift
+    hit_lo = (first_rank <= F.col("_lo")) & (F.col("_lo") < last_rank)
+    hit_hi = (first_rank <= F.col("_hi")) & (F.col("_hi") < last_rank)
+    picks = (ranked.join(bounded_broadcast(targets), keys)
+             .where(hit_lo | hit_hi)
+             .groupBy(*keys, "_pos", "_lo")
+             .agg(F.max(F.when(hit_lo, F.col(value_col))).alias("_vlo"),
+                  F.max(F.when(hit_hi, F.col(value_col))).alias("_vhi")))
+    frac = F.col("_pos") - F.col("_lo")
+    vlo, vhi = F.col("_vlo").cast("double"), F.col("_vhi").cast("double")
+    return picks.select(*keys, (vlo + (vhi - vlo) * frac).alias("quantile"))
+
+
+def _targets(totals: DataFrame, group_cols: list[str], probs: list[float]) -> DataFrame:
+    qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
+    t = totals.select(*group_cols, "_total", qs)
+    pos = F.col("q") * (F.col("_total") - 1)
+    return t.select(*group_cols, "q", "_total", pos.alias("_pos"),
+                    F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
+
+
+def exact_quantiles_full(df: DataFrame, group_cols: list[str], value_col: str,
+                         probs: list[float], num_partitions: int | None = None) -> DataFrame:
+    """Exact quantiles by ranking every distinct (group, value) pair."""
     counts = (df.where(F.col(value_col).isNotNull())
                 .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
     ranked = ordered_scan(counts, group_cols, value_col, False, ["_n"],
                           num_partitions=num_partitions)
     # totals from the checkpoint-backed ranks, not from the upstream aggregate
     totals = ranked.groupBy(*group_cols).agg(F.max("cum__n").alias("_total"))
-    qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
-    targets = totals.select(*group_cols, "_total", qs)
-    pos = F.col("q") * (F.col("_total") - 1)
-    targets = targets.select(*group_cols, "q", pos.alias("_pos"),
-                             F.floor(pos).cast("long").alias("_lo"),
-                             F.ceil(pos).cast("long").alias("_hi"))
-    # rank r (0-based) sits on the row with cum - n <= r < cum
-    first_rank = F.col("cum__n") - F.col("_n")
-    hit_lo = (first_rank <= F.col("_lo")) & (F.col("_lo") < F.col("cum__n"))
-    hit_hi = (first_rank <= F.col("_hi")) & (F.col("_hi") < F.col("cum__n"))
-    picks = (ranked.join(bounded_broadcast(targets), group_cols)
-             .where(hit_lo | hit_hi)
-             .groupBy(*group_cols, "q", "_pos", "_lo")
-             .agg(F.max(F.when(hit_lo, F.col(value_col))).alias("_vlo"),
-                  F.max(F.when(hit_hi, F.col(value_col))).alias("_vhi")))
-    frac = F.col("_pos") - F.col("_lo")
-    vlo = F.col("_vlo").cast("double")
-    vhi = F.col("_vhi").cast("double")
-    return picks.select(*group_cols, "q", (vlo + (vhi - vlo) * frac).alias("quantile"))
+    targets = _targets(totals, group_cols, probs).drop("_total")
+    return _pick(ranked, targets, [*group_cols, "q"], value_col)
+
+
+def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
+                    probs: list[float], num_partitions: int | None = None,
+                    accuracy: int = 10000) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, NULLs skipped.
+
+    Returns one row per (group, q) with ``quantile``. Two passes over the data
+    instead of a shuffle of every distinct value: (1) ``percentile_approx``
+    (bounded-memory sketches, rank error <= N/accuracy) brackets each target
+    rank by the approximate quantiles at q -/+ 3/accuracy; (2) one aggregation
+    counts the rows below each bracket and the distinct values inside it; only
+    those are ranked exactly (``ordered_scan``). Each result is verified
+    (the target ranks fall inside the bracket); if any bracket missed, the
+    full ranking is used instead.
+    """
+    v = F.col(value_col)
+    data = df.where(v.isNotNull()).select(*group_cols, v.cast("double").alias("_v"))
+    d = 3.0 / accuracy
+    edges = sorted({max(0.0, q - d) for q in probs} | {min(1.0, q + d) for q in probs})
+    sk = data.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("_total"),
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_sk"))
+    targets = _targets(sk, group_cols, probs)
+    idx = {e: i for i, e in enumerate(edges)}
+    lo_expr = F.lit(None).cast("double")
+    hi_expr = F.lit(None).cast("double")
+    for q in probs:
+        lo_expr = F.when(F.col("q") == q, F.col("_sk")[idx[max(0.0, q - d)]]).otherwise(lo_expr)
+        hi_expr = F.when(F.col("q") == q, F.col("_sk")[idx[min(1.0, q + d)]]).otherwise(hi_expr)
+    brackets = targets.join(sk.select(*group_cols, "_sk"), group_cols).select(
+        *group_cols, "q", "_pos", "_lo", "_hi", lo_expr.alias("_blo"), hi_expr.alias("_bhi"))
+    brackets = reliable_checkpoint(brackets)            # groups x probs rows
+    keys = [*group_cols, "q"]
+    inside = F.col("_v") >= F.col("_blo")
+    counted = (data.join(bounded_broadcast(brackets.select(*keys, "_blo", "_bhi")), group_cols)
+               .where(F.col("_v") <= F.col("_bhi"))
+               .groupBy(*keys, F.when(inside, F.col("_v")).alias(value_col))
+               .agg(F.count(F.lit(1)).alias("_n")))
+    counted = reliable_checkpoint(counted)              # below-counts + bracket values only
+    below = (counted.where(F.col(value_col).isNull())
+             .select(*keys, F.col("_n").alias("_below")))
+    ranked = ordered_scan(counted.where(F.col(value_col).isNotNull()), keys, value_col, False,
+                          ["_n"], num_partitions=num_partitions)
+    span = ranked.groupBy(*keys).agg(F.max("cum__n").alias("_inside"))
+    tg = (brackets.join(below, keys, "left").join(span, keys, "left")
+          .select(*keys, "_pos", "_lo", "_hi", F.coalesce("_below", F.lit(0)).alias("_below"),
+                  F.coalesce("_inside", F.lit(0)).alias("_inside")))
+    ok = (F.col("_below") <= F.col("_lo")) & (F.col("_hi") < F.col("_below") + F.col("_inside"))
+    if tg.where(~ok).limit(1).count() > 0:
+        return exact_quantiles_full(df, group_cols, value_col, probs, num_partitions)
+    return _pick(ranked, tg.select(*keys, "_pos", "_lo", "_hi", "_below"), keys, value_col,
+                 offset_col="_below")
 
 
 def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lookback: int = 3,

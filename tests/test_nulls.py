@@ -62,3 +62,20 @@ def test_python_rounding(spark):
     for d in (1, 2):
         got = [r[0] for r in df.select(py_round(F.col("x"), d)).collect()]
         assert got == [round(v, d) for v in vals]
+
+
+def test_bracketed_quantiles_exact_without_fallback(spark, monkeypatch):
+    from riskloom.functions import ordered as O
+
+    def no_fallback(*a, **k):
+        raise AssertionError("bracket missed: full ranking used")
+    monkeypatch.setattr(O, "exact_quantiles_full", no_fallback)
+    rng = np.random.default_rng(1)
+    rows = [("a" if i % 3 else "b", float(0 if i % 3 == 0 else rng.integers(0, 1000)))
+            for i in range(20000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.q): r.quantile for r in O.exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.99]).collect()}
+    for g in "ab":
+        vals = np.array([v for k, v in rows if k == g])
+        for q in (0.1, 0.5, 0.99):
+            assert got[(g, q)] == float(np.percentile(vals, q * 100))
