@@ -21,11 +21,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's count_if is bigint: cast each call."""
+    out, i, token = [], 0, "count_if("
+    while (j := sql.find(token, i)) >= 0:
+        depth, k = 0, j + len(token) - 1
+        while True:                                   # the matching close parenthesis
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(f"{sql[i:j]}CAST({sql[j:k + 1]} AS BIGINT)")
+        i = k + 1
+    return "".join(out) + sql[i:]
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = _bigint_count_if(sql)
         return fn
     return deco
 

@@ -8,6 +8,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "orders"]
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE"}
 
 
 def _norm(v):
@@ -36,6 +38,9 @@ def test_query_matches_oracle(spark, con, name):
     ocols = [d[0] for d in res.description]
     orows = [dict(zip(ocols, r)) for r in res.fetchall()]
     assert sorted(sdf.columns) == sorted(ocols)
+    duck = {d[0]: str(d[1]) for d in res.description}
+    for f in sdf.schema.fields:                       # same column types in both engines
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == duck[f.name], (f.name, duck[f.name])
     cols = sorted(ocols)
     assert _rows(srows, cols) == _rows(orows, cols)
     _check_plan(sdf)
