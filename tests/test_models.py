@@ -64,3 +64,30 @@ def test_linear_attribution_is_additive(spark):
     assert len(wf) == 12 and [x.value for x in wf] == sorted(x.value for x in wf)
     imp = M.importance(lr, res.prep.inputs).collect()
     assert len(imp) == 15
+
+
+def test_stream_scoring_with_fitted_model_equals_batch(spark):
+    from riskloom.plans import registry as R
+    from riskloom.sources.requests import read_requests, requests_from_transactions
+    from riskloom.sources.transactions import fixture_cities
+    from riskloom.streaming import scoring as ST
+    tx = fixture_transactions(spark, SF_MID)
+    cfg = dataclasses.replace(SMALL, models=(M.LR,), cv_folds=0)
+    res = M.train_all(tx, cfg)
+    fn = M.model_probability(res.prep, res.models[M.LR])
+    small = fixture_transactions(spark, "/root/testdata/sf0.001")
+    src = shared_path(spark, "model-requests")
+    requests_from_transactions(small).write.json(src)
+    cities = fixture_cities(spark, "/root/testdata/sf0.001")
+    queries, sink, _ = ST.start_scoring_stream(spark, src, cities, fn, 0.35,
+                                               merchant_cats=R.FIXTURE_MERCHANTS)
+    for q in queries:
+        q.awaitTermination()
+    stream = spark.read.parquet(sink)
+    batch, _ = ST.scoring_plan(read_requests(spark, src), cities, fn, 0.35,
+                               merchant_cats=R.FIXTURE_MERCHANTS)
+    cols = ["request_id", "p", "ml_tier", "risk_score", "tier"]
+    a = sorted(tuple(r) for r in stream.select(*cols).collect())
+    b = sorted(tuple(r) for r in batch.select(*cols).collect())
+    assert a == b and len(a) > 0
+    assert all(0.0 <= r[1] <= 1.0 for r in a)
