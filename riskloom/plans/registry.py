@@ -648,18 +648,16 @@ from riskloom.operators import validate as VAL  # noqa: E402
 from riskloom.sources.transactions import fixture_cities  # noqa: E402
 
 _GEO_SQL = S.with_ctes("""
-SELECT Transaction_ID, Customer_Home_Location AS home, Transaction_Location AS loc,
-  h.country AS home_country, l.country AS tx_country,
+SELECT Transaction_ID, home, loc, home_country, tx_country,
   CAST(floor(6371.0::DOUBLE * 2 * atan2(sqrt(a), sqrt(1 - a)) + 0.5) AS BIGINT) AS distance_km,
-  h.country <> l.country AS cross_border
-FROM (SELECT tx.*, h.country AS hc, l.country AS lc,
+  home_country <> tx_country AS cross_border
+FROM (SELECT Transaction_ID, Customer_Home_Location AS home, Transaction_Location AS loc,
+        h.country AS home_country, l.country AS tx_country,
         pow(sin((l.lat - h.lat) * (pi() / 180) / 2), 2)
         + cos(h.lat * (pi() / 180)) * cos(l.lat * (pi() / 180))
           * pow(sin((l.lon - h.lon) * (pi() / 180) / 2), 2) AS a
       FROM tx LEFT JOIN cities h ON Customer_Home_Location = h.city
-              LEFT JOIN cities l ON Transaction_Location = l.city) x
-LEFT JOIN cities h ON x.Customer_Home_Location = h.city
-LEFT JOIN cities l ON x.Transaction_Location = l.city""", ("cities", S.CITY_SQL))
+              LEFT JOIN cities l ON Transaction_Location = l.city) x""", ("cities", S.CITY_SQL))
 
 
 def _geo(spark, sf_dir):
