@@ -55,10 +55,6 @@ def txh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_transactions(spark, sf_dir, history=True)
 
 
-def mf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.mode_fill(tx(spark, sf_dir))
-
-
 _FRAUD = "Fraud_Label = 'Fraud'"
 _RATE_COLS = (f"count(Fraud_Label) AS total, count_if({_FRAUD}) AS fraud, "
               f"round(CAST(count_if({_FRAUD}) AS DOUBLE) / count(Fraud_Label), 6) AS fraud_rate")
