@@ -41,12 +41,35 @@ def _with_rate(df: DataFrame) -> DataFrame:
 
 # ── A2: mode fill ────────────────────────────────────────────────────────────
 
+def value_counts(df: DataFrame, cols: list[str] = PROFILE_CATEGORICALS) -> DataFrame:
+    """(column, value, n): one unpivot and one partial-aggregating group-by for all
+    columns; the result has one row per distinct value (NULL included)."""
+    cols = [c for c in cols if c in df.columns]
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
+    ])).alias("kv")).select("kv.*")
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mode_fill_table(df: DataFrame, cols: list[str] = PROFILE_CATEGORICALS) -> DataFrame:
+    """(column, missing, fill_value): the fill chosen for each categorical column.
+
+    The mode is the most frequent non-null value, lowest on ties; it is only a
+    fill when the column has gaps.
+    """
+    vc = value_counts(df, cols)
+    agg = vc.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.min_by(F.when(F.col("value").isNotNull(), F.col("value")),
+                 F.struct(F.col("value").isNull(), -F.col("n"), F.col("value"))).alias("_mode"))
+    return agg.select("column", F.col("missing").cast("long").alias("missing"),
+                      F.when(F.col("missing") > 0, F.col("_mode")).alias("fill_value"))
+
+
 def category_modes(df: DataFrame, cols: list[str] = PROFILE_CATEGORICALS) -> dict:
     """Most frequent value (lowest on ties) of each column that has gaps."""
-    cols = [c for c in cols if c in df.columns]
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in cols],
-                 *[F.mode(c, deterministic=True).alias(f"v_{c}") for c in cols]).first()
-    return {c: row[f"v_{c}"] for c in cols if row[f"m_{c}"] > 0 and row[f"v_{c}"] is not None}
+    return {r["column"]: r["fill_value"] for r in mode_fill_table(df, cols).collect()
+            if r["fill_value"] is not None}
 
 
 def mode_fill(df: DataFrame, cols: list[str] = PROFILE_CATEGORICALS) -> DataFrame:
@@ -56,18 +79,6 @@ def mode_fill(df: DataFrame, cols: list[str] = PROFILE_CATEGORICALS) -> DataFram
                        else F.col(c) for c in df.columns])
 
 
-def mode_fill_table(df: DataFrame, cols: list[str] = PROFILE_CATEGORICALS) -> DataFrame:
-    """(column, missing, fill_value): the fill chosen for each categorical column."""
-    cols = [c for c in cols if c in df.columns]
-    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in cols],
-                 *[F.mode(c, deterministic=True).alias(f"v_{c}") for c in cols])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"m_{c}").alias("missing"),
-                 F.when(F.col(f"m_{c}") > 0, F.col(f"v_{c}")).alias("fill_value"))
-        for c in cols])).alias("r")
-    return one.select(rows).select("r.*")
-
-
 # ── A1, A3-A6 ────────────────────────────────────────────────────────────────
 
 def overview(df: DataFrame) -> DataFrame:
