@@ -136,7 +136,7 @@ def _gbt(cfg: TrainConfig) -> GBTClassifier:
 
 
 def _logistic(cfg: TrainConfig, weight_sum: float) -> Pipeline:
-    # sklearn's C scales the summed loss; Spark averages it: regParam = 1 / (C * sum(w)).
+    # C scales the summed loss in the published model; Spark averages it: regParam = 1 / (C * sum(w)).
     reg = 1.0 / (cfg.lr_c * max(weight_sum, 1.0))
     return Pipeline(stages=[
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
