@@ -69,3 +69,21 @@ def test_keyed_history_matches_plain_window_with_hot_key(spark):
     for k in a:
         assert a[k][1] == b[k][1] and a[k][2] == b[k][2]
         assert abs(a[k][0] - b[k][0]) <= 1e-9 * max(1.0, abs(b[k][0]))
+
+
+def test_evaluation_edge_cases_do_not_raise(spark):
+    """One class only, one distinct score: NULL rank metrics, zero-guarded ratios."""
+    rows = [("neg", i, 0, 0.3) for i in range(50)] + [("pos", i, 1, 0.7) for i in range(5)]
+    preds = spark.createDataFrame(rows, "model string, Transaction_ID long, label int, p double")
+    steps = EV.score_steps(preds, num_partitions=3)
+    m = {r.model: r for r in EV.rank_metrics(steps).collect()}
+    assert m["neg"].roc_auc is None and m["neg"].average_precision is None
+    assert m["pos"].roc_auc is None and m["pos"].average_precision == 1.0
+    pr = {(r.model, r.idx): r for r in EV.pr_curve(steps).collect()}
+    assert pr[("neg", 0)].recall == 1.0 and pr[("neg", 1)].precision == 1.0
+    roc = EV.roc_curve(steps).collect()
+    assert {r.model for r in roc} == {"neg", "pos"}
+    sweep = EV.threshold_sweep(preds).collect()
+    assert all(r.precision >= 0 and r.f1 >= 0 for r in sweep)
+    assert EV.class_report(EV.confusion(preds, 0.5)).count() == 10
+    assert EV.threshold_optima(preds).count() == 2
