@@ -20,6 +20,7 @@ from riskloom.operators import validate as VAL
 from riskloom.sources.requests import (REQUEST_TO_TRANSACTION, request_stream,
                                        requests_to_transactions)
 from riskloom.session import shared_path
+from riskloom.sources.artifacts import sanitize, to_json_lines
 
 ProbabilityFn = Callable[[DataFrame], DataFrame]
 
@@ -53,15 +54,25 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, cities: DataFrame
                          probability: ProbabilityFn, threshold: float,
                          sink_dir: str | None = None, quarantine_dir: str | None = None,
                          merchant_cats: list[str] | None = None,
-                         available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the scoring and quarantine queries; returns (queries, sink, quarantine)."""
+                         available_now: bool = True, max_files_per_trigger: int | None = None,
+                         responses_dir: str | None = None, model_name: str = "model",
+                         roc_auc: float | None = None):
+    """Start the scoring and quarantine queries; returns (queries, sink, quarantine).
+
+    With ``responses_dir`` a third query writes one JSON response document per
+    accepted request (nested trace, flags, percent texts) as text lines.
+    """
     sink_dir = sink_dir or shared_path(spark, "scored")
     quarantine_dir = quarantine_dir or shared_path(spark, "quarantine")
     stream = request_stream(spark, source_dir, max_files_per_trigger)
     scored, quarantined = scoring_plan(stream, cities, probability, threshold, merchant_cats)
+    outputs = [(scored, sink_dir, "parquet"), (quarantined, quarantine_dir, "parquet")]
+    if responses_dir:
+        docs = to_json_lines(sanitize(RU.response(scored, model_name, roc_auc))).select("value")
+        outputs.append((docs, responses_dir, "text"))
     out = []
-    for df, path in ((scored, sink_dir), (quarantined, quarantine_dir)):
-        w = (df.writeStream.format("parquet").outputMode("append")
+    for df, path, fmt in outputs:
+        w = (df.writeStream.format(fmt).outputMode("append")
              .option("checkpointLocation", f"{path}/_checkpoint").option("path", path))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
         out.append(w.start())

@@ -29,3 +29,25 @@ def test_batch_equals_stream(spark):
     assert rejected.where(F.size("errors") == 0).count() == 0
     h = history(spark, sink, 10).collect()
     assert len(h) == 10
+
+
+def test_stream_writes_json_responses(spark):
+    import json
+
+    from riskloom.session import shared_path
+    from riskloom.streaming import scoring as ST
+    tx = R.txh(spark, SF_SMALL)
+    src = shared_path(spark, "json-requests")
+    requests_from_transactions(tx).write.json(src)
+    out = shared_path(spark, "responses")
+    queries, sink, _ = ST.start_scoring_stream(
+        spark, src, fixture_cities(spark, SF_SMALL), R.surrogate_probability, 0.35,
+        merchant_cats=R.FIXTURE_MERCHANTS, responses_dir=out, model_name="surrogate")
+    for q in queries:
+        q.awaitTermination()
+    docs = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    assert len(docs) == spark.read.parquet(sink).count() > 0
+    d = docs[0]
+    assert set(d) >= {"risk_score", "risk_score_pct", "tier", "ml_probability", "decision_trace",
+                      "flags", "model", "optimal_threshold"}
+    assert d["model"] == "surrogate" and d["decision_trace"]["final_tier"] == d["tier"]
