@@ -56,7 +56,3 @@ def zero_guarded(num: Column, den: Column) -> Column:
 def nan_to_null(x: Column) -> Column:
     """Map NaN and +/-Inf to NULL (result sanitising)."""
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
-
-
-def round6(x: Column) -> Column:
-    return F.round(x, 6)

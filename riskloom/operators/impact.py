@@ -13,10 +13,11 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.schema import IMPACT_COST_FP, IMPACT_MONTHLY_VOLUME
+from riskloom.schema import IMPACT_COST_FN_FALLBACK, IMPACT_COST_FP, IMPACT_MONTHLY_VOLUME
 
 
-def default_cost_fn(avg_fraud_amount: float | None, fallback: float = 5.0) -> float:
+def default_cost_fn(avg_fraud_amount: float | None,
+                    fallback: float = IMPACT_COST_FN_FALLBACK) -> float:
     """The mean fraud amount as the form shows it (one decimal, half-up)."""
     if avg_fraud_amount is None:
         return fallback

@@ -50,9 +50,6 @@ FLAG_FAILED_FORMAT = "%d failed transaction(s) in session"
 FLAG_PRIOR_FORMAT = "Prior fraud history: %d incident(s)"
 FLAG_SPIKE_FORMAT = "Amount spike: $%s vs avg $%s (%s×)"
 
-TIERS = ["LOW", "MEDIUM", "HIGH"]
-
-
 def tier_rank(t: Column) -> Column:
     return F.when(t == "HIGH", 2).when(t == "MEDIUM", 1).otherwise(0)
 

@@ -147,10 +147,9 @@ COST_FN_WEIGHT = 5.0     # cost-optimal threshold: 5 * fn + 0.1 * fp
 COST_FP_WEIGHT = 0.1
 
 # Business-impact defaults of the dashboard.
-IMPACT_COST_FN = 5.0
+IMPACT_COST_FN_FALLBACK = 5.0     # when no mean fraud amount is available
 IMPACT_COST_FP = 15.0
 IMPACT_MONTHLY_VOLUME = 50000.0
-IMPACT_TEST_SIZE_FALLBACK = 10000
 
 # Amount histogram: 0..100000 clipped, 22 edges = 21 bins.
 HIST_MAX = 100000.0
@@ -164,7 +163,6 @@ ML_COMPONENT_MAX = 60.0
 RULE_COMPONENT_MAX = 40.0
 TIER_HIGH_SCORE = 70.0
 TIER_MEDIUM_SCORE = 35.0
-TIER_RANK = {"LOW": 0, "MEDIUM": 1, "HIGH": 2}
 
 # ─────────────────────────────────────────────────────────────────────────────
 # Declared schemas.
