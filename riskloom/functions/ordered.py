@@ -24,6 +24,10 @@ from riskloom.functions.joins import bounded_broadcast
 from riskloom.session import reliable_checkpoint
 
 
+# largest number of distinct in-bracket values ranked by a plain window per target
+BRACKET_WINDOW_MAX = 1_000_000
+
+
 def _parts(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -136,7 +140,9 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     (bounded-memory sketches, rank error <= N/accuracy) brackets each target
     rank by the approximate quantiles at q -/+ 3/accuracy; (2) one aggregation
     counts the rows below each bracket and the distinct values inside it; only
-    those are ranked exactly (``ordered_scan``). Each result is verified
+    those are ranked exactly: by a window per (group, q) when every bracket has
+    at most ``BRACKET_WINDOW_MAX`` distinct values (checked), else by
+    ``ordered_scan``. Each result is verified
     (the target ranks fall inside the bracket); if any bracket missed, the
     full ranking is used instead.
     """
@@ -166,8 +172,16 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     counted = reliable_checkpoint(counted)              # below-counts + bracket values only
     below = (counted.where(F.col(value_col).isNull())
              .select(*keys, F.col("_n").alias("_below")))
-    ranked = ordered_scan(counted.where(F.col(value_col).isNotNull()), keys, value_col, False,
-                          ["_n"], num_partitions=num_partitions)
+    inner = counted.where(F.col(value_col).isNotNull())
+    widest = inner.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if widest <= BRACKET_WINDOW_MAX:
+        # every bracket is small (checked): one bounded window per (group, q)
+        w = (Window.partitionBy(*keys).orderBy(value_col)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = inner.select("*", F.sum("_n").over(w).alias("cum__n"))
+    else:
+        ranked = ordered_scan(inner, keys, value_col, False, ["_n"],
+                              num_partitions=num_partitions)
     span = ranked.groupBy(*keys).agg(F.max("cum__n").alias("_inside"))
     tg = (brackets.join(below, keys, "left").join(span, keys, "left")
           .select(*keys, "_pos", "_lo", "_hi", F.coalesce("_below", F.lit(0)).alias("_below"),
