@@ -100,6 +100,16 @@ def load_artifacts(spark: SparkSession, path: str) -> dict:
             "metrics": spark.read.parquet(f"{path}/metrics")}
 
 
+def version_view(spark: SparkSession, artifact: dict) -> DataFrame:
+    """S8 view: provenance of a loaded artifact with the serving (floored) threshold."""
+    from riskloom.schema import THRESHOLD_FLOOR
+    meta = dict(artifact["metadata"])
+    raw = float(meta.pop("optimal_f1_threshold"))
+    row = {**meta, "optimal_f1_threshold": max(raw, THRESHOLD_FLOOR),
+           "raw_optimal_f1_threshold": raw}
+    return spark.createDataFrame([row])
+
+
 def sanitize(df: DataFrame) -> DataFrame:
     """NaN and +/-Inf become NULL in every double/float column (top level)."""
     return df.select(*[nan_to_null(F.col(f.name)).alias(f.name)

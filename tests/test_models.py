@@ -30,6 +30,9 @@ def test_train_select_save_load_score(spark):
     ART.save_artifacts(path, res, meta)
     back = ART.load_artifacts(spark, path)
     assert back["best_name"] == res.best_name
+    ver = ART.version_view(spark, back).first()
+    assert ver.best_model == res.best_name and ver.n_features == 50
+    assert ver.optimal_f1_threshold == 0.35 and ver.raw_optimal_f1_threshold == 0.35
     v = back["prep"].transform(tx.limit(200))
     for name, model in res.models.items():
         a = {r.Transaction_ID: r.p for r in M.probability(model, v).collect()}
