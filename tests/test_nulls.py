@@ -79,3 +79,23 @@ def test_bracketed_quantiles_exact_without_fallback(spark, monkeypatch):
         vals = np.array([v for k, v in rows if k == g])
         for q in (0.1, 0.5, 0.99):
             assert got[(g, q)] == float(np.percentile(vals, q * 100))
+
+
+def test_python_rounding_property(spark):
+    """py_round equals Python's round() on random doubles and near-tie decimals."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    values = []
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False, allow_infinity=False),
+           st.integers(min_value=0, max_value=1000))
+    def collect(x, k):
+        values.append(x)
+        values.append(round(x, 2) + (k % 10) * 0.005)        # near-tie decimals
+    collect()
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    for d in (1, 2, 4, 6):
+        got = [r[0] for r in df.select(py_round(F.col("x"), d)).collect()]
+        assert got == [round(v, d) for v in values]
