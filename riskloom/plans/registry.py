@@ -36,11 +36,31 @@ def _bigint_count_if(sql: str) -> str:
     return "".join(out) + sql[i:]
 
 
+def _positive_zero_round(sql: str) -> str:
+    """DuckDB's round keeps the sign of a tiny negative (-0.0); Spark's round gives
+    +0.0: add 0.0 to each round() result (only -0.0 changes)."""
+    out, i, token = [], 0, "round("
+    while (j := sql.find(token, i)) >= 0:
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(token)])
+            i = j + len(token)
+            continue
+        depth, k = 0, j + len(token) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(f"{sql[i:j]}({sql[j:k + 1]} + 0.0)")
+        i = k + 1
+    return "".join(out) + sql[i:]
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = _bigint_count_if(sql)
+            ORACLES[name] = _positive_zero_round(_bigint_count_if(sql))
         return fn
     return deco
 

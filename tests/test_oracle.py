@@ -14,7 +14,9 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9) + 0.0
+        if math.isnan(v):
+            return None
+        return round(v, 9) if v != 0.0 else ("-0.0" if math.copysign(1.0, v) < 0 else 0.0)
     return v
 
 
