@@ -118,3 +118,35 @@ def test_rank_metrics_property_random_partitions(spark):
             sub = [(r[2], r[3]) for r in rows if r[0] == m]
             auc, ap = _brute_auc_ap([s[0] for s in sub], [s[1] for s in sub])
             assert abs(got[m][0] - auc) < 1e-12 and abs(got[m][1] - ap) < 1e-12, (parts, seed)
+
+
+def test_keyed_history_property(spark):
+    """Random lookback, partition count and key skew: equals the plain per-key window."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from riskloom.functions.ordered import keyed_history
+    cases = []
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.integers(1, 19), st.integers(1, 5), st.integers(0, 10_000), st.integers(1, 30))
+    def collect(parts, lookback, seed, keys):
+        cases.append((parts, lookback, seed, keys))
+    collect()
+    for parts, lookback, seed, keys in cases:
+        rng = np.random.default_rng(seed)
+        rows = [(0 if i % 2 == 0 else int(rng.integers(1, keys + 1)), int(rng.integers(0, 9)), i,
+                 None if i % 13 == 0 else float(rng.integers(-500, 500)))
+                for i in range(600)]
+        df = spark.createDataFrame(rows, "cust long, d long, k long, amt double")
+        got = keyed_history(df, "cust", ["d", "k"], "amt", lookback=lookback, num_partitions=parts)
+        w = Window.partitionBy("cust").orderBy("d", "k")
+        ref = df.select("k", F.sum("amt").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("s"),
+                        F.count("amt").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"),
+                        F.max("amt").over(w.rowsBetween(-lookback, -1)).alias("m"))
+        a = {r.k: (r.prev_sum, r.prev_count, r.prev_max) for r in got.collect()}
+        b = {r.k: (r.s or 0.0, r.c, r.m) for r in ref.collect()}
+        for k in b:
+            assert a[k][1:] == b[k][1:] and abs(a[k][0] - b[k][0]) < 1e-6, (parts, lookback, seed, k)
