@@ -148,18 +148,27 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     """
     v = F.col(value_col)
     data = df.where(v.isNotNull()).select(*group_cols, v.cast("double").alias("_v"))
-    d = 3.0 / accuracy
-    edges = sorted({max(0.0, q - d) for q in probs} | {min(1.0, q + d) for q in probs})
+    # Candidate half-widths of the bracket; per group the narrowest one of at
+    # least max(3/accuracy, 4/N) is used (small groups get a wide bracket: the
+    # interpolation ranks follow q*(N-1), the sketch ranks q*N).
+    margins = sorted({3.0 / accuracy, 1e-3, 3e-3, 1e-2, 3e-2, 0.1, 0.3, 1.0})
+    margins = [m for m in margins if m >= 3.0 / accuracy]
+    edge_of = {(q, m, side): min(1.0, max(0.0, q + side * m))
+               for q in probs for m in margins for side in (-1, 1)}
+    edges = sorted(set(edge_of.values()))
     sk = data.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("_total"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("_sk"))
     targets = _targets(sk, group_cols, probs)
     idx = {e: i for i, e in enumerate(edges)}
+    need = F.greatest(F.lit(3.0 / accuracy), F.lit(4.0) / F.col("_total"))
     lo_expr = F.lit(None).cast("double")
     hi_expr = F.lit(None).cast("double")
     for q in probs:
-        lo_expr = F.when(F.col("q") == q, F.col("_sk")[idx[max(0.0, q - d)]]).otherwise(lo_expr)
-        hi_expr = F.when(F.col("q") == q, F.col("_sk")[idx[min(1.0, q + d)]]).otherwise(hi_expr)
+        for m in reversed(margins):          # the last match wins: narrowest sufficient margin
+            pick = (F.col("q") == q) & ((F.lit(m) >= need) | F.lit(m == margins[-1]))
+            lo_expr = F.when(pick, F.col("_sk")[idx[edge_of[(q, m, -1)]]]).otherwise(lo_expr)
+            hi_expr = F.when(pick, F.col("_sk")[idx[edge_of[(q, m, 1)]]]).otherwise(hi_expr)
     brackets = targets.join(sk.select(*group_cols, "_sk"), group_cols).select(
         *group_cols, "q", "_pos", "_lo", "_hi", lo_expr.alias("_blo"), hi_expr.alias("_bhi"))
     brackets = reliable_checkpoint(brackets)            # groups x probs rows

@@ -99,3 +99,34 @@ def test_python_rounding_property(spark):
     for d in (1, 2, 4, 6):
         got = [r[0] for r in df.select(py_round(F.col("x"), d)).collect()]
         assert got == [round(v, d) for v in values]
+
+
+def test_bracketed_quantiles_property(spark, monkeypatch):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from riskloom.functions import ordered as O
+
+    def no_fallback(*a, **k):
+        raise AssertionError("bracket missed")
+    monkeypatch.setattr(O, "exact_quantiles_full", no_fallback)
+    cases = []
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.integers(0, 10_000), st.sampled_from(["normal", "ties", "tiny"]),
+           st.lists(st.sampled_from([0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]), min_size=1,
+                    max_size=3, unique=True))
+    def collect(seed, kind, probs):
+        cases.append((seed, kind, sorted(probs)))
+    collect()
+    for seed, kind, probs in cases:
+        rng = np.random.default_rng(seed)
+        n = {"normal": 5000, "ties": 5000, "tiny": 3}[kind]
+        vals = (rng.normal(0, 100, n) if kind != "ties" else rng.integers(0, 7, n).astype(float))
+        rows = [("g", float(v)) for v in vals] + [("h", float(v) * 2) for v in vals[: max(1, n // 3)]]
+        df = spark.createDataFrame(rows, "g string, v double")
+        got = {(r.g, r.q): r.quantile for r in O.exact_quantiles(df, ["g"], "v", probs).collect()}
+        for g, arr in (("g", vals), ("h", vals[: max(1, n // 3)] * 2)):
+            for q in probs:
+                want = float(np.percentile(arr, q * 100))
+                assert math.isclose(got[(g, q)], want, rel_tol=1e-12, abs_tol=1e-12), (seed, kind, g, q)
