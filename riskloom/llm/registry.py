@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_path
 
-from . import chunk_bpe, token_counts, token_files
+from . import chunk_bpe, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path, digest=True)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of at least 50 words that several documents hold."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return chunk_bpe.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -41,5 +46,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op6_chunk_bpe, op10_token_counts)}
+    f.__name__: f for f in (
+        op1_token_files, op2_suffix_dedup, op6_chunk_bpe, op10_token_counts)}
 ORACLES: dict[str, str] = {}

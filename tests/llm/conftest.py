@@ -1,0 +1,26 @@
+import os
+import sys
+import tempfile
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, ROOT)
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from pyspark.sql import SparkSession
+    s = (SparkSession.builder.master("local[8]")
+         .config("spark.sql.shuffle.partitions", "4")
+         .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.driver.bindAddress", "127.0.0.1")
+         .config("spark.driver.host", "127.0.0.1")
+         .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.driver.memory", "8g")
+         .getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    if not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-llm-test-"))
+    yield s
