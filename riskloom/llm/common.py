@@ -147,11 +147,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def running(x: np.ndarray) -> np.ndarray:
+    """Prefix sums with a leading 0, in the type of ``x`` (64-bit hashes wrap around)."""
+    total = np.zeros(len(x) + 1, x.dtype)
+    np.cumsum(x, out=total[1:])
+    return total
+
+
 def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """64-bit hash of values[start:end] for many ranges, from one prefix sum."""
     power, inverse = _powers(base, len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * power[:len(values)], out=total[1:])
+    total = running(values.astype(np.uint64) * power[:len(values)])
     return mix((total[end] - total[start]) * inverse[start])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_path
 
-from . import chunk_bpe, suffix_dedup, token_counts, token_files
+from . import chunk_bpe, jaccard_join, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     vocabulary("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links (similarity of 0.8 or more) of every document."""
+    return jaccard_join.links(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -47,5 +52,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_files, op2_suffix_dedup, op6_chunk_bpe, op10_token_counts)}
+        op1_token_files, op2_suffix_dedup, op6_chunk_bpe, op9_jaccard_join, op10_token_counts)}
 ORACLES: dict[str, str] = {}
