@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_path
 
-from . import chunk_bpe, jaccard_join, suffix_dedup, token_counts, token_files
+from . import chunk_bpe, decontaminate, jaccard_join, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items that documents hold."""
+    return decontaminate.matches(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return chunk_bpe.encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -52,5 +58,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_files, op2_suffix_dedup, op6_chunk_bpe, op9_jaccard_join, op10_token_counts)}
+        op1_token_files, op2_suffix_dedup, op5_decontaminate, op6_chunk_bpe, op9_jaccard_join, op10_token_counts)}
 ORACLES: dict[str, str] = {}
