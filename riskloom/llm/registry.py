@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_path
 
-from . import chunk_bpe, decontaminate, jaccard_join, suffix_dedup, token_counts, token_files
+from . import chunk_bpe, decontaminate, jaccard_join, quality, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -45,6 +45,12 @@ def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     vocabulary("word_bpe_49k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links (similarity of 0.8 or more) of every document."""
     return jaccard_join.links(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -58,5 +64,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_files, op2_suffix_dedup, op5_decontaminate, op6_chunk_bpe, op9_jaccard_join, op10_token_counts)}
+        op1_token_files, op2_suffix_dedup, op5_decontaminate, op6_chunk_bpe, op8_quality, op9_jaccard_join, op10_token_counts)}
 ORACLES: dict[str, str] = {}
