@@ -62,7 +62,7 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
 
 def _slots(values: np.ndarray, length=None) -> tuple[np.ndarray, np.ndarray]:
     if length is not None:
-        values = mix(values + np.uint64(length) * _OTHER)
+        values = mix(values + np.uint64(length * int(_OTHER) & (2**64 - 1)))
     return ((values >> np.uint64(40)) & np.uint64(BITMAP - 1)).astype(np.int64), (
         values & np.uint64(BITMAP - 1)).astype(np.int64)
 
