@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_path
 
-from . import chunk_bpe, decontaminate, jaccard_join, quality, suffix_dedup, token_counts, token_files
+from . import (chunk_bpe, decontaminate, html_text, jaccard_join, neighbours, quality, suffix_dedup, token_counts,
+               token_files, url_filter)
 from .common import table
 
 
@@ -33,6 +34,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: Rules of the URL query: verdict, host and path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; the urls that a rule decides are the labelled table."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items that documents hold."""
     return decontaminate.matches(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -45,6 +61,11 @@ def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     vocabulary("word_bpe_49k.json"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every vector whose id is divisible by 100."""
+    return neighbours.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "id % 100 = 0", k=10)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -64,5 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_files, op2_suffix_dedup, op5_decontaminate, op6_chunk_bpe, op8_quality, op9_jaccard_join, op10_token_counts)}
+        op1_token_files, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_decontaminate, op6_chunk_bpe,
+        op7_neighbours, op8_quality, op9_jaccard_join, op10_token_counts)}
+#: None of the ten can be written as SQL; each is tested against a brute-force version.
 ORACLES: dict[str, str] = {}
