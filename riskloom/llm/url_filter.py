@@ -56,11 +56,13 @@ def best_rule(host_col: Column, path_col: Column, rules: list[tuple[str, str]])
 def _grams(text: Column, mark: str) -> Column:
     """All n-grams of the text between start and end marks."""
     whole = F.concat(F.lit("^"), text, F.lit("$"))
-    lists = [F.when(F.length(whole) >= n, F.transform(
-        F.sequence(F.lit(1), F.length(whole) - n + 1),
-        lambda i, n=n: F.concat(F.lit(f"{mark}{n}:"), whole.substr(i, F.lit(n)))))
-        .otherwise(F.array().cast("array<string>")) for n in SIZES]
-    return F.concat(*lists)
+
+    def of_size(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(whole) - n + 1),
+                            lambda i: F.concat(F.lit(f"{mark}{n}:"), whole.substr(i, F.lit(n))))
+        return F.when(F.length(whole) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*(of_size(n) for n in SIZES))
 
 
 def features(df: DataFrame, slots: int = SLOTS) -> DataFrame:
