@@ -14,22 +14,29 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import datetime as dt
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluate as EV
+from riskloom.operators import explain as XP
 from riskloom.operators import geo as GEO
 from riskloom.operators import models as M
 from riskloom.operators import profile as A
 from riskloom.operators import rules as RU
 from riskloom.schema import THRESHOLD_FLOOR
+from riskloom.session import reliable_checkpoint
 from riskloom.sources import artifacts as ART
 from riskloom.sources.requests import read_requests
 from riskloom.sources.transactions import read_transactions
 from riskloom.streaming.scoring import scoring_plan
 
 
+#: Test rows of the global attribution (the published sample size).
+EXPLAIN_ROWS = 500
+
+
 def profile_tables(tx) -> dict:
     """The statistic tables of the profile (A1-A9), one DataFrame each."""
     return {
@@ -52,15 +59,21 @@ def train(spark: SparkSession, input_path: str, output: str, fmt: str = "csv",
     best = result.predictions.where(F.col("model") == result.best_name)
     sweep = EV.threshold_sweep(best)
     optima = EV.threshold_optima(best, sweep)
-    steps = EV.score_steps(best)
+    steps = reliable_checkpoint(EV.score_steps(result.predictions))     # every model's curves
     model = result.models[result.best_name]
     inner = model.forests[0] if isinstance(model, M.CalibratedForest) else model
     tables.update({
         "threshold_sweep": sweep, "threshold_optima": optima,
         "calibration": EV.calibration(best), "roc_curve": EV.roc_curve(steps),
         "pr_curve": EV.pr_curve(steps), "comparison": M.comparison(result),
+        "confusion": EV.confusions(result.predictions),
         "importance": M.importance(inner, result.prep.inputs),
     })
+    explain = XP.explainer(model, result.prep.inputs)
+    if explain is not None:
+        shown = explain(result.frame.where(F.col("is_test")).orderBy(F.xxhash64("Transaction_ID"), "Transaction_ID")
+                        .limit(EXPLAIN_ROWS).select("Transaction_ID", "features"))
+        tables["global_attribution"] = XP.global_attribution(XP.explode_contributions(shown, F.col("contrib")))
     opt = optima.first()["optimal_f1_threshold"]
     ov = tables["overview"].first()
     meta = ART.provenance(result, ov["total_transactions"], ov["fraud_rate"] or 0.0, opt)
@@ -68,15 +81,18 @@ def train(spark: SparkSession, input_path: str, output: str, fmt: str = "csv",
     return {"best_model": result.best_name, "optimal_f1_threshold": opt}
 
 
-def score(spark: SparkSession, artifact: str, requests_path: str, output: str) -> dict:
+def score(spark: SparkSession, artifact: str, requests_path: str, output: str,
+          as_of: dt.date | None = None) -> dict:
     art = ART.load_artifacts(spark, artifact)
     name = art["best_name"]
     threshold = max(float(art["metadata"]["optimal_f1_threshold"]), THRESHOLD_FLOOR)
     auc = art["metrics"].where(F.col("name") == name).first()["roc_auc"]
-    fn = M.model_probability(art["prep"], art["models"][name])
+    explain = XP.explainer(art["models"][name], art["prep"].inputs)
+    fn = M.model_probability(art["prep"], art["models"][name], explain)
     scored, quarantined = scoring_plan(read_requests(spark, requests_path),
-                                       GEO.city_dimension(spark), fn, threshold)
-    ART.write_json_lines(RU.response(scored, name, auc), f"{output}/responses")
+                                       GEO.city_dimension(spark), fn, threshold, as_of=as_of)
+    bars = XP.waterfall(F.col("contrib")) if explain is not None else None
+    ART.write_json_lines(RU.response(scored, name, auc, waterfall=bars), f"{output}/responses")
     quarantined.write.mode("overwrite").parquet(f"{output}/quarantine")
     return {"model": name, "threshold": threshold}
 
@@ -94,6 +110,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--artifact", required=True)
     s.add_argument("--requests", required=True)
     s.add_argument("--output", required=True)
+    s.add_argument("--as-of", type=dt.date.fromisoformat, help="scoring date (default: today)")
     args = p.parse_args(argv)
     spark = SparkSession.getActiveSession() or get_session()
     if args.cmd == "train":
@@ -103,7 +120,7 @@ def main(argv: list[str] | None = None) -> None:
                                       gbt_iter=5, gbt_depth=3, cv_folds=2, lr_max_iter=50)
         print(train(spark, args.input, args.output, args.format, cfg))
     else:
-        print(score(spark, args.artifact, args.requests, args.output))
+        print(score(spark, args.artifact, args.requests, args.output, args.as_of))
 
 
 if __name__ == "__main__":

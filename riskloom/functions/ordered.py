@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import bounded_broadcast
 from riskloom.session import reliable_checkpoint
 
 
-# largest number of distinct in-bracket values ranked by a plain window per target
-BRACKET_WINDOW_MAX = 1_000_000
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match; the keys of ``left`` are kept."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _parts(df: DataFrame, n: int | None) -> int:
@@ -63,7 +65,7 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, descendin
     bounds = F.broadcast(tagged.groupBy("_part").agg(F.min(gkey).alias("_gmin"),
                                                      F.max(gkey).alias("_gmax")))
     edge = (tagged.join(bounds, "_part")
-            .where((gkey == F.col("_gmin")) | (gkey == F.col("_gmax"))))
+            .where(gkey.eqNullSafe(F.col("_gmin")) | gkey.eqNullSafe(F.col("_gmax"))))
     slices = edge.groupBy("_part", *group_cols).agg(
         *[F.sum(c).alias(f"_tot_{c}") for c in sum_cols],
         *[F.min_by(F.col(c), first_key).alias(f"_first_{c}") for c in lead_cols],
@@ -76,7 +78,7 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, descendin
           for c in sum_cols],
         *[F.lead(f"_first_{c}").over(across).alias(f"_nextfirst_{c}") for c in lead_cols],
     )
-    joined = local.join(F.broadcast(offsets), ["_part", *group_cols], "left")
+    joined = join_null_safe(local, F.broadcast(offsets), ["_part", *group_cols], "left")
     out = joined.select(
         *[F.col(c) for c in df.columns], "_part",
         *[(F.col(f"_loc_{c}") + F.coalesce(F.col(f"_off_{c}"), F.lit(0))).alias(f"cum_{c}")
@@ -87,19 +89,21 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, descendin
     return out
 
 
-def _pick(ranked: DataFrame, targets: DataFrame, keys: list[str], value_col: str,
+def _pick(ranked: DataFrame, targets: DataFrame, join_on: list[str], keys: list[str], value_col: str,
           offset_col: str | None = None) -> DataFrame:
     """Interpolate between the order statistics at ranks _lo and _hi (0-based).
 
-    ``ranked`` has cum__n (inclusive running count within ``keys``) and _n;
-    ``offset_col`` (on targets) shifts ranks by the rows below the ranked range.
+    ``ranked`` has cum__n (inclusive running count within ``join_on``) and _n; the
+    targets have one row per ``keys``, q among them; ``offset_col`` (on targets)
+    shifts ranks by the rows below the ranked range.
     """
     shift = F.col(offset_col) if offset_col else F.lit(0)
     first_rank = F.col("cum__n") - F.col("_n") + shift
     last_rank = F.col("cum__n") + shift
     hit_lo = (first_rank <= F.col("_lo")) & (F.col("_lo") < last_rank)
     hit_hi = (first_rank <= F.col("_hi")) & (F.col("_hi") < last_rank)
-    picks = (ranked.join(bounded_broadcast(targets), keys)
+    ranked = ranked.select(*join_on, value_col, "_n", "cum__n")
+    picks = (join_null_safe(ranked, targets, join_on)
              .where(hit_lo | hit_hi)
              .groupBy(*keys, "_pos", "_lo")
              .agg(F.max(F.when(hit_lo, F.col(value_col))).alias("_vlo"),
@@ -117,37 +121,40 @@ def _targets(totals: DataFrame, group_cols: list[str], probs: list[float]) -> Da
                     F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
 
 
+def _present(df: DataFrame, value_col: str) -> DataFrame:
+    """Rows that have a value, as double; NaN counts as missing."""
+    v = F.col(value_col).cast("double")
+    return df.withColumn(value_col, F.when(~F.isnan(v), v)).where(F.col(value_col).isNotNull())
+
+
 def exact_quantiles_full(df: DataFrame, group_cols: list[str], value_col: str,
                          probs: list[float], num_partitions: int | None = None) -> DataFrame:
     """Exact quantiles by ranking every distinct (group, value) pair."""
-    counts = (df.where(F.col(value_col).isNotNull())
+    counts = (_present(df, value_col)
                 .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
     ranked = ordered_scan(counts, group_cols, value_col, False, ["_n"],
                           num_partitions=num_partitions)
     # totals from the checkpoint-backed ranks, not from the upstream aggregate
     totals = ranked.groupBy(*group_cols).agg(F.max("cum__n").alias("_total"))
     targets = _targets(totals, group_cols, probs).drop("_total")
-    return _pick(ranked, targets, [*group_cols, "q"], value_col)
+    return _pick(ranked, targets, group_cols, [*group_cols, "q"], value_col)
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
                     probs: list[float], num_partitions: int | None = None,
                     accuracy: int = 10000) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, NULLs skipped.
+    """Exact linearly interpolated quantiles per group, NULLs and NaNs skipped.
 
     Returns one row per (group, q) with ``quantile``. Two passes over the data
     instead of a shuffle of every distinct value: (1) ``percentile_approx``
     (bounded-memory sketches, rank error <= N/accuracy) brackets each target
     rank by the approximate quantiles at q -/+ 3/accuracy; (2) one aggregation
     counts the rows below each bracket and the distinct values inside it; only
-    those are ranked exactly: by a window per (group, q) when every bracket has
-    at most ``BRACKET_WINDOW_MAX`` distinct values (checked), else by
-    ``ordered_scan``. Each result is verified
+    those are ranked exactly, by ``ordered_scan``. Each result is verified
     (the target ranks fall inside the bracket); if any bracket missed, the
     full ranking is used instead.
     """
-    v = F.col(value_col)
-    data = df.where(v.isNotNull()).select(*group_cols, v.cast("double").alias("_v"))
+    data = _present(df, value_col).select(*group_cols, F.col(value_col).alias("_v"))
     # Candidate half-widths of the bracket; per group the narrowest one of at
     # least max(3/accuracy, 4/N) is used (small groups get a wide bracket: the
     # interpolation ranks follow q*(N-1), the sketch ranks q*N).
@@ -169,12 +176,12 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
             pick = (F.col("q") == q) & ((F.lit(m) >= need) | F.lit(m == margins[-1]))
             lo_expr = F.when(pick, F.col("_sk")[idx[edge_of[(q, m, -1)]]]).otherwise(lo_expr)
             hi_expr = F.when(pick, F.col("_sk")[idx[edge_of[(q, m, 1)]]]).otherwise(hi_expr)
-    brackets = targets.join(sk.select(*group_cols, "_sk"), group_cols).select(
+    brackets = join_null_safe(targets, sk.select(*group_cols, "_sk"), group_cols).select(
         *group_cols, "q", "_pos", "_lo", "_hi", lo_expr.alias("_blo"), hi_expr.alias("_bhi"))
     brackets = reliable_checkpoint(brackets)            # groups x probs rows
     keys = [*group_cols, "q"]
     inside = F.col("_v") >= F.col("_blo")
-    counted = (data.join(bounded_broadcast(brackets.select(*keys, "_blo", "_bhi")), group_cols)
+    counted = (join_null_safe(data, brackets.select(*keys, "_blo", "_bhi"), group_cols)
                .where(F.col("_v") <= F.col("_bhi"))
                .groupBy(*keys, F.when(inside, F.col("_v")).alias(value_col))
                .agg(F.count(F.lit(1)).alias("_n")))
@@ -182,23 +189,15 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
     below = (counted.where(F.col(value_col).isNull())
              .select(*keys, F.col("_n").alias("_below")))
     inner = counted.where(F.col(value_col).isNotNull())
-    widest = inner.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if widest <= BRACKET_WINDOW_MAX:
-        # every bracket is small (checked): one bounded window per (group, q)
-        w = (Window.partitionBy(*keys).orderBy(value_col)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranked = inner.select("*", F.sum("_n").over(w).alias("cum__n"))
-    else:
-        ranked = ordered_scan(inner, keys, value_col, False, ["_n"],
-                              num_partitions=num_partitions)
+    ranked = ordered_scan(inner, keys, value_col, False, ["_n"], num_partitions=num_partitions)
     span = ranked.groupBy(*keys).agg(F.max("cum__n").alias("_inside"))
-    tg = (brackets.join(below, keys, "left").join(span, keys, "left")
+    tg = (join_null_safe(join_null_safe(brackets, below, keys, "left"), span, keys, "left")
           .select(*keys, "_pos", "_lo", "_hi", F.coalesce("_below", F.lit(0)).alias("_below"),
                   F.coalesce("_inside", F.lit(0)).alias("_inside")))
     ok = (F.col("_below") <= F.col("_lo")) & (F.col("_hi") < F.col("_below") + F.col("_inside"))
     if tg.where(~ok).limit(1).count() > 0:
         return exact_quantiles_full(df, group_cols, value_col, probs, num_partitions)
-    return _pick(ranked, tg.select(*keys, "_pos", "_lo", "_hi", "_below"), keys, value_col,
+    return _pick(ranked, tg.select(*keys, "_pos", "_lo", "_hi", "_below"), keys, keys, value_col,
                  offset_col="_below")
 
 
@@ -215,7 +214,8 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
     across a partition edge; their corrections come from tables of at most
     2 (offsets) and 2 * lookback (edge rows) rows per partition, a bound fixed by
     the partition count, so they are broadcast without a count.
-    Rows must be unique on (key, order_cols).
+    Rows must be unique on (key, order_cols); NULL keys are one key and NULL order
+    values sort first, as in the window.
     """
     n = _parts(df, num_partitions)
     order = [F.col(c) for c in order_cols]
@@ -224,11 +224,11 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
     v = F.col(value)
     w = Window.partitionBy("_part", key).orderBy(*order)
 
-    # <= 1 row per partition: its first and last key
-    bounds = F.broadcast(tagged.groupBy("_part").agg(F.min(key).alias("_kmin"),
-                                                     F.max(key).alias("_kmax")))
+    # <= 1 row per partition: its first and last key (a NULL key sorts first)
+    k = F.struct(F.col(key))
+    bounds = F.broadcast(tagged.groupBy("_part").agg(F.min(k).alias("_kmin"), F.max(k).alias("_kmax")))
     edge = (tagged.join(bounds, "_part")
-            .where((F.col(key) == F.col("_kmin")) | (F.col(key) == F.col("_kmax"))))
+            .where(k.eqNullSafe(F.col("_kmin")) | k.eqNullSafe(F.col("_kmax"))))
     # <= 2 rows per partition: sums of the edge slices, then exclusive offsets
     slices = edge.groupBy("_part", key).agg(F.sum(v).alias("_ts"), F.count(v).alias("_tc"))
     prior = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -239,8 +239,8 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
     up = F.row_number().over(w)
     down = F.row_number().over(Window.partitionBy("_part", key).orderBy(*[c.desc() for c in order]))
     ranked = edge.select(key, *order_cols, value, "_kmin", "_kmax", up.alias("_up"), down.alias("_dn"))
-    head = (F.col(key) == F.col("_kmin")) & (F.col("_up") <= lookback)
-    tail = (F.col(key) == F.col("_kmax")) & (F.col("_dn") <= lookback)
+    head = k.eqNullSafe(F.col("_kmin")) & (F.col("_up") <= lookback)
+    tail = k.eqNullSafe(F.col("_kmax")) & (F.col("_dn") <= lookback)
     ends = ranked.where(head | tail).select(key, *order_cols, value, head.alias("_head"))
     across = Window.partitionBy(key).orderBy(*order).rowsBetween(-lookback, -1)
     fixes = (ends.select(key, *order_cols, "_head", F.max(v).over(across).alias("_fm"))
@@ -252,8 +252,8 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
          .alias("_ls"),
         F.count(v).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lc"),
         F.max(v).over(w.rowsBetween(-lookback, -1)).alias("_lm"))
-    out = (local.join(F.broadcast(offsets), ["_part", key], "left")
-                .join(F.broadcast(fixes), [key, *order_cols], "left"))
+    out = join_null_safe(local, F.broadcast(offsets), ["_part", key], "left")
+    out = join_null_safe(out, F.broadcast(fixes), [key, *order_cols], "left")
     return out.select(
         *df.columns,
         (F.col("_ls") + F.coalesce(F.col("_os"), F.lit(0.0))).alias("prev_sum"),

@@ -15,9 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import bounded_broadcast
 from riskloom.functions.nulls import zero_guarded
 from riskloom.functions.ordered import ordered_scan
+from riskloom.session import reliable_checkpoint
 from riskloom.schema import (CALIBRATION_BINS, COST_FN_WEIGHT, COST_FP_WEIGHT, CURVE_POINTS,
                              THRESHOLD_FLOOR, THRESHOLD_GRID)
 
@@ -45,10 +45,18 @@ def confusion(preds: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
         F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
 
 
-def confusion_at(preds: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Confusion at a per-model threshold table (model, threshold)."""
-    j = preds.join(bounded_broadcast(thresholds.select("model", "threshold")), "model")
-    return confusion(j, F.col("threshold")).join(thresholds.select("model", "threshold"), "model")
+def confusions(preds: DataFrame) -> DataFrame:
+    """(model, at, threshold, tp, fp, fn, tn) at 0.5 and at each model's optimal threshold.
+
+    Both come from one scan: the counts of every grid value, a few rows per model.
+    """
+    counts = reliable_checkpoint(grid_counts(preds, sorted({0.5, *THRESHOLD_GRID, *RAW_GRID})))
+    cols = ["tp", "fp", "fn", "tn"]
+    half = counts.where(F.col("threshold") == 0.5).select("model", F.lit("0.5").alias("at"), "threshold", *cols)
+    best = F.broadcast(threshold_optima(preds, counts=counts).select("model", "opt_thresh_raw", "opt_thresh"))
+    optimal = (counts.join(best, "model").where(F.col("threshold") == F.col("opt_thresh_raw"))
+               .select("model", F.lit("optimal").alias("at"), F.col("opt_thresh").alias("threshold"), *cols))
+    return half.unionByName(optimal)
 
 
 def class_report(conf: DataFrame) -> DataFrame:
@@ -132,8 +140,8 @@ def _targets(lengths: DataFrame, k: int) -> DataFrame:
 
 def downsample(curve: DataFrame, lengths: DataFrame, k: int = CURVE_POINTS) -> DataFrame:
     """M8: keep <= k evenly spaced points (both ends) of each model's curve."""
-    return curve.join(bounded_broadcast(_targets(lengths, k), 1_000_000), ["model", "idx"],
-                      "left_semi")
+    # at most k rows per model
+    return curve.join(F.broadcast(_targets(lengths, k)), ["model", "idx"], "left_semi")
 
 
 def roc_curve(steps: DataFrame, k: int | None = CURVE_POINTS) -> DataFrame:
@@ -141,13 +149,14 @@ def roc_curve(steps: DataFrame, k: int | None = CURVE_POINTS) -> DataFrame:
 
     ``k`` downsamples to at most k points; None keeps the full curve.
     """
+    steps = reliable_checkpoint(steps)
     keep = ((F.col("cum_one") == 1) | F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
     kept = steps.where(keep).select("model", "p", "pos", "neg", "cum_pos", "cum_neg",
                                     F.lit(1).cast("long").alias("k1"))
     ranked = ordered_scan(kept, ["model"], "p", True, ["k1"])
     totals = steps.groupBy("model").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    pts = ranked.join(bounded_broadcast(totals), "model").select(
+    pts = ranked.join(F.broadcast(totals), "model").select(
         "model", F.col("cum_k1").alias("idx"),
         F.round(F.try_divide(F.col("cum_neg").cast("double"), F.col("n_neg")), 6).alias("fpr"),
         F.round(F.try_divide(F.col("cum_pos").cast("double"), F.col("n_pos")), 6).alias("tpr"),
@@ -163,11 +172,12 @@ def roc_curve(steps: DataFrame, k: int | None = CURVE_POINTS) -> DataFrame:
 
 def pr_curve(steps: DataFrame, k: int | None = CURVE_POINTS) -> DataFrame:
     """(model, idx, precision, recall, threshold), ascending threshold, then (1, 0)."""
+    steps = reliable_checkpoint(steps)
     totals = steps.groupBy("model").agg(F.sum("pos").alias("n_pos"),
                                         F.count(F.lit(1)).alias("m"))
     recall = F.when(F.col("n_pos") == 0, F.lit(1.0)).otherwise(
         F.col("cum_pos").cast("double") / F.col("n_pos"))
-    pts = steps.join(bounded_broadcast(totals), "model").select(
+    pts = steps.join(F.broadcast(totals), "model").select(
         "model", (F.col("m") - F.col("cum_one")).alias("idx"),
         F.round(F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), 6).alias("precision"),
         F.round(recall, 6).alias("recall"), F.col("p").alias("threshold"))
@@ -214,7 +224,8 @@ def _sweep_metrics(g: DataFrame) -> DataFrame:
                     F.round(_f1(tp, fp, fn), 4).alias("f1"))
 
 
-def threshold_optima(preds: DataFrame, sweep: DataFrame | None = None) -> DataFrame:
+def threshold_optima(preds: DataFrame, sweep: DataFrame | None = None,
+                     counts: DataFrame | None = None) -> DataFrame:
     """M10 + M11 per model.
 
     optimal_f1_threshold: max rounded F1 on the sweep, lowest threshold on ties;
@@ -222,7 +233,8 @@ def threshold_optima(preds: DataFrame, sweep: DataFrame | None = None) -> DataFr
     opt_thresh_raw: max unrounded F1 on the unrounded grid (first on ties),
     opt_thresh its 2-decimal display value.
     """
-    both = grid_counts(preds, sorted(set(THRESHOLD_GRID) | set(RAW_GRID)))   # one scan
+    both = counts if counts is not None else grid_counts(
+        preds, sorted(set(THRESHOLD_GRID) | set(RAW_GRID)))   # one scan
     if sweep is None:
         sweep = _sweep_metrics(both.where(F.col("threshold").isin(*THRESHOLD_GRID)))
     cost = F.lit(COST_FN_WEIGHT) * F.col("fn") + F.lit(COST_FP_WEIGHT) * F.col("fp")

@@ -40,6 +40,26 @@ def contributions(features: Column, names: list[str], coef: list[float],
         for i, (n, c, m) in enumerate(zip(names, coef, center))])
 
 
+def explainer(model, names: list[str]):
+    """Function that adds ``contrib`` (array<struct<idx, feature, value>>) to a frame with
+    ``features``: log-odds terms of the logistic candidate, Shapley values of the first
+    calibration fold's forest. None for boosted trees, which have no additive terms here."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    from riskloom.operators import treeshap as TS
+    from riskloom.operators.models import CalibratedForest
+    if isinstance(model, PipelineModel):
+        scaler, lr = model.stages[0], model.stages[-1]
+        std = scaler.std.toArray().tolist()
+        coef = [c / s if s else 0.0 for c, s in zip(lr.coefficients.toArray().tolist(), std)]
+        center = scaler.mean.toArray().tolist()      # the training rows are the background
+        return lambda df: df.withColumn("contrib", contributions(F.col("features"), names, coef, center))
+    forest = model.forests[0] if isinstance(model, CalibratedForest) else model
+    if isinstance(forest, RandomForestClassificationModel):
+        return lambda df: TS.with_contributions(df, forest, names)
+    return None
+
+
 def explode_contributions(df: DataFrame, contrib: Column, key: str = "Transaction_ID") -> DataFrame:
     """(key, feature, contribution) rows."""
     return (df.select(key, F.explode(contrib).alias("c"))
@@ -55,12 +75,13 @@ def global_attribution(rows: DataFrame, top: int = 15) -> DataFrame:
 def waterfall(contrib: Column, k: int = 6) -> Column:
     """The k largest and k smallest contributions of one row, ascending by value.
 
-    Ties follow the first-occurrence rule on both ends.
+    Ties follow the first-occurrence rule on both ends and in the order.
     """
     small = F.slice(F.sort_array(F.transform(contrib, lambda c: F.struct(
         c["value"].alias("v"), c["idx"].alias("i"), c["feature"].alias("f")))), 1, k)
     large = F.slice(F.sort_array(F.transform(contrib, lambda c: F.struct(
         c["value"].alias("v"), (-c["idx"]).alias("i"), c["feature"].alias("f")))), -k, k)
+    large = F.transform(large, lambda s: F.struct(s["v"].alias("v"), (-s["i"]).alias("i"), s["f"].alias("f")))
     both = F.sort_array(F.concat(small, large))
     return F.transform(both, lambda s: F.struct(s["f"].alias("feature"), s["v"].alias("value")))
 

@@ -13,7 +13,6 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import bounded_broadcast
 from riskloom.schema import CITIES, EARTH_RADIUS_KM
 
 
@@ -35,7 +34,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def with_geo(df: DataFrame, cities: DataFrame, home_col: str, loc_col: str) -> DataFrame:
     """Append home/transaction country and coordinates, distance_km, cross_border."""
-    dim = bounded_broadcast(cities.select("city", "country", "lat", "lon"))
+    dim = cities.select("city", "country", "lat", "lon")
     home = dim.select(F.col("city").alias("_hc"), F.col("country").alias("home_country"),
                       F.col("lat").alias("_hlat"), F.col("lon").alias("_hlon"))
     loc = dim.select(F.col("city").alias("_lc"), F.col("country").alias("tx_country"),

@@ -155,10 +155,12 @@ def probability(model, df: DataFrame, out: str = "p") -> DataFrame:
     return scored.withColumn(out, vector_to_array(F.col("probability"))[1]).drop(*extra)
 
 
-def model_probability(prep: "Prep", model):
-    """A ``ProbabilityFn`` for scoring: transaction frame -> same frame plus ``p``."""
+def model_probability(prep: "Prep", model, explain=None):
+    """A ``ProbabilityFn`` for scoring: transaction frame -> same frame plus ``p``, and
+    ``contrib`` if an explainer (frame with features -> frame with contrib) is given."""
     def fn(txn: DataFrame) -> DataFrame:
-        return probability(model, prep.transform(txn)).drop("features")
+        out = probability(model, prep.transform(txn))
+        return (explain(out) if explain is not None else out).drop("features")
     return fn
 
 

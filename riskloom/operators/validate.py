@@ -16,6 +16,7 @@ from riskloom.schema import VALID_CARD_TYPES, VALID_MERCHANT_CATS, VALID_TX_TYPE
 
 # FIXED VALUES — validation messages.
 MSG_REQUIRED = "Field required"
+MSG_NUMBER = "Input should be a valid number"
 MSG_TIME = "tx_time must be HH:MM format, e.g. '14:30'"
 MSG_LOCATION = "Location must be one of the supported city values"
 MSG_YES_NO = "Must be 'Yes' or 'No'"
@@ -37,12 +38,20 @@ def _domain_msg(field: str, domain: list[str]) -> str:
     return f"{field} must be one of: {sorted(domain)}"
 
 
+def strip(c: str) -> Column:
+    """All leading and trailing white space removed, line breaks and tabs included."""
+    return F.regexp_replace(F.col(c), "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "").alias(c)
+
+
 def validate(req: DataFrame, cities: DataFrame, tx_types: list[str] = VALID_TX_TYPES,
              merchant_cats: list[str] = VALID_MERCHANT_CATS,
              card_types: list[str] = VALID_CARD_TYPES) -> DataFrame:
-    """Trim the text fields and append ``errors`` and ``valid``."""
-    trimmed = req.select(*[F.trim(F.col(c)).alias(c) if c in TRIMMED else F.col(c)
-                           for c in req.columns])
+    """Trim the text fields and append ``errors`` and ``valid``.
+
+    A field listed in ``bad_fields`` (set by the JSON source) holds something that is
+    no number; it gets that message in place of "required".
+    """
+    trimmed = req.select(*[strip(c) if c in TRIMMED else F.col(c) for c in req.columns])
     g = with_geo(trimmed, cities, "home_loc", "tx_location")
     c = F.col
     missing = lambda f: c(f).isNull()
@@ -64,22 +73,18 @@ def validate(req: DataFrame, cities: DataFrame, tx_types: list[str] = VALID_TX_T
     expected = expected_international(c("home_country"), c("tx_country"))
     checks.append(_err("is_intl", c("is_intl").isin(*YES_NO) & expected.isNotNull()
                        & (c("is_intl") != expected), F.format_string(MSG_INTL_FORMAT, expected)))
-    for f in ("amount", "balance", "avg_amount", "max_24h", "distance"):
-        checks += [_err(f, missing(f), MSG_REQUIRED), _err(f, c(f) < 0, MSG_NON_NEGATIVE)]
-    for f in ("daily_tx", "weekly_tx"):
-        checks += [_err(f, missing(f), MSG_REQUIRED), _err(f, c(f) < 1, MSG_COUNTS)]
-    for f in ("failed", "prev_fraud"):
-        checks += [_err(f, missing(f), MSG_REQUIRED), _err(f, c(f) < 0, MSG_NON_NEGATIVE)]
+    for fields, least, message in ((("amount", "balance", "avg_amount", "max_24h", "distance"), 0, MSG_NON_NEGATIVE),
+                                   (("daily_tx", "weekly_tx"), 1, MSG_COUNTS),
+                                   (("failed", "prev_fraud"), 0, MSG_NON_NEGATIVE)):
+        for f in fields:
+            bad = F.array_contains("bad_fields", f) if "bad_fields" in req.columns else F.lit(False)
+            checks += [_err(f, missing(f), F.when(bad, MSG_NUMBER).otherwise(MSG_REQUIRED)),
+                       _err(f, c(f) < least, message)]
     errors = F.filter(F.array(*checks), lambda x: x.isNotNull())
     return g.select(*trimmed.columns, "home_country", "tx_country", errors.alias("errors"),
                     (F.size(errors) == 0).alias("valid"))
 
 
-def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) frames of a validated request frame."""
-    return validated.where("valid"), validated.where("NOT valid")
-
-
 def error_rows(validated: DataFrame, key: str = "Transaction_ID") -> DataFrame:
     """(key, field, message): one row per failed rule."""
     return (validated.select(key, F.explode("errors").alias("e"))

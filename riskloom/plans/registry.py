@@ -1,9 +1,10 @@
 """Query registry: every named query as a Spark plan plus its DuckDB oracle.
 
-Each Spark query takes (spark, sf_dir) and returns a lazy DataFrame over the
-driver tables; the oracle is ANSI SQL over the same tables. Queries that have
-no SQL equivalent (model fitting, tree explanations, streaming) have no
-oracle entry and are checked by row count and by the tests.
+Each Spark query takes (spark, sf_dir) and returns a DataFrame over the driver
+tables; building it may run jobs (reliable checkpoints, fits, small aggregates).
+The oracle is ANSI SQL over the same tables. Queries that have no SQL equivalent
+(model fitting, tree explanations) have no oracle entry and are checked by row
+count and by the tests.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import profile as A
 from riskloom.plans import fixture_sql as S
+from riskloom.session import reliable_checkpoint, shared_path
 from riskloom.sources.transactions import fixture_transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -369,16 +371,7 @@ SELECT pr.model, 'optimal', o.opt_thresh,
   count_if(label = 1 AND p < o.opt_thresh_raw), count_if(label = 0 AND p < o.opt_thresh_raw)
 FROM pr JOIN optima o USING (model) GROUP BY pr.model, o.opt_thresh""", *_OPT_CTES))
 def q_confusion(spark, sf_dir):
-    pr = preds(spark, sf_dir)
-    at05 = EV.confusion(pr, 0.5).select("model", F.lit("0.5").alias("at"),
-                                        F.lit(0.5).alias("threshold"), "tp", "fp", "fn", "tn")
-    opt = EV.threshold_optima(pr).select("model", F.col("opt_thresh_raw").alias("threshold"),
-                                         "opt_thresh")
-    c = EV.confusion_at(pr, opt.select("model", "threshold"))
-    c = c.join(opt.select("model", "opt_thresh"), "model").select(
-        "model", F.lit("optimal").alias("at"), F.col("opt_thresh").alias("threshold"),
-        "tp", "fp", "fn", "tn")
-    return at05.unionByName(c)
+    return EV.confusions(preds(spark, sf_dir))
 
 
 def _z(a: str, b: str) -> str:
@@ -522,7 +515,7 @@ def serving_threshold(pr: DataFrame) -> float:
 
 def scored(spark, sf_dir):
     t = txh(spark, sf_dir)
-    thr = serving_threshold(surrogate_predictions(t))
+    thr = serving_threshold(surrogate_predictions(tx(spark, sf_dir)))   # needs no history
     return RU.score(requests_from_transactions(surrogate_score(t), keep=("p",)), thr)
 
 
@@ -698,7 +691,7 @@ def q_cross_border(spark, sf_dir):
 FIXTURE_MERCHANTS = [f"Cat{i}" for i in range(16)]
 
 
-def _validation_sql() -> str:
+def _validation_sql(requests: str = _REQ_SQL + " FROM tx") -> str:
     from riskloom.schema import VALID_CARD_TYPES, VALID_TX_TYPES, YES_NO
     rows = []
 
@@ -738,8 +731,8 @@ def _validation_sql() -> str:
     trimmed = ("tx_type", "merchant_cat", "card_type", "tx_location", "home_loc",
                "is_intl", "is_new", "unusual")
     body = " UNION ALL ".join(rows)
-    rq = (f"SELECT * REPLACE ({', '.join(f'trim({c}) AS {c}' for c in trimmed)}) FROM ("
-          + _REQ_SQL + " FROM tx) r0")
+    strip = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g') AS {c}"
+    rq = f"SELECT * REPLACE ({', '.join(strip.format(c=c) for c in trimmed)}) FROM ({requests}) r0"
     v = ("SELECT r.*, h.country AS home_country, l.country AS tx_country FROM rq r "
          "LEFT JOIN cities h ON r.home_loc = h.city LEFT JOIN cities l ON r.tx_location = l.city")
     return S.with_ctes(body, ("cities", S.CITY_SQL), ("rq", rq), ("v", v))
@@ -752,6 +745,135 @@ def q_validation_errors(spark, sf_dir):
     return VAL.error_rows(v)
 
 
+# ── sources: written and read back ───────────────────────────────────────────
+
+from riskloom.functions.ordered import exact_quantiles_full  # noqa: E402
+from riskloom.sources import artifacts as ART  # noqa: E402
+from riskloom.sources.requests import read_requests, requests_to_transactions  # noqa: E402
+from riskloom.sources.transactions import read_transactions  # noqa: E402
+from riskloom.schema import TRANSACTION_SCHEMA  # noqa: E402
+
+_ROUNDED = ("Transaction_Amount", "Avg_Transaction_Amount", "Max_Transaction_Last_24h", "Account_Balance")
+_VIEW_SQL = S.with_ctes("SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in _ROUNDED) + ") FROM tx")
+
+
+def _rounded_view(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if c in _ROUNDED else F.col(c)
+                       for c in TRANSACTION_SCHEMA.fieldNames()])
+
+
+@register("csv_scan", _VIEW_SQL)
+def q_csv_scan(spark, sf_dir):
+    """The view as CSV with columns in another order, three extra ones, missing texts and
+    counts as floats, read back by name."""
+    t = txh(spark, sf_dir)
+    missing = {"StringType()": "NA", "DoubleType()": "NaN", "LongType()": "null"}
+    texts = {}
+    for f in t.schema.fields:
+        x = F.col(f.name).cast("string")
+        if f.name.endswith("_Count"):
+            x = F.concat(x, F.lit(".0"))
+        texts[f.name] = F.coalesce(x, F.lit(missing.get(str(f.dataType), "")))
+    extra = [F.lit("77").alias("Merchant_ID"), F.lit("10.0.0.1").alias("IP_Address"), F.lit("2.0").alias("Device_ID")]
+    path = shared_path(spark, "csv-scan")
+    t.select(extra[0], *[texts[c].alias(c) for c in reversed(t.columns)], *extra[1:]).write.option(
+        "header", True).csv(path)
+    return _rounded_view(read_transactions(spark, path))
+
+
+@register("quantiles_full", S.with_ctes(" UNION ALL ".join(
+    f"SELECT Fraud_Label, {q}::DOUBLE AS q, round(quantile_cont(Transaction_Amount, {q}), 6) AS quantile "
+    "FROM tx GROUP BY Fraud_Label" for q in (0.1, 0.5, 0.75))))
+def q_quantiles_full(spark, sf_dir):
+    """The full ranking, which every approximate bracket falls back to."""
+    out = exact_quantiles_full(tx(spark, sf_dir), ["Fraud_Label"], "Transaction_Amount", [0.1, 0.5, 0.75])
+    return out.select("Fraud_Label", "q", F.round("quantile", 6).alias("quantile"))
+
+
+@register("request_scan", S.with_ctes(
+    "SELECT Transaction_ID, Transaction_Date, " + ", ".join(
+        f"round({c}, 9) AS {c}" for c in ("Transaction_Amount", "Account_Balance", "Avg_Transaction_Amount"))
+    + ", Transaction_Time, Merchant_Category, Distance_From_Home, Daily_Transaction_Count, "
+      "Previous_Fraud_Count, Is_New_Merchant FROM tx"))
+def q_request_scan(spark, sf_dir):
+    """Requests as JSON lines with quoted numbers and counts as floats, read back and renamed."""
+    r = requests_from_transactions(txh(spark, sf_dir)).drop("Transaction_ID")
+    texts = [F.concat(F.col(f.name).cast("string"), F.lit(".0")).alias(f.name) if f.dataType.simpleString() == "bigint"
+             else F.col(f.name).cast("string").alias(f.name) for f in r.schema.fields]
+    path = shared_path(spark, "request-scan")
+    r.select(F.to_json(F.struct(*texts)).alias("value")).write.text(path)
+    out = requests_to_transactions(read_requests(spark, path))
+    return out.select(F.col("request_id").cast("bigint").alias("Transaction_ID"), "Transaction_Date",
+                      *[F.round(c, 9).alias(c) for c in ("Transaction_Amount", "Account_Balance",
+                                                         "Avg_Transaction_Amount")],
+                      "Transaction_Time", "Merchant_Category", "Distance_From_Home", "Daily_Transaction_Count",
+                      "Previous_Fraud_Count", "Is_New_Merchant")
+
+
+@register("response_json", _score_sql("Transaction_ID, risk_score, tier, ml_tier, rule_id, rule_tier, ml_probability_pct"))
+def q_response_json(spark, sf_dir):
+    """Response documents written as JSON lines, read back and flattened."""
+    path = shared_path(spark, "responses")
+    docs = RU.response(scored(spark, sf_dir), "surrogate", None)
+    ART.write_json_lines(docs, path)
+    back = spark.read.schema(docs.schema).json(path)
+    return back.select("Transaction_ID", "risk_score", "tier", "ml_tier", "decision_trace.rule_engine.rule_id",
+                       F.col("decision_trace.rule_engine.tier_override").alias("rule_tier"), "ml_probability_pct")
+
+
+#: Deterministic damage to a request by its id, so that every message occurs (a test input).
+_MUTATIONS = [
+    (1, "tx_type", "'Cheque'"), (2, "merchant_cat", "'Nowhere'"), (3, "card_type", "'Paper'"),
+    (4, "tx_location", "'Atlantis'"), (5, "home_loc", "'Atlantis'"), (6, "is_new", "'maybe'"),
+    (7, "unusual", "'?'"), (8, "is_intl", "'no'"), (9, "is_intl", "CASE is_intl WHEN 'Yes' THEN 'No' ELSE 'Yes' END"),
+    (10, "amount", "-1.0"), (11, "avg_amount", "-0.5"), (12, "max_24h", "-2.0"), (13, "distance", "-3.0"),
+    (14, "daily_tx", "0"), (15, "weekly_tx", "-1"), (16, "failed", "-1"), (17, "prev_fraud", "-2"),
+    (18, "tx_time", "'25:61'"),
+]
+_PADDED = "(chr(9) || ' ' || {c} || chr(10))"
+
+
+def _mutated(columns: list[str]) -> list[str]:
+    """SQL expressions, the same text for both engines."""
+    out = []
+    for c in columns:
+        x = c
+        for k, field, value in _MUTATIONS:
+            if field == c:
+                x = f"CASE WHEN Transaction_ID % 23 = {k} THEN {value} ELSE {x} END"
+        if c in VAL.TRIMMED:
+            x = f"CASE WHEN Transaction_ID % 23 = 19 THEN {_PADDED.format(c=c)} ELSE {x} END"
+        out.append(f"{x} AS {c}")
+    return out
+
+
+_MUTATED_REQUEST = ["Transaction_ID", "amount", "balance", "distance", "tx_time", "tx_type", "merchant_cat", "card_type",
+                    "tx_location", "home_loc", "daily_tx", "weekly_tx", "avg_amount", "max_24h", "failed", "prev_fraud",
+                    "is_intl", "is_new", "unusual"]
+
+
+@register("validation_mutations", _validation_sql(
+    "SELECT " + ", ".join(_mutated(_MUTATED_REQUEST)) + " FROM (" + _REQ_SQL + " FROM tx) r00"))
+def q_validation_mutations(spark, sf_dir):
+    req = requests_from_transactions(txh(spark, sf_dir)).selectExpr(*_mutated(_MUTATED_REQUEST))
+    v = VAL.validate(req, fixture_cities(spark, sf_dir), merchant_cats=FIXTURE_MERCHANTS)
+    return VAL.error_rows(v)
+
+
+_LOW_CTES = tuple((n, q.replace(", sc.p FROM tx", ", sc.p * 0.1::DOUBLE AS p FROM tx")) if n == "req" else (n, q)
+                  for n, q in _SCORE_CTES)
+
+
+@register("rule_chain_low_score", _ev_sql(
+    "SELECT Transaction_ID, critical_flags, rule_id, rule_tier FROM scored", *_LOW_CTES))
+def q_rule_chain_low_score(spark, sf_dir):
+    """The rules on scores a tenth as high, where the model alone says LOW."""
+    thr = serving_threshold(surrogate_predictions(tx(spark, sf_dir)))
+    t = surrogate_score(txh(spark, sf_dir)).withColumn("p", F.col("p") * F.lit(0.1))
+    return RU.score(requests_from_transactions(t, keep=("p",)), thr).select(
+        "Transaction_ID", "critical_flags", "rule_id", "rule_tier")
+
+
 # ── business impact ──────────────────────────────────────────────────────────
 
 from riskloom.operators import impact as IM  # noqa: E402
@@ -775,8 +897,10 @@ def _impact_rows(spark, sf_dir):
     pr = surrogate_predictions(t)
     ov = t.where(F.col("Fraud_Label") == "Fraud").agg(
         F.round(F.round(F.avg("Transaction_Amount"), 4), 1).alias("c")).first()["c"]
-    n = pr.count()
-    return IM.impact_sweep(EV.threshold_sweep(pr), cost_fn=ov, test_size=n), n
+    sweep = reliable_checkpoint(EV.threshold_sweep(pr))      # 19 rows per model
+    one = sweep.first()
+    n = one.tp + one.fp + one.tn + one.fn                    # every row is in each sweep row
+    return IM.impact_sweep(sweep, cost_fn=ov, test_size=n), n
 
 
 @register("impact_sweep", _ev_sql(
@@ -857,6 +981,33 @@ def q_linear_attribution(spark, sf_dir):
                        (F.round("contribution", 6) + F.lit(0.0)).alias("contribution"))
 
 
+_LINEAR_SQL = _linear_attribution_sql()
+
+
+@register("global_attribution", f"""SELECT feature, round(avg(abs(contribution)), 4) AS value
+FROM ({_LINEAR_SQL}) l GROUP BY feature""")
+def q_global_attribution(spark, sf_dir):
+    rows = q_linear_attribution(spark, sf_dir)
+    return XP.global_attribution(rows, top=len(MODEL_INPUTS)).select("feature", F.round("value", 4).alias("value"))
+
+
+@register("waterfall", f"""SELECT Transaction_ID, CAST(row_number() OVER (PARTITION BY Transaction_ID
+  ORDER BY contribution, ord) - 1 AS INTEGER) AS pos, feature, contribution FROM (
+  SELECT *, row_number() OVER (PARTITION BY Transaction_ID ORDER BY contribution, ord) AS up,
+    row_number() OVER (PARTITION BY Transaction_ID ORDER BY contribution DESC, ord) AS down
+  FROM (SELECT l.*, list_position([{", ".join(f"'{c}'" for c in MODEL_INPUTS)}], feature) AS ord
+        FROM ({_LINEAR_SQL}) l) o) r WHERE up <= 6 OR down <= 6""")
+def q_waterfall(spark, sf_dir):
+    t = txh(spark, sf_dir)
+    prep = M.fit_prep(t)
+    v = prep.transform(t, keep=("Transaction_ID",))
+    c = F.transform(XP.contributions(F.col("features"), prep.inputs, FIXTURE_COEF, FIXTURE_CENTER),
+                    lambda x: F.struct(x["idx"].alias("idx"), x["feature"].alias("feature"),
+                                       (F.round(x["value"], 6) + F.lit(0.0)).alias("value")))
+    return (v.select("Transaction_ID", F.posexplode(XP.waterfall(c)).alias("pos", "w"))
+            .select("Transaction_ID", "pos", "w.feature", F.col("w.value").alias("contribution")))
+
+
 # Rows-only (no SQL): model fitting is not expressible in SQL. The registry uses
 # small models so the check runs in minutes; the library defaults are the
 # published sizes (TrainConfig()).
@@ -879,7 +1030,6 @@ def q_forest_importance(spark, sf_dir):
 
 # ── streaming scoring (rows-only: stream = batch is asserted in the tests) ──
 
-from riskloom.session import shared_path  # noqa: E402
 from riskloom.sources.transactions import surrogate_p  # noqa: E402
 from riskloom.streaming import scoring as ST  # noqa: E402
 
@@ -895,7 +1045,7 @@ def run_stream_scoring(spark, sf_dir):
     """Write requests derived from the tables as JSON files, score them with the
     streaming plan (availableNow) and return (scored sink, quarantine sink) paths."""
     t = txh(spark, sf_dir)
-    thr = serving_threshold(surrogate_predictions(t))
+    thr = serving_threshold(surrogate_predictions(tx(spark, sf_dir)))
     src = shared_path(spark, "requests")
     requests_from_transactions(t).write.mode("overwrite").json(src)
     queries, sink, quarantine = ST.start_scoring_stream(

@@ -1,21 +1,23 @@
 """Artifact sink and source (S2, S3, S8) plus JSON response sink.
 
-An artifact is a folder (shared storage): one MLlib model directory per
-candidate, the fitted preprocessing state as JSON text, and Parquet result
-tables (predictions, metrics, provenance, any extra statistic tables).
-Loading fails fast when the folder or a required part is missing.
+An artifact is a folder (shared storage) with a manifest and one sub-folder per
+run: an MLlib model directory per candidate, the fitted preprocessing state as
+JSON text, and Parquet result tables (predictions, metrics, provenance and the
+statistic tables). Loading fails fast when the folder or a part is missing.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 
 import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel,
                                        RandomForestClassificationModel)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,47 +59,61 @@ def provenance(result: M.TrainResult, n_rows: int, fraud_rate: float,
 
 def save_artifacts(path: str, result: M.TrainResult, meta: DataFrame,
                    tables: dict[str, DataFrame] | None = None) -> None:
-    """Write models, preprocessing state and result tables under ``path``."""
+    """Write models, preprocessing state and result tables under ``path``.
+
+    Everything goes to a fresh sub-folder; the manifest that names it is written last,
+    so a failed run leaves the artifact of the run before.
+    """
     spark = result.predictions.sparkSession
+    run = f"run-{uuid.uuid4().hex[:12]}"
+    root = f"{path.rstrip('/')}/{run}"
     manifest = []
     for name, model in result.models.items():
         kind, k = _kind(model)
-        sub = f"{path}/models/{_slug(name)}"
+        sub = f"{root}/models/{_slug(name)}"
         if kind == "calibrated_forest":
             model.save(sub)
         else:
             model.write().overwrite().save(sub)
-        manifest.append((name, _slug(name), kind, k))
-    spark.createDataFrame(manifest, "name string, slug string, kind string, folds int") \
-        .write.mode("overwrite").parquet(f"{path}/manifest")
-    spark.createDataFrame([(result.prep.to_json(),)], "value string") \
-        .write.mode("overwrite").text(f"{path}/prep")
-    result.predictions.write.mode("overwrite").parquet(f"{path}/predictions")
-    result.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
-    meta.write.mode("overwrite").parquet(f"{path}/metadata")
+        manifest.append((run, "model", name, _slug(name), kind, k))
+    spark.createDataFrame([(result.prep.to_json(),)], "value string").write.text(f"{root}/prep")
+    result.predictions.write.parquet(f"{root}/predictions")
+    result.metrics.write.parquet(f"{root}/metrics")
+    meta.write.parquet(f"{root}/metadata")
     for name, df in (tables or {}).items():
-        df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+        df.write.parquet(f"{root}/tables/{name}")
+        manifest.append((run, "table", name, name, "parquet", 0))
+    (spark.createDataFrame(manifest, "run string, part string, name string, slug string, kind string, folds int")
+     .coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/manifest"))
 
 
 def load_artifacts(spark: SparkSession, path: str) -> dict:
-    """S3: read an artifact back; raises FileNotFoundError when it is incomplete."""
+    """S3: read an artifact back; raises FileNotFoundError when it or a part is absent.
+
+    Other failures (permissions, damaged files) are raised as they are.
+    """
     try:
-        meta = spark.read.parquet(f"{path}/metadata").first()
-        manifest = spark.read.parquet(f"{path}/manifest").collect()
-        prep = M.Prep.from_json(spark.read.text(f"{path}/prep").first()["value"])
-    except Exception as e:  # noqa: BLE001 - any read failure means a missing artifact
+        manifest = spark.read.parquet(f"{path.rstrip('/')}/manifest").collect()
+        root = f"{path.rstrip('/')}/{manifest[0]['run']}"
+        meta = spark.read.parquet(f"{root}/metadata").first()
+        prep = M.Prep.from_json(spark.read.text(f"{root}/prep").first()["value"])
+        predictions, metrics = (spark.read.parquet(f"{root}/{t}") for t in ("predictions", "metrics"))
+        tables = {r["name"]: spark.read.parquet(f"{root}/tables/{r['slug']}")
+                  for r in manifest if r["part"] == "table"}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"artifact at {path} is missing or incomplete: {e}") from e
     loaders = {"pipeline": PipelineModel.load, "gbt": GBTClassificationModel.load,
                "forest": RandomForestClassificationModel.load}
     models = {}
-    for r in manifest:
-        sub = f"{path}/models/{r['slug']}"
+    for r in (r for r in manifest if r["part"] == "model"):
+        sub = f"{root}/models/{r['slug']}"
         models[r["name"]] = (M.CalibratedForest.load(sub, r["folds"])
                              if r["kind"] == "calibrated_forest" else loaders[r["kind"]](sub))
     return {"metadata": meta.asDict(), "prep": prep, "models": models,
-            "best_name": meta["best_model"],
-            "predictions": spark.read.parquet(f"{path}/predictions"),
-            "metrics": spark.read.parquet(f"{path}/metrics")}
+            "best_name": meta["best_model"], "predictions": predictions, "metrics": metrics,
+            "tables": tables}
 
 
 def version_view(spark: SparkSession, artifact: dict) -> DataFrame:
@@ -110,11 +126,23 @@ def version_view(spark: SparkSession, artifact: dict) -> DataFrame:
     return spark.createDataFrame([row])
 
 
+def _clean(x: Column, kind: T.DataType) -> Column:
+    """``x`` with every NaN and infinity inside it as NULL."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return nan_to_null(x)
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_clean(x[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(x.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: _clean(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: _clean(v, kind.valueType))
+    return x
+
+
 def sanitize(df: DataFrame) -> DataFrame:
-    """NaN and +/-Inf become NULL in every double/float column (top level)."""
-    return df.select(*[nan_to_null(F.col(f.name)).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-                       for f in df.schema.fields])
+    """NaN and +/-Inf become NULL at every level of every column."""
+    return df.select(*[_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def to_json_lines(df: DataFrame, key: str | None = None) -> DataFrame:

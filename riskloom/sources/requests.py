@@ -1,8 +1,9 @@
 """Scoring-request sources and the request -> transaction mapping.
 
 Requests arrive as JSON lines (batch ``spark.read`` or ``readStream``) with the
-declared 18-field schema plus ``request_id`` and ``as_of``. The scoring date is
-a parameter (``as_of``), not the wall clock, so results are reproducible.
+declared 18 fields plus ``request_id`` and ``as_of``. The scoring date is a
+parameter (``as_of``), so results are reproducible; without one it is the current
+date.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.schema import REQUEST_SCHEMA
+from riskloom.sources.transactions import normalised
 
 # request field -> training column name
 REQUEST_TO_TRANSACTION = {
@@ -38,17 +41,41 @@ REQUEST_TO_TRANSACTION = {
 REQUEST_FIELDS = list(REQUEST_TO_TRANSACTION)
 
 
+#: Every field as text: typed reading would turn a number in quotes into NULL.
+_TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType(), True) for f in REQUEST_SCHEMA.fields]
+                            + [T.StructField("_corrupt_record", T.StringType(), True)])
+
+
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """Typed request fields of JSON lines (column ``value``), parsed leniently.
+
+    Numbers may be quoted and counts may be integral floats. ``bad_fields`` lists the
+    fields that hold something else, ``payload`` is the line and ``_corrupt_record``
+    is set where it is no JSON object at all.
+    """
+    r = F.from_json("value", _TEXT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    df = lines.select(F.col("value").alias("payload"), r.alias("r"))
+    kinds = {f.name: f.dataType for f in REQUEST_SCHEMA.fields if not isinstance(f.dataType, T.StringType)}
+    flat = df.select("payload", F.coalesce("r._corrupt_record", F.when(F.col("r").isNull(), F.col("payload")))
+                     .alias("_corrupt_record"), *[F.col(f"r.{f.name}") for f in REQUEST_SCHEMA.fields])
+    typed = {n: normalised(n, T.StringType(), t) for n, t in kinds.items()}
+    bad = F.array(*[F.when(F.col(n).isNotNull() & typed[n].isNull(), F.lit(n)) for n in kinds])
+    return flat.select(
+        *[(typed[f.name] if f.name in typed else F.col(f.name)).alias(f.name) for f in REQUEST_SCHEMA.fields],
+        F.filter(bad, lambda x: x.isNotNull()).alias("bad_fields"), "payload", "_corrupt_record")
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Batch JSON-lines request source with the declared schema."""
-    return spark.read.schema(REQUEST_SCHEMA).json(path)
+    """Batch JSON-lines request source."""
+    return parse_requests(spark.read.text(path))
 
 
 def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None):
-    """Streaming JSON-lines request source (file source, declared schema)."""
-    r = spark.readStream.schema(REQUEST_SCHEMA)
+    """Streaming JSON-lines request source (file source)."""
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path)
+    return parse_requests(r.text(path))
 
 
 def requests_from_transactions(tx: DataFrame, as_of: dt.date | None = None,
@@ -65,11 +92,13 @@ def requests_from_transactions(tx: DataFrame, as_of: dt.date | None = None,
 
 
 def requests_to_transactions(req: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """Training-named columns; Transaction_Date is the request's as-of date.
+    """Training-named columns; Transaction_Date is the scoring date.
 
-    Columns that are not request fields (ids, as_of, metadata) are carried along.
+    The date is ``as_of`` if given, else the request's own ``as_of``, else the current
+    date. Columns that are not request fields (ids, metadata) are carried along.
     """
-    date = F.lit(as_of).cast("date") if as_of is not None else F.col("as_of")
+    own = F.col("as_of") if "as_of" in req.columns else F.lit(None).cast("date")
+    date = F.lit(as_of).cast("date") if as_of is not None else F.coalesce(own, F.current_date())
     extras = [c for c in req.columns if c not in REQUEST_TO_TRANSACTION]
     return req.select(*extras, *[F.col(k).alias(v) for k, v in REQUEST_TO_TRANSACTION.items()],
                       date.alias("Transaction_Date"))

@@ -1,7 +1,7 @@
 """Transaction sources.
 
 * ``read_transactions``: the labelled transaction table from CSV (header) or
-  Parquet with a declared schema (no inference, malformed values become NULL).
+  Parquet, matched by column name and normalised to the declared types.
 * ``fixture_transactions``: the transaction view derived from the driver's
   ``orders``/``customer``/``nation`` tables (FIXTURES.md §5), written with the
   DataFrame API; the DuckDB oracle runs the same definition as SQL.
@@ -13,30 +13,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.joins import bounded_broadcast
 from riskloom.functions.ordered import keyed_history
-from riskloom.schema import TRANSACTION_SCHEMA
-
-_TEXT_DATE_SCHEMA = T.StructType([
-    T.StructField(f.name, T.StringType() if f.name == "Transaction_Date" else f.dataType, True)
-    for f in TRANSACTION_SCHEMA.fields
-])
-
-
-def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Scan a transaction table with the declared schema.
-
-    The date is read as text and parsed with ``try_to_date`` so one bad date
-    does not poison the row; extra columns of a Parquet source are kept.
+from riskloom.schema import TARGET, TRANSACTION_SCHEMA
+
+# FIXED VALUES — texts that count as missing in a transaction table.
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def normalised(c: str, source: T.DataType, target: T.DataType) -> "F.Column":
+    """Column ``c`` in the declared type: missing texts and NaN are NULL, integral
+    floats (``2.0``) are counts, what does not parse is NULL."""
+    x = F.col(f"`{c}`")
+    if isinstance(source, T.StringType):
+        x = F.when(~F.trim(x).isin(MISSING_TEXTS), x)
+    if isinstance(target, T.DateType):
+        return F.try_to_date(x) if isinstance(source, T.StringType) else x.cast("date")
+    if isinstance(target, T.DoubleType):
+        x = (F.trim(x) if isinstance(source, T.StringType) else x).try_cast("double")
+        return F.when(~F.isnan(x), x)
+    if isinstance(target, T.LongType):
+        x = F.trim(x) if isinstance(source, T.StringType) else x
+        if isinstance(source, (T.StringType, T.DoubleType, T.FloatType, T.DecimalType)):
+            d = x.try_cast("double")
+            whole = F.when(d == F.floor(d), d).try_cast("bigint")
+            return F.coalesce(x.try_cast("bigint"), whole) if isinstance(source, T.StringType) else whole
+        return x.try_cast("bigint")
+    return x.cast(target)
+
+
+def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", labelled: bool = True) -> DataFrame:
+    """Scan a transaction table by column name.
+
+    The declared columns come first, in their declared types and order; extra
+    columns follow as they are. CSV is read as text under its header names (files
+    whose header differs from the first one raise), so reordered and extra columns
+    are safe; a missing declared column raises ``ValueError`` (the label only where
+    ``labelled``). Missing texts, NaN and unparsable values become NULL.
     """
     if fmt == "csv":
-        df = (spark.read.schema(_TEXT_DATE_SCHEMA).option("header", True)
+        df = (spark.read.option("header", True).option("enforceSchema", False)
               .option("mode", "PERMISSIVE").csv(path))
     else:
         df = spark.read.format(fmt).load(path)
-    if dict(df.dtypes).get("Transaction_Date") == "string":
-        df = df.withColumn("Transaction_Date", F.expr("try_to_date(Transaction_Date)"))
-    return df
+    declared = [f for f in TRANSACTION_SCHEMA.fields if labelled or f.name != TARGET or f.name in df.columns]
+    absent = [f.name for f in declared if f.name not in df.columns]
+    if absent:
+        raise ValueError(f"{path} lacks the columns {', '.join(absent)}")
+    names = [f.name for f in declared]
+    return df.select(
+        *[normalised(f.name, df.schema[f.name].dataType, f.dataType).alias(f.name) for f in declared],
+        *[F.col(f"`{c}`") for c in df.columns if c not in names])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +75,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture_transactions(spark: SparkSession, sf_dir: str, history: bool = True) -> DataFrame:
     """Transaction view over the driver tables (22 columns, FIXTURES.md §5).
 
-    Plan: orders ⋈ customer (size-based strategy chosen by Catalyst/AQE),
-    two lookups into the nation dimension (broadcast after a row-count check), one window per
-    customer for the history columns (average of earlier amounts, maximum of
-    the three previous amounts). Those history columns are what a real source
-    supplies; only this fixture derives them.
+    Plan: orders ⋈ customer and two lookups into the nation dimension (strategies
+    chosen by Catalyst/AQE from their sizes), and for the history columns (average of
+    earlier amounts, maximum of the three previous amounts) the range-partitioned
+    ``keyed_history``. Those history columns are what a real source supplies; only
+    this fixture derives them.
     """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
@@ -67,7 +96,6 @@ def fixture_transactions(spark: SparkSession, sf_dir: str, history: bool = True)
               .otherwise(F.col("c_nationkey")).alias("lk"),
              ((k * 37) % 1440).cast("int").alias("mi")))
 
-    nation = bounded_broadcast(nation, 10_000)
     hn = (nation.select(F.col("n_nationkey").alias("hn_key"),
                                    F.col("n_name").alias("home"),
                                    F.col("n_regionkey").alias("hr")))
@@ -146,7 +174,7 @@ def fixture_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    return (nation.join(bounded_broadcast(region, 10_000), nation.n_regionkey == region.r_regionkey)
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey)
             .select(F.col("n_name").alias("city"), F.col("r_name").alias("country"),
                     (F.lit(-60.0) + 5 * F.col("n_nationkey")).alias("lat"),
                     (F.lit(-180.0) + 14 * F.col("n_nationkey")).alias("lon")))

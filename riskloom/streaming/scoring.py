@@ -10,12 +10,14 @@ exactly where it stopped.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import rules as RU
+from riskloom.operators.explain import waterfall
 from riskloom.operators import validate as VAL
 from riskloom.sources.requests import (REQUEST_TO_TRANSACTION, request_stream,
                                        requests_to_transactions)
@@ -26,28 +28,34 @@ ProbabilityFn = Callable[[DataFrame], DataFrame]
 
 
 def scoring_plan(requests: DataFrame, cities: DataFrame, probability: ProbabilityFn,
-                 threshold: float, merchant_cats: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                 threshold: float, merchant_cats: list[str] | None = None,
+                 as_of: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored, quarantined) for a batch or streaming request frame.
 
+    ``as_of`` is the scoring date; without it a request's own date or the current date.
+
     ``probability`` maps a transaction-named frame to the same frame plus ``p``.
     """
     kw = {"merchant_cats": merchant_cats} if merchant_cats else {}
     checked = VAL.validate(requests, cities, **kw)
-    accepted = checked.where("valid").drop("errors", "valid", "home_country", "tx_country")
+    accepted = checked.where("valid").drop("errors", "valid", "home_country", "tx_country", "bad_fields",
+                                           "payload", "_corrupt_record")
     quarantined = checked.where("NOT valid").select(
-        *[c for c in ("request_id", "Transaction_ID") if c in checked.columns], "errors")
-    scored_in = probability_on_requests(accepted, probability)
+        *[c for c in ("request_id", "Transaction_ID", "payload", "_corrupt_record") if c in checked.columns],
+        "errors")
+    scored_in = probability_on_requests(accepted, probability, as_of)
     scored = RU.score(scored_in, threshold).withColumn("scored_at", F.current_timestamp())
     return scored, quarantined
 
 
-def probability_on_requests(requests: DataFrame, probability: ProbabilityFn) -> DataFrame:
+def probability_on_requests(requests: DataFrame, probability: ProbabilityFn,
+                            as_of: dt.date | None = None) -> DataFrame:
     """Request columns plus ``p`` (the mapping to training names is internal)."""
-    txn = requests_to_transactions(requests)
+    txn = requests_to_transactions(requests, as_of)
     with_p = probability(txn)
     extras = [c for c in requests.columns if c not in REQUEST_TO_TRANSACTION]
     return with_p.select(*extras, *[F.col(v).alias(k) for k, v in REQUEST_TO_TRANSACTION.items()],
-                         "p")
+                         "p", *[c for c in ("contrib",) if c in with_p.columns])
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, cities: DataFrame,
@@ -56,7 +64,7 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, cities: DataFrame
                          merchant_cats: list[str] | None = None,
                          available_now: bool = True, max_files_per_trigger: int | None = None,
                          responses_dir: str | None = None, model_name: str = "model",
-                         roc_auc: float | None = None):
+                         roc_auc: float | None = None, as_of: dt.date | None = None):
     """Start the scoring and quarantine queries; returns (queries, sink, quarantine).
 
     With ``responses_dir`` a third query writes one JSON response document per
@@ -65,10 +73,12 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, cities: DataFrame
     sink_dir = sink_dir or shared_path(spark, "scored")
     quarantine_dir = quarantine_dir or shared_path(spark, "quarantine")
     stream = request_stream(spark, source_dir, max_files_per_trigger)
-    scored, quarantined = scoring_plan(stream, cities, probability, threshold, merchant_cats)
+    scored, quarantined = scoring_plan(stream, cities, probability, threshold, merchant_cats, as_of)
     outputs = [(scored, sink_dir, "parquet"), (quarantined, quarantine_dir, "parquet")]
     if responses_dir:
-        docs = to_json_lines(sanitize(RU.response(scored, model_name, roc_auc))).select("value")
+        bars = waterfall(F.col("contrib")) if "contrib" in scored.columns else None
+        docs = to_json_lines(sanitize(RU.response(scored, model_name, roc_auc, waterfall=bars))).select("value")
+        outputs[0] = (scored.drop("contrib"), sink_dir, "parquet")
         outputs.append((docs, responses_dir, "text"))
     out = []
     for df, path, fmt in outputs:

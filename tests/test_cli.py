@@ -7,6 +7,7 @@ from riskloom import cli
 from riskloom.operators import models as M
 from riskloom.schema import REQUEST_SCHEMA
 from riskloom.session import shared_path
+from riskloom.sources.artifacts import load_artifacts
 from riskloom.sources.transactions import fixture_transactions
 
 from conftest import SF_MID
@@ -20,8 +21,14 @@ def test_train_then_score(spark):
                         cv_folds=2, lr_max_iter=30)
     out = cli.train(spark, csv, art, "csv", cfg)
     assert out["best_model"] in (M.RF, M.GBT, M.LR)
-    assert spark.read.parquet(f"{art}/tables/threshold_sweep").count() == 19
-    assert spark.read.parquet(f"{art}/tables/rates").count() > 0
+    tables = load_artifacts(spark, art)["tables"]
+    assert tables["threshold_sweep"].count() == 19 and tables["rates"].count() > 0
+    # curves and both matrices of every model
+    assert {r.model for r in tables["roc_curve"].select("model").distinct().collect()} == set(cfg.models)
+    assert {(r.model, r["at"]) for r in tables["confusion"].collect()} == {
+        (m, at) for m in cfg.models for at in ("0.5", "optimal")}
+    if out["best_model"] != M.GBT:
+        assert tables["global_attribution"].count() == 15
     base = dict(request_id="a", amount=5000.0, balance=100.0, distance=5570.0, tx_time="02:10",
                 tx_type="Online", merchant_cat="Jewelry", card_type="Prepaid",
                 tx_location="London", home_loc="New York", daily_tx=4, weekly_tx=7,
@@ -40,5 +47,8 @@ def test_train_then_score(spark):
     assert set(docs) == {"a", "b"}
     assert docs["a"]["tier"] == "HIGH" and docs["a"]["rule_override"].startswith("RULE_01")
     assert 0.0 <= docs["b"]["ml_probability"] <= 1.0
+    if out["best_model"] != M.GBT:
+        bars = [b["value"] for b in docs["a"]["shap_waterfall"]]
+        assert len(bars) == 12 and bars == sorted(bars)
     q = spark.read.parquet(f"{dest}/quarantine").collect()
     assert [r.request_id for r in q] == ["bad"]

@@ -65,8 +65,7 @@ def test_validation_hand_cases(spark):
     assert errs["many"] == ["amount", "card_type", "failed", "unusual"]
     msg = [e.message for r in v.collect() if r.request_id == "intl" for e in r.errors]
     assert msg == ["is_intl must match selected locations (expected 'Yes')"]
-    ok, bad = VAL.split_valid(v)
-    assert ok.count() == 2 and bad.count() == 6
+    assert v.where("valid").count() == 2 and v.where("NOT valid").count() == 6
 
 
 def test_geo_distance_and_border(spark):

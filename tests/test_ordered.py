@@ -150,3 +150,56 @@ def test_keyed_history_property(spark):
         b = {r.k: (r.s or 0.0, r.c, r.m) for r in ref.collect()}
         for k in b:
             assert a[k][1:] == b[k][1:] and abs(a[k][0] - b[k][0]) < 1e-6, (parts, lookback, seed, k)
+
+
+def _quantiles(rows):
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = [r[1] for r in rows if r[0] == g and r[1] is not None and not np.isnan(r[1])]
+        for q in (0.25, 0.5, 0.9):
+            if v:
+                want[g, q] = float(np.quantile(v, q))
+    return want
+
+
+def test_quantiles_with_nan_null_groups_and_the_full_ranking(spark):
+    from riskloom.functions.ordered import exact_quantiles, exact_quantiles_full
+    rng = np.random.default_rng(5)
+    rows = [(g, None if i % 9 == 0 else float("nan") if i % 5 == 0 else float(rng.integers(0, 50)))
+            for g in ("a", "b", None) for i in range(800)] + [("small", 1.0), ("small", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for fn in (exact_quantiles, exact_quantiles_full):
+        got = {(r.g, r.q): r.quantile for r in fn(df, ["g"], "v", [0.25, 0.5, 0.9], num_partitions=5).collect()}
+        want = _quantiles(rows)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_missed_bracket_falls_back_to_the_full_ranking(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from riskloom.functions import ordered
+    called = []
+    full = ordered.exact_quantiles_full
+    monkeypatch.setattr(ordered, "exact_quantiles_full", lambda *a, **k: called.append(1) or full(*a, **k))
+    # a sketch that brackets nothing: every percentile is the smallest value
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda c, p, a: F.transform(p, lambda _: F.lit(0.0)))
+    df = spark.createDataFrame([("a", float(i)) for i in range(100)], "g string, v double")
+    got = {r.q: r.quantile for r in ordered.exact_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert called and got == {0.5: 49.5}
+
+
+def test_keyed_history_with_null_keys_and_order_values(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from riskloom.functions.ordered import keyed_history
+    rows = [(None if i % 3 == 0 else i % 4, None if i % 5 == 0 else i // 7, i, float(i % 11)) for i in range(240)]
+    df = spark.createDataFrame(rows, "cust long, d long, k long, amt double")
+    w = Window.partitionBy("cust").orderBy("d", "k")
+    want = {r.k: (r.s, r.n, r.m) for r in df.select(
+        "k", F.coalesce(F.sum("amt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("s"),
+        F.count("amt").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("n"),
+        F.max("amt").over(w.rowsBetween(-3, -1)).alias("m")).collect()}
+    got = {r.k: (r.prev_sum, r.prev_count, r.prev_max) for r in
+           keyed_history(df, "cust", ["d", "k"], "amt", 3, num_partitions=7).collect()}
+    assert got == want
