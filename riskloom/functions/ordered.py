@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import reliable_checkpoint
+from riskloom.session import reliable_checkpoint, shared_path
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -201,6 +201,64 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
                  offset_col="_below")
 
 
+def column_quantiles(df: DataFrame, cols: list[str], prob: float = 0.5,
+                     accuracy: int = 10000) -> dict[str, float | None]:
+    """Exact, linearly interpolated quantile of each column, NULLs and NaNs skipped.
+
+    ``df`` is written once; every pass reads that copy and stays wide (one row per
+    input row): (1) one aggregate of counts and bounded-memory sketches brackets each
+    column's target rank; (2) one aggregate counts the rows below and up to each
+    bracket, which verifies it; (3) only the values strictly needed, those inside a
+    bracket of more than one value, become rows and are ranked. A column whose
+    bracket missed is ranked in full. What reaches the driver is a few numbers per
+    column.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "wide")
+    names = [f"c{i}" for i in range(len(cols))]
+    wide = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names, strict=True)])
+    wide.select(*[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names]).write.parquet(path)
+    data = spark.read.parquet(path)
+    margin = 3.0 / accuracy
+    one = data.agg(*[x for n in names for x in (
+        F.count(n).alias(f"n_{n}"),
+        F.percentile_approx(n, F.array(F.lit(max(0.0, prob - margin)), F.lit(min(1.0, prob + margin))), accuracy)
+        .alias(f"e_{n}"), F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}"))]).first()
+    out: dict[str, float | None] = {}
+    bracket, rank = {}, {}
+    for c, n in zip(cols, names, strict=True):
+        total = one[f"n_{n}"]
+        if not total:
+            out[c] = None
+            continue
+        pos = prob * (total - 1)
+        rank[n] = (int(pos // 1), int(-(-pos // 1)), pos)
+        # few rows: the interpolation ranks follow total - 1, the sketch ranks total
+        small = total * margin < 4
+        bracket[n] = (one[f"lo_{n}"], one[f"hi_{n}"]) if small else tuple(one[f"e_{n}"])
+    if not bracket:
+        return out
+    seen = data.agg(*[x for n, (lo, hi) in bracket.items() for x in (
+        F.count_if(F.col(n) < lo).alias(f"b_{n}"), F.count_if(F.col(n) <= hi).alias(f"u_{n}"))]).first()
+    missed = [n for n in bracket if not (seen[f"b_{n}"] <= rank[n][0] and rank[n][1] < seen[f"u_{n}"])]
+    single = {n: lo for n, (lo, hi) in bracket.items() if lo == hi and n not in missed}
+    open_ = [n for n in bracket if n not in single]
+    value = dict(single)
+    if open_:
+        items = F.array(*[F.when((F.lit(n in missed)) | F.col(n).between(*bracket[n]),
+                                 F.struct(F.lit(n).alias("c"), F.col(n).alias("v"))) for n in open_])
+        rows = data.select(F.explode(F.filter(items, lambda x: x.isNotNull() & x["v"].isNotNull())).alias("x"))
+        counts = rows.groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = ordered_scan(counts, ["c"], "v", False, ["_n"])
+        shift = {n: 0 if n in missed else seen[f"b_{n}"] for n in open_}
+        targets = spark.createDataFrame(
+            [(n, "q", rank[n][2], rank[n][0], rank[n][1], shift[n]) for n in open_],
+            "c string, q string, _pos double, _lo long, _hi long, _below long")
+        value |= {r["c"]: r["quantile"] for r in
+                  _pick(ranked, targets, ["c"], ["c", "q"], "v", offset_col="_below").collect()}
+    return out | {c: value[n] for c, n in zip(cols, names, strict=True) if n in value}
+
+
 def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lookback: int = 3,
                   num_partitions: int | None = None) -> DataFrame:
     """Per-key history of ``value`` over earlier rows, safe for a hot key.
