@@ -16,6 +16,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
@@ -36,9 +37,14 @@ from riskloom.session import reliable_checkpoint
 RF, GBT, LR = "Random Forest", "Gradient Boosting", "Logistic Regression"
 
 
+#: Rows of a bounded training sample that one task takes.
+ROWS_PER_TASK = 50_000
+
+
 @dataclasses.dataclass
 class TrainConfig:
-    """Defaults are the published settings; tests and the registry pass smaller ones."""
+    """Defaults are the published settings; tests pass smaller ones, the registry bounds
+    ``max_rows``."""
     rf_trees: int = 300
     rf_depth: int = 12
     rf_min_leaf: int = 4
@@ -53,7 +59,7 @@ class TrainConfig:
     seed: int = 42
     max_rows: int | None = None
     models: tuple[str, ...] = (RF, GBT, LR)
-    parallelism: int = 4                 # concurrent fits (full fits and CV folds), as CrossValidator
+    parallelism: int = 8                 # concurrent fits (full fits and CV folds), as CrossValidator
 
 
 @dataclasses.dataclass
@@ -116,8 +122,10 @@ def prepare(tx: DataFrame, cfg: TrainConfig) -> tuple[Prep, DataFrame]:
     split = TR.stratified_split(vec, "label", cfg.test_fraction, seed=cfg.seed)
     folded = TR.stratified_folds(split, cfg.cv_folds, seed=cfg.seed)
     weights = TR.class_weights(folded.where(~F.col("is_test")))
-    frame = reliable_checkpoint(TR.with_weights(folded, weights))
-    return prep, frame
+    frame = TR.with_weights(folded, weights)
+    if cfg.max_rows:  # a bounded sample needs few tasks per fit; the fits run side by side
+        frame = frame.coalesce(-(-cfg.max_rows // ROWS_PER_TASK))
+    return prep, reliable_checkpoint(frame).persist()
 
 
 # ── candidates ───────────────────────────────────────────────────────────────
@@ -176,15 +184,18 @@ class CalibratedForest:
     def fit(train: DataFrame, cfg: TrainConfig) -> "CalibratedForest":
         k = cfg.calibration_folds
         folds = TR.stratified_folds(train.drop("fold"), k, seed=cfg.seed + 1)
-        forests, calibrators = [], []
-        for i in range(k):
+
+        def one(i: int):
             rf = _forest(cfg, cfg.seed + i).fit(folds.where(F.col("fold") != i))
             held = probability(rf, folds.where(F.col("fold") == i), "raw_p")
-            iso = IsotonicRegression(featuresCol="raw_p", labelCol="label", isotonic=True,
-                                     predictionCol="cal_p").fit(held.select("raw_p", "label"))
-            forests.append(rf)
-            calibrators.append(iso)
-        return CalibratedForest(forests, calibrators)
+            iso = IsotonicRegression(featuresCol="raw_p", labelCol="label", isotonic=True, predictionCol="cal_p")
+            # equal scores meet before the fit (weighted by their rows), which is exact
+            steps = held.groupBy("raw_p").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+            return rf, iso.setWeightCol("w").fit(steps)
+
+        with ThreadPoolExecutor(max_workers=max(1, min(k, cfg.parallelism))) as pool:   # independent fits
+            pairs = list(pool.map(one, range(k)))
+        return CalibratedForest([rf for rf, _ in pairs], [iso for _, iso in pairs])
 
     def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
         cur = df
@@ -268,7 +279,6 @@ def train_all(tx: DataFrame, cfg: TrainConfig = TrainConfig()) -> TrainResult:
     Full fits and folds are independent Spark jobs submitted from a thread pool
     (``cfg.parallelism``), like ``CrossValidator(parallelism=...)``.
     """
-    from concurrent.futures import ThreadPoolExecutor
     prep, frame = prepare(tx, cfg)
     train = frame.where(~F.col("is_test"))
     test = frame.where(F.col("is_test"))
