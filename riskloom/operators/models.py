@@ -14,6 +14,7 @@ aggregated per level, logistic regression gradients per iteration).
 from __future__ import annotations
 
 import dataclasses
+import functools
 import json
 import math
 from concurrent.futures import ThreadPoolExecutor
@@ -64,8 +65,8 @@ class TrainConfig:
 
 @dataclasses.dataclass
 class Prep:
-    """Fitted preprocessing state (small): codes, medians, input order."""
-    encoders: dict[str, dict[str, int]]
+    """Fitted preprocessing state: code table (column, value, code), medians, input order."""
+    codes: DataFrame
     medians: dict[str, float]
     inputs: list[str]
 
@@ -75,12 +76,13 @@ class Prep:
         Codes and medians are applied inside the assembler inputs, so the
         original columns stay untouched; inputs absent from ``df`` are 0 (E4).
         """
-        fe = FT.engineer_features(df)
+        coded = [c for c in CATEGORICAL_FEATURES if c in self.inputs and c in df.columns]
+        fe = EN.apply_category_codes(FT.engineer_features(df), self.codes, coded, "_code")
         tmp = [f"_in{i}" for i in range(len(self.inputs))]
         exprs = []
         for name, t in zip(self.inputs, tmp):
-            if name in self.encoders:
-                e = EN.code_column(name, self.encoders[name]).cast("double")
+            if name in coded:
+                e = F.col(name + "_code").cast("double")
             elif name in fe.columns:
                 x = F.col(name).cast("double")
                 x = F.when(~F.isnan(x), x)
@@ -96,19 +98,20 @@ class Prep:
         return out.drop(*tmp)
 
     def to_json(self) -> str:
-        return json.dumps(dataclasses.asdict(self))
+        """Medians and input order; the code table is stored as a table."""
+        return json.dumps({"medians": self.medians, "inputs": self.inputs})
 
     @staticmethod
-    def from_json(text: str) -> "Prep":
-        return Prep(**json.loads(text))
+    def from_json(text: str, codes: DataFrame) -> "Prep":
+        return Prep(codes, **json.loads(text))
 
 
 def fit_prep(tx: DataFrame) -> Prep:
     """E1 + E3 on the full labelled table (the published order: before the split)."""
     fe = FT.feature_frame(tx, keep=())
-    encoders = EN.collect_codes(EN.fit_category_codes(tx))
+    codes = EN.stored_codes(EN.fit_category_codes(tx))
     medians = EN.collect_medians(EN.fit_medians(fe, NUMERIC_FEATURES))
-    return Prep(encoders, medians, list(MODEL_INPUTS))
+    return Prep(codes, medians, list(MODEL_INPUTS))
 
 
 def prepare(tx: DataFrame, cfg: TrainConfig) -> tuple[Prep, DataFrame]:
@@ -181,21 +184,15 @@ class CalibratedForest:
         self.calibrators = calibrators
 
     @staticmethod
-    def fit(train: DataFrame, cfg: TrainConfig) -> "CalibratedForest":
-        k = cfg.calibration_folds
-        folds = TR.stratified_folds(train.drop("fold"), k, seed=cfg.seed + 1)
-
-        def one(i: int):
-            rf = _forest(cfg, cfg.seed + i).fit(folds.where(F.col("fold") != i))
-            held = probability(rf, folds.where(F.col("fold") == i), "raw_p")
-            iso = IsotonicRegression(featuresCol="raw_p", labelCol="label", isotonic=True, predictionCol="cal_p")
-            # equal scores meet before the fit (weighted by their rows), which is exact
-            steps = held.groupBy("raw_p").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-            return rf, iso.setWeightCol("w").fit(steps)
-
-        with ThreadPoolExecutor(max_workers=max(1, min(k, cfg.parallelism))) as pool:   # independent fits
-            pairs = list(pool.map(one, range(k)))
-        return CalibratedForest([rf for rf, _ in pairs], [iso for _, iso in pairs])
+    def fit_fold(train: DataFrame, cfg: TrainConfig, i: int):
+        """(forest, calibrator) of fold ``i``; the folds are independent of each other."""
+        folds = TR.stratified_folds(train.drop("fold"), cfg.calibration_folds, seed=cfg.seed + 1)
+        rf = _forest(cfg, cfg.seed + i).fit(folds.where(F.col("fold") != i))
+        held = probability(rf, folds.where(F.col("fold") == i), "raw_p")
+        iso = IsotonicRegression(featuresCol="raw_p", labelCol="label", isotonic=True, predictionCol="cal_p")
+        # equal scores meet before the fit (weighted by their rows), which is exact
+        steps = held.groupBy("raw_p").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+        return rf, iso.setWeightCol("w").fit(steps)
 
     def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
         cur = df
@@ -226,10 +223,16 @@ class CalibratedForest:
             [IsotonicRegressionModel.load(f"{path}/isotonic_{i}") for i in range(k)])
 
 
-def fit_candidate(name: str, train: DataFrame, cfg: TrainConfig):
+def start_candidate(name: str, train: DataFrame, cfg: TrainConfig, pool: ThreadPoolExecutor):
+    """Submit the independent fits of a candidate; returns a function that waits for the model."""
+    if name == RF and cfg.calibration_folds and cfg.calibration_folds > 1:
+        fits = [pool.submit(CalibratedForest.fit_fold, train, cfg, i) for i in range(cfg.calibration_folds)]
+        return lambda: CalibratedForest(*zip(*(f.result() for f in fits)))
+    return pool.submit(_fit_single, name, train, cfg).result
+
+
+def _fit_single(name: str, train: DataFrame, cfg: TrainConfig):
     if name == RF:
-        if cfg.calibration_folds and cfg.calibration_folds > 1:
-            return CalibratedForest.fit(train, cfg)
         return _forest(cfg, cfg.seed).fit(train)
     if name == GBT:
         return _gbt(cfg).fit(train)
@@ -239,6 +242,17 @@ def fit_candidate(name: str, train: DataFrame, cfg: TrainConfig):
     raise ValueError(f"unknown candidate {name}")
 
 
+def explained_forest(tx: DataFrame, cfg: TrainConfig):
+    """(prep, frame, forest): the forest that explains the calibrated candidate (its first
+    fold's), fitted alone."""
+    prep, frame = prepare(tx, cfg)
+    train = frame.where(~F.col("is_test"))
+    if cfg.calibration_folds and cfg.calibration_folds > 1:
+        train = TR.stratified_folds(train.drop("fold"), cfg.calibration_folds,
+                                    seed=cfg.seed + 1).where(F.col("fold") != 0)
+    return prep, frame, _forest(cfg, cfg.seed).fit(train)
+
+
 # ── T8-T10 ───────────────────────────────────────────────────────────────────
 
 @dataclasses.dataclass
@@ -256,11 +270,8 @@ def _predict(name, model, df) -> DataFrame:
                                          F.col("label").cast("int").alias("label"), "p")
 
 
-def _fold_ap(name: str, train: DataFrame, k: int, cfg: TrainConfig) -> float:
-    m = fit_candidate(name, train.where(F.col("fold") != k), cfg)
-    pr = _predict(name, m, train.where(F.col("fold") == k))
-    ap = EV.rank_metrics(EV.score_steps(pr)).first()["average_precision"]
-    return float(ap) if ap is not None else 0.0
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
 def _mean_std(scores: list[float]) -> tuple[float, float]:
@@ -268,32 +279,44 @@ def _mean_std(scores: list[float]) -> tuple[float, float]:
     return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
 
 
-def cross_validate(name: str, train: DataFrame, cfg: TrainConfig) -> tuple[float, float]:
-    """Mean and population std of average precision over the CV folds."""
-    return _mean_std([_fold_ap(name, train, k, cfg) for k in range(cfg.cv_folds)])
+def fold_scores(fold_models: dict, train: DataFrame) -> dict[str, tuple[float, float]]:
+    """Mean and population std of average precision over the CV folds, per candidate.
+
+    ``fold_models`` maps (candidate, fold) to the model fitted without that fold; all
+    folds are ranked in one pass.
+    """
+    preds = _union([_predict(f"{n}/{k}", m, train.where(F.col("fold") == k))
+                    for (n, k), m in fold_models.items()])
+    found = {r["model"]: r["average_precision"]
+             for r in EV.rank_metrics(EV.score_steps(reliable_checkpoint(preds))).collect()}
+    scores: dict[str, list[float]] = {}
+    for n, k in fold_models:
+        scores.setdefault(n, []).append(float(found.get(f"{n}/{k}") or 0.0))
+    return {n: _mean_std(s) for n, s in scores.items()}
 
 
 def train_all(tx: DataFrame, cfg: TrainConfig = TrainConfig()) -> TrainResult:
     """Fit every candidate on the training part and run its CV folds.
 
-    Full fits and folds are independent Spark jobs submitted from a thread pool
-    (``cfg.parallelism``), like ``CrossValidator(parallelism=...)``.
+    Fits, folds and calibration folds are independent Spark jobs submitted from one
+    thread pool (``cfg.parallelism``), like ``CrossValidator(parallelism=...)``; the
+    boosted models start first, as each is one long chain of jobs.
     """
     prep, frame = prepare(tx, cfg)
     train = frame.where(~F.col("is_test"))
     test = frame.where(F.col("is_test"))
+    cv = range(cfg.cv_folds if cfg.cv_folds > 1 else 0)
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
-        fits = {n: pool.submit(fit_candidate, n, train, cfg) for n in cfg.models}
-        folds = {(n, k): pool.submit(_fold_ap, n, train, k, cfg)
-                 for n in cfg.models for k in range(cfg.cv_folds if cfg.cv_folds > 1 else 0)}
-        models = {n: f.result() for n, f in fits.items()}
-        cv = {n: (_mean_std([folds[(n, k)].result() for k in range(cfg.cv_folds)])
-                  if cfg.cv_folds > 1 else (0.0, 0.0)) for n in cfg.models}
-    preds = [_predict(n, models[n], test) for n in cfg.models]
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
-    allp = reliable_checkpoint(allp)
+        started = {}
+        for n in sorted(cfg.models, key=lambda n: n != GBT):
+            started[(n, None)] = start_candidate(n, train, cfg, pool)
+            for k in cv:
+                started[(n, k)] = start_candidate(n, train.where(F.col("fold") != k), cfg, pool)
+        fitted = {key: wait() for key, wait in started.items()}
+    models = {n: fitted[(n, None)] for n in cfg.models}
+    cv = (fold_scores({key: m for key, m in fitted.items() if key[1] is not None}, train) if cv
+          else {n: (0.0, 0.0) for n in cfg.models})
+    allp = reliable_checkpoint(_union([_predict(n, models[n], test) for n in cfg.models]))
     metrics = model_metrics(allp, cv)
     best = metrics.orderBy(F.desc("cv_mean_raw"), F.desc("pr_auc")).first()["name"]
     return TrainResult(prep, models, allp, metrics, best, frame)

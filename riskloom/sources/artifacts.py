@@ -77,6 +77,7 @@ def save_artifacts(path: str, result: M.TrainResult, meta: DataFrame,
             model.write().overwrite().save(sub)
         manifest.append((run, "model", name, _slug(name), kind, k))
     spark.createDataFrame([(result.prep.to_json(),)], "value string").write.text(f"{root}/prep")
+    result.prep.codes.write.parquet(f"{root}/codes")
     result.predictions.write.parquet(f"{root}/predictions")
     result.metrics.write.parquet(f"{root}/metrics")
     meta.write.parquet(f"{root}/metadata")
@@ -96,7 +97,8 @@ def load_artifacts(spark: SparkSession, path: str) -> dict:
         manifest = spark.read.parquet(f"{path.rstrip('/')}/manifest").collect()
         root = f"{path.rstrip('/')}/{manifest[0]['run']}"
         meta = spark.read.parquet(f"{root}/metadata").first()
-        prep = M.Prep.from_json(spark.read.text(f"{root}/prep").first()["value"])
+        prep = M.Prep.from_json(spark.read.text(f"{root}/prep").first()["value"],
+                                spark.read.parquet(f"{root}/codes"))
         predictions, metrics = (spark.read.parquet(f"{root}/{t}") for t in ("predictions", "metrics"))
         tables = {r["name"]: spark.read.parquet(f"{root}/tables/{r['slug']}")
                   for r in manifest if r["part"] == "table"}
