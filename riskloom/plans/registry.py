@@ -1032,7 +1032,7 @@ def q_forest_importance(spark, sf_dir):
     return _bounded(M.importance(forest, prep.inputs))
 
 
-# ── streaming scoring (rows-only: stream = batch is asserted in the tests) ──
+# ── streaming scoring (stream = batch is asserted in the tests) ──
 
 from riskloom.sources.transactions import surrogate_p  # noqa: E402
 from riskloom.streaming import scoring as ST  # noqa: E402
@@ -1060,7 +1060,9 @@ def run_stream_scoring(spark, sf_dir):
     return sink, quarantine
 
 
-@register("stream_score")
+@register("stream_score", "SELECT * FROM (" + _score_sql(
+    "Transaction_ID, p, ml_tier, rule_id, risk_score, tier")
+    + f") s WHERE Transaction_ID NOT IN (SELECT Transaction_ID FROM ({_validation_sql()}) e)")
 def q_stream_score(spark, sf_dir):
     sink, _ = run_stream_scoring(spark, sf_dir)
     return spark.read.parquet(sink).select(

@@ -2,8 +2,8 @@
 
 Stateless: JSON request files -> validation (stream-static joins to the small
 city table) -> request -> transaction mapping with the request's as-of date ->
-probability -> the same ``rules.score`` columns as batch -> append sink.
-Rejected requests go to a quarantine sink with their messages. Checkpoints and
+probability -> the same ``rules.score`` columns as batch -> one folder per
+micro-batch. Rejected requests go to a quarantine sink with their messages. Checkpoints and
 sinks live in the shared checkpoint folder, so a restarted query resumes
 exactly where it stopped.
 """
@@ -37,7 +37,12 @@ def scoring_plan(requests: DataFrame, cities: DataFrame, probability: Probabilit
     ``probability`` maps a transaction-named frame to the same frame plus ``p``.
     """
     kw = {"merchant_cats": merchant_cats} if merchant_cats else {}
-    checked = VAL.validate(requests, cities, **kw)
+    return split_checked(VAL.validate(requests, cities, **kw), probability, threshold, as_of)
+
+
+def split_checked(checked: DataFrame, probability: ProbabilityFn, threshold: float,
+                  as_of: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scored, quarantined) of validated requests."""
     accepted = checked.where("valid").drop("errors", "valid", "home_country", "tx_country", "bad_fields",
                                            "payload", "_corrupt_record")
     quarantined = checked.where("NOT valid").select(
@@ -65,28 +70,36 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, cities: DataFrame
                          available_now: bool = True, max_files_per_trigger: int | None = None,
                          responses_dir: str | None = None, model_name: str = "model",
                          roc_auc: float | None = None, as_of: dt.date | None = None):
-    """Start the scoring and quarantine queries; returns (queries, sink, quarantine).
+    """Start the scoring query; returns ([query], sink, quarantine).
 
-    With ``responses_dir`` a third query writes one JSON response document per
-    accepted request (nested trace, flags, percent texts) as text lines.
+    The source is read and validated once: each micro-batch of validated requests is
+    kept and written to all sinks (scored, quarantined and, with ``responses_dir``, one
+    JSON response document per accepted request). Every sink has one folder
+    ``batch=<id>`` per micro-batch, which a repeated batch overwrites, so the sinks
+    agree and hold every request once after a failure.
     """
     sink_dir = sink_dir or shared_path(spark, "scored")
     quarantine_dir = quarantine_dir or shared_path(spark, "quarantine")
-    stream = request_stream(spark, source_dir, max_files_per_trigger)
-    scored, quarantined = scoring_plan(stream, cities, probability, threshold, merchant_cats, as_of)
-    outputs = [(scored, sink_dir, "parquet"), (quarantined, quarantine_dir, "parquet")]
-    if responses_dir:
-        bars = waterfall(F.col("contrib")) if "contrib" in scored.columns else None
-        docs = to_json_lines(sanitize(RU.response(scored, model_name, roc_auc, waterfall=bars))).select("value")
-        outputs[0] = (scored.drop("contrib"), sink_dir, "parquet")
-        outputs.append((docs, responses_dir, "text"))
-    out = []
-    for df, path, fmt in outputs:
-        w = (df.writeStream.format(fmt).outputMode("append")
-             .option("checkpointLocation", f"{path}/_checkpoint").option("path", path))
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-        out.append(w.start())
-    return out, sink_dir, quarantine_dir
+    kw = {"merchant_cats": merchant_cats} if merchant_cats else {}
+    checked = VAL.validate(request_stream(spark, source_dir, max_files_per_trigger), cities, **kw)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            scored, quarantined = split_checked(batch, probability, threshold, as_of)
+            if responses_dir:
+                bars = waterfall(F.col("contrib")) if "contrib" in scored.columns else None
+                docs = to_json_lines(sanitize(RU.response(scored, model_name, roc_auc, waterfall=bars)))
+                docs.select("value").write.mode("overwrite").text(f"{responses_dir}/batch={batch_id}")
+                scored = scored.drop("contrib")
+            scored.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+            quarantined.write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    w = checked.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink_dir}/_checkpoint")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return [w.start()], sink_dir, quarantine_dir
 
 
 def history(spark: SparkSession, sink_dir: str, n: int = 50) -> DataFrame:
