@@ -244,9 +244,16 @@ def _fit_single(name: str, train: DataFrame, cfg: TrainConfig):
 
 def explained_forest(tx: DataFrame, cfg: TrainConfig):
     """(prep, frame, forest): the forest that explains the calibrated candidate (its first
-    fold's), fitted alone."""
-    prep, frame = prepare(tx, cfg)
+    fold's), fitted alone.
+
+    The frame holds the whole table, split before the bound: ``max_rows`` bounds the
+    training rows of the fit only, every test row stays.
+    """
+    prep, frame = prepare(tx, dataclasses.replace(cfg, max_rows=None))
     train = frame.where(~F.col("is_test"))
+    if cfg.max_rows:
+        fitted = TR.cap_rows(train, cfg.max_rows, seed=cfg.seed).coalesce(-(-cfg.max_rows // ROWS_PER_TASK))
+        train = TR.with_weights(fitted, TR.class_weights(fitted)).persist()
     if cfg.calibration_folds and cfg.calibration_folds > 1:
         train = TR.stratified_folds(train.drop("fold"), cfg.calibration_folds,
                                     seed=cfg.seed + 1).where(F.col("fold") != 0)

@@ -94,3 +94,16 @@ def test_stream_scoring_with_fitted_model_equals_batch(spark):
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert a == b and len(a) > 0
     assert all(0.0 <= r[1] <= 1.0 for r in a)
+
+
+def test_tree_attribution_explains_every_test_row(spark, monkeypatch):
+    from riskloom.operators import train as TR
+    from riskloom.operators.encode import label
+    from riskloom.plans import registry as R
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(R, "PUBLISHED", M.TrainConfig(rf_trees=2, rf_depth=3, max_rows=200))
+    split = TR.stratified_split(R.txh(spark, sf).withColumn("label", label()), "label")
+    want = {r.Transaction_ID for r in split.where("is_test").select("Transaction_ID").collect()}
+    rows = R.q_tree_attribution(spark, sf).groupBy("Transaction_ID").count().collect()
+    assert {r.Transaction_ID for r in rows} == want and len(want) > 200
+    assert {r["count"] for r in rows} == {50}
