@@ -5,9 +5,10 @@ A page becomes blocks of text, each with its root-to-leaf path of block elements
 aggregated; the length and punctuation ratios of a path are fused, smoothed with
 those of everything under its parent, and paths below a share of the best path
 are dropped. Paths through elements that never hold the article (menus, footers,
-adverts, forms, comments, scripts) are out from the start, and inside a page that
-marks its article only paths of the article compete. Every page is judged alone:
-no shuffle, and memory is bounded by one page.
+adverts, forms, comments, scripts) are out from the start. A page that marks its
+article (article, main) needs no ratios: every other block in it is its text, short
+lists, tables and captions too, and nothing outside it is. Every page is judged
+alone: no shuffle, and memory is bounded by one page.
 
 Blocks keep page order and are joined by a line feed; character references are
 decoded and white space inside a block becomes one space.
@@ -151,8 +152,9 @@ def _ratio(chars: int, marks: int, linked: int, nodes: int) -> float:
 def main_text(page: str | None) -> str:
     """The article's text of one page."""
     found = [b for b in blocks(page or "") if not b[1]]
-    if any("article" in _names(path) or "main" in _names(path) for path, *_ in found):
-        found = [b for b in found if not {"article", "main"}.isdisjoint(_names(b[0]))]
+    marked = [b for b in found if not {"article", "main"}.isdisjoint(_names(b[0]))]
+    if marked:
+        return "\n".join(text for _, _, text, _ in marked)
     totals: dict[tuple, list] = {}
     for path, _, text, linked in found:
         marks = sum(map(text.count, ".,;:!?"))

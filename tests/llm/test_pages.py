@@ -39,6 +39,17 @@ def test_markup(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_short_blocks_beside_long_paragraphs():
+    para = "Some words, more words; and then a few others. " * 6
+    want = ["A heading of some length", *[para.strip()] * 6, *(f"item {i} of a short list" for i in range(5)), "Col", "7", "A caption"]
+    page = (f"<h1>{want[0]}</h1>" + f"<p>{para}</p>" * 6 + "<ul>" + "".join(f"<li>{t}</li>" for t in want[7:12]) + "</ul>"
+            "<table><tr><th>Col</th><td>7</td></tr></table><figure><img src=x><figcaption>A caption</figcaption></figure>"
+            "<nav><p>menu</p></nav><div class=ad>buy</div>")
+    for tag in ("article", "main"):
+        text = html_text.main_text(f"<body><p>{para}</p><{tag}>{page}</{tag}><p>{para}</p></body>")
+        assert text.split("\n") == want
+
+
 def test_long_and_odd_pages(spark):
     long = "<article>" + "".join(f"<p>paragraph {i}, with words.</p>" for i in range(20_000)) + "</article>"
     rows = [(1, "u", long), (1, "u", long), (None, None, None), (2, "u", "<" * 5000), (3, "u", "<a " + "x='" * 2000)]
