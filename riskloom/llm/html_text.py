@@ -10,6 +10,13 @@ article (article, main) needs no ratios: every other block in it is its text, sh
 lists, tables and captions too, and nothing outside it is. Every page is judged
 alone: no shuffle, and memory is bounded by one page.
 
+Class, id and role words (HINTS) tell menus, adverts, comments and the like from the
+article, but not alone: they say nothing on an element that holds the page's largest
+article or most of its text, nor in a negated token (no-comments, has-sidebar). On
+headings ids and mixed tokens (related-work) do not count. On sections and paragraphs
+inside the article they are evidence: a mixed token drops a part that is mostly link
+text, an id of hint words only a part whose ratio is below the share of the best.
+
 Blocks keep page order and are joined by a line feed; character references are
 decoded and white space inside a block becomes one space.
 
@@ -58,16 +65,43 @@ HINTS = frozenset(
     "contentinfo complementary breadcrumb breadcrumbs share sharing social related recommended promo promotion "
     "newsletter subscribe subscription popup modal overlay widget toolbar pagination pager login signup "
     "search".split())
+#: Words that make a class, id or role token tell of a part that is absent or elsewhere.
+NEGATIONS = frozenset("no non not without has have with".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _P_CLOSERS = BLOCK - {"html", "head", "body"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table body html article section div".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """(path, out, text, link characters) of all blocks of text, in page order."""
+def hinted(tag: str, tokens: list[tuple[str, list[str]]], inside: bool) -> str:
+    """What (kind of attribute, words) tokens say of an element: "hard" (not the article),
+    "score" or "links" (evidence that the ratio or the share of link text decides), or ""."""
+    says = ""
+    for kind, words in tokens:
+        if HINTS.isdisjoint(words) or not NEGATIONS.isdisjoint(words):
+            continue
+        pure = HINTS.issuperset(words)
+        if tag in HEADINGS:
+            one = "hard" if pure and kind != "id" else ""
+        elif tag in ("section", "p") and inside:
+            one = ("score" if kind == "id" else "hard") if pure else "links"
+        else:
+            one = "hard"
+        says = max(says, one, key=("", "links", "score", "hard").index)
+    return says
+
+
+def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str, int, int]], list[str], list[int]]:
+    """Blocks of text in page order: (path, out, text, link characters, innermost part).
+
+    Parts are the article, main and hinted elements: the second list has what is known
+    of each, the third the part around it; -1 is none.
+    """
     found: list = []
-    stack: list[tuple[str, str, bool]] = []  # element, path step, boilerplate
+    parts: list[str] = []
+    around: list[int] = []
+    stack: list[tuple[str, str, bool, int]] = []  # element, path step, boilerplate element, innermost part
     text: list[str] = []
     linked = 0
 
@@ -75,13 +109,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         nonlocal linked
         clean = " ".join(html.unescape("".join(text)).split())
         if clean:
-            found.append((tuple(s for _, s, _ in stack if s), any(b for _, _, b in stack), clean,
-                          min(linked, len(clean))))
+            found.append((tuple(s for _, s, *_ in stack if s), any(b for _, _, b, _ in stack), clean,
+                          min(linked, len(clean)), stack[-1][3] if stack else -1))
         text.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        if any(tag in BLOCK or bad for tag, _, bad in stack[to:]):
+        if any(tag in BLOCK or bad for tag, _, bad, _ in stack[to:]) or (
+                to < len(stack) and stack[-1][3] != (stack[to - 1][3] if to else -1)):
             flush()
         del stack[to:]
 
@@ -91,7 +126,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         if m is None or m.start() > at:
             piece = page[at:m.start() if m else end]
             text.append(piece)
-            if any(tag == "a" for tag, _, _ in stack):
+            if any(tag == "a" for tag, *_ in stack):
                 linked += len(piece)
         if m is None:
             break
@@ -130,18 +165,25 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                     break
                 if stack[i][0] in _SCOPES:
                     break
-        words = []
+        words, tokens = [], []
         for kind, *values in _ATTR.findall(m["attr"] or m["attr2"] or ""):
-            words += _HINT.findall("".join(values).lower())
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        bad = tag in BOILERPLATE or (tag == "header" and not inside) or (
-            tag not in ("html", "body", "article", "main") and not HINTS.isdisjoint(words))
-        if tag in BLOCK or bad:
+            for token in "".join(values).lower().split():
+                tokens.append((kind.lower(), _HINT.findall(token)))
+                words += tokens[-1][1]
+        inside = any(t in ("article", "main") for t, *_ in stack)
+        bad = tag in BOILERPLATE or (tag == "header" and not inside)
+        says = tag if tag in ("article", "main") else "" if tag in ("html", "body") else hinted(tag, tokens, inside)
+        if tag in BLOCK or bad or says:
             flush()
-        step = "" if tag not in BLOCK and not bad else tag + "".join("." + w for w in words[:2])
-        stack.append((tag, step, bad))
+        part = stack[-1][3] if stack else -1
+        if says:
+            around.append(part)
+            part = len(parts)
+            parts.append(says)
+        step = "" if tag not in BLOCK and not bad and not says else tag + "".join("." + w for w in words[:2])
+        stack.append((tag, step, bad, part))
     flush()
-    return found
+    return found, parts, around
 
 
 def _ratio(chars: int, marks: int, linked: int, nodes: int) -> float:
@@ -149,23 +191,65 @@ def _ratio(chars: int, marks: int, linked: int, nodes: int) -> float:
     return math.log1p(chars / nodes) * (1 + math.log1p(marks / nodes)) * (1 - linked / max(chars, 1))
 
 
+def _add(row: list[int], text: str, linked: int) -> None:
+    for i, v in enumerate((len(text), sum(map(text.count, ".,;:!?")), linked, 1)):
+        row[i] += v
+
+
+def dropped(found: list, parts: list[str], around: list[int]) -> set[int]:
+    """The parts of a page that are not its article by their hints or those around them."""
+    sums = [[0, 0, 0, 0] for _ in parts]  # characters, marks, link characters, blocks
+    for _, _, text, linked, part in found:
+        if part >= 0:
+            _add(sums[part], text, linked)
+    for k in range(len(parts) - 1, -1, -1):
+        if around[k] >= 0:
+            sums[around[k]] = [x + y for x, y in zip(sums[around[k]], sums[k], strict=True)]
+    total = sum(len(b[2]) for b in found)
+    kept = {k for k, row in enumerate(sums) if 2 * row[0] > total}
+    for tag in ("article", "main"):
+        k = max((k for k, says in enumerate(parts) if says == tag), key=lambda k: sums[k][0], default=-1)
+        while k >= 0:
+            kept.add(k)
+            k = around[k]
+    out: set[int] = set()
+    unsure: set[int] = set()
+    for k, says in enumerate(parts):
+        if around[k] in out or (k not in kept and (
+                says == "hard" or (says == "links" and 2 * sums[k][2] > sums[k][0]))):
+            out.add(k)
+        elif around[k] in unsure or (says == "score" and k not in kept):
+            unsure.add(k)
+    if unsure:
+        paths: dict[tuple, list] = {}
+        for path, _, text, linked, part in found:
+            if part not in out and part not in unsure:
+                _add(paths.setdefault(path, [0, 0, 0, 0]), text, linked)
+        best = max((_ratio(*row) for row in paths.values()), default=0.0)
+        for k in sorted(unsure):
+            if around[k] in out or (parts[k] == "score" and sums[k][3] and _ratio(*sums[k]) < THRESHOLD * best):
+                out.add(k)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's text of one page."""
-    found = [b for b in blocks(page or "") if not b[1]]
+    found, parts, around = blocks(page or "")
+    found = [b for b in found if not b[1]]
+    if parts:
+        out = dropped(found, parts, around)
+        found = [b for b in found if b[4] not in out]
     marked = [b for b in found if not {"article", "main"}.isdisjoint(_names(b[0]))]
     if marked:
-        return "\n".join(text for _, _, text, _ in marked)
+        return "\n".join(b[2] for b in marked)
     totals: dict[tuple, list] = {}
-    for path, _, text, linked in found:
-        marks = sum(map(text.count, ".,;:!?"))
+    for path, _, text, linked, _ in found:
         for key in ((path, True), (path[:-1], False)):
-            row = totals.setdefault(key, [0, 0, 0, 0])
-            for i, v in enumerate((len(text), marks, linked, 1)):
-                row[i] += v
+            _add(totals.setdefault(key, [0, 0, 0, 0]), text, linked)
     score = {path: (1 - PARENT) * _ratio(*totals[path, True]) + PARENT * _ratio(*totals[path[:-1], False])
              for path, *_ in found}
     best = max(score.values(), default=0.0)
-    return "\n".join(text for path, _, text, _ in found if score[path] >= THRESHOLD * best)
+    return "\n".join(text for path, _, text, *_ in found if score[path] >= THRESHOLD * best)
 
 
 def _names(path: tuple[str, ...]) -> set[str]:

@@ -50,6 +50,28 @@ def test_short_blocks_beside_long_paragraphs():
         assert text.split("\n") == want
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div class='content has-sidebar'><article><p>Text.</p></article><div class=sidebar>side</div></div>", "Text."),
+    ("<div id='content-sidebar-wrap'><main><p>Text.</p></main></div>", "Text."),
+    ("<main><div id='content-sidebar-wrap'><article><p>T.</p></article></div><p>Other text, as long.</p></main>",
+     "T.\nOther text, as long."),
+    ("<div class='no-comments'><p>Text, no article marked.</p></div>", "Text, no article marked."),
+    ("<div class='sidebar-layout'><p>Most of the text, really.</p></div><div class=sidebar><p>side</p></div>",
+     "Most of the text, really."),
+    ("<article><p>Long text of a patient, with words.</p><h2 id='social-history'>Social history</h2><p>None.</p>"
+     "<section id='search-methods'><p>We searched.</p></section><h2 id='related-work'><a href=#r>Related work</a></h2>"
+     "<p class='notice-period'>A month.</p></article>",
+     "Long text of a patient, with words.\nSocial history\nNone.\nWe searched.\nRelated work\nA month."),
+    ("<article><p>The text, with some words; a few more.</p><section id=comments><p>me too</p></section>"
+     "<section class='related-posts'><a href=x>Other post</a></section><p class=ad>buy</p>"
+     "<div class='social-share'>share</div></article>", "The text, with some words; a few more."),
+    ("<article><p>The text, with some words.</p></article><div id=comments><article><p>me too</p></article></div>",
+     "The text, with some words."),
+    ("<main><p>The body.</p><span class=ad>buy</span></main>", "The body.")])
+def test_hints(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_long_and_odd_pages(spark):
     long = "<article>" + "".join(f"<p>paragraph {i}, with words.</p>" for i in range(20_000)) + "</article>"
     rows = [(1, "u", long), (1, "u", long), (None, None, None), (2, "u", "<" * 5000), (3, "u", "<a " + "x='" * 2000)]
