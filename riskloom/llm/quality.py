@@ -5,12 +5,15 @@ by counts over its bytes and words (letter case, punctuation, symbols, digits,
 repetition, line breaks, lengths), encoded by a learned layer, weighted by
 learned gated attention (tanh times sigmoid), and the weighted passage
 representation gives the score. Only document labels are used; the weights are
-fitted on a bounded sample (``MAX_DOCS`` documents in hash order, at most
-``MAX_PASSAGES`` passages), scoring covers all passages of all documents.
+fitted on a bounded sample (``MAX_DOCS`` documents in hash order, one row of each, at
+most ``MAX_PASSAGES`` passages), scoring covers all passages of all documents. If the
+documents of the sample have more passages, the longest give evenly spaced ones, as many
+each as fit; no document leaves the sample.
 
 Defined results: a null or empty text is one passage of zeros and gets that
 score; rows with a null doc_id are scored, but never held out; rows that repeat
-a labelled doc_id share its label (mean of its labels, 0.5 and above is 1); null
+a labelled doc_id share its label (mean of its labels, 0.5 and above is 1) and one
+of them, the first in hash order of its passages, is fitted on; null
 labels are ignored; without labels of both classes every score is the mean label
 (0.5 without labels); other columns are ignored (``keep_good`` carries them).
 """
@@ -21,10 +24,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, ship, slices, utf8, word_hashes
+from .common import NOT_SPACE, scratch, ship, slices, utf8, word_hashes
 
 PASSAGE, MAX_DOCS, MAX_PASSAGES = 64, 2500, 40_000
 HIDDEN, ATTENTION, STEPS, SEED = 16, 8, 200, 7
@@ -163,6 +166,21 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def per_bag(sizes: np.ndarray, total: int) -> int:
+    """The largest number of passages a bag may keep so that all bags keep at most
+    ``total`` (and one at least)."""
+    sizes = np.sort(sizes)
+    # bags before the i-th are kept whole, it and those after it keep as many each
+    room = (total - np.concatenate(([0], np.cumsum(sizes)))[:-1]) // np.arange(len(sizes), 0, -1)
+    short = np.flatnonzero(room < sizes)
+    return max(int(room[short[0]]), 1) if len(short) else total
+
+
+def spread(x: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` rows of x, evenly spaced."""
+    return x if len(x) <= most else x[np.arange(most) * len(x) // most]
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text") -> AttentionModel:
     """Fit on a bounded sample of the labelled documents that are not held out."""
@@ -179,17 +197,30 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             x, off = passage_features(part.column("text"))
-            rows = pa.array([x[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
+            rows = [spread(x[a:b], MAX_PASSAGES) for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("label_id"), part.column("label"), pa.array(np.diff(off)), rows],
-                ["label_id", "label", "n", "x"])
+                [part.column("label_id"), part.column("label"), pa.array([len(r) for r in rows], pa.int64()),
+                 pa.array([r.tobytes() for r in rows], pa.binary())], ["label_id", "label", "n", "x"])
 
     kind = src.schema["label_id"].dataType.simpleString()
-    bags = src.mapInArrow(run, f"label_id {kind}, label int, n long, x binary")
-    # a window over at most MAX_DOCS labelled ids bounds the passages that are gathered
-    seen = F.sum("n").over(Window.orderBy(order, "label_id", "n", "x"))
-    rows = bags.withColumn("seen", seen).filter(F.col("seen") <= MAX_PASSAGES).select(
-        "label_id", "label", "n", "x").toPandas()
+    fields = f"label_id {kind}, label int, n long, x binary"
+    # one row per id, reduced in every task before the exchange: at most MAX_DOCS rows
+    bags = (src.mapInArrow(run, fields).groupBy("label_id", "label")
+            .agg(F.min(F.struct(F.xxhash64("x").alias("h"), "n", "x")).alias("bag"))
+            .select("label_id", "label", "bag.n", "bag.x"))
+    bags = scratch(bags, "bags")
+    sizes = bags.select("n").toPandas()["n"].to_numpy(np.int64)
+    most = per_bag(sizes, MAX_PASSAGES)
+
+    def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = [spread(np.frombuffer(b, np.float32).reshape(-1, N_FEATURES), most)
+                    for b in part.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("label_id"), part.column("label"), pa.array([len(r) for r in rows], pa.int64()),
+                 pa.array([r.tobytes() for r in rows], pa.binary())], ["label_id", "label", "n", "x"])
+
+    rows = bags.mapInArrow(bounded, fields).toPandas()
     # a fixed order makes the fit independent of the partitioning
     rows = rows.sort_values(["label_id", "n", "x"])
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, N_FEATURES)

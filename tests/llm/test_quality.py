@@ -70,3 +70,24 @@ def test_odd_rows_and_tables(spark, model):
     assert {r.score for r in Q.scores(df, Q.train(df, none)).collect()} == {0.5}
     one = spark.createDataFrame([(2, 1, 0), (3, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert {r.score for r in Q.scores(df, Q.train(df, one)).collect()} <= {0.5, 1.0}
+
+
+def test_long_and_repeated_documents_leave_the_sample_whole(spark, monkeypatch):
+    monkeypatch.setattr(Q, "MAX_PASSAGES", 200)
+    seen = {}
+    fit = Q.AttentionModel.fit
+    monkeypatch.setattr(Q.AttentionModel, "fit", lambda x, off, y: seen.update(n=np.diff(off), y=y) or fit(x, off, y))
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"Some words of document {i}.") for i in ids]
+    rows += [(ids[0], "many words " * 40_000)] + [(ids[1], f"copy {j} " * 100) for j in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").filter("NOT (doc_id = 0 AND length(text) < 100)")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    model = Q.train(docs.repartition(3), labels)
+    assert len(seen["n"]) == len(ids) and seen["n"].sum() <= 200 and seen["n"].max() > 100
+    assert set(seen["y"]) == {0.0, 1.0} and model.w
+
+
+def test_bound_per_bag():
+    for sizes, total, most in (([1, 2, 3], 6, 6), ([1, 2, 3], 5, 2), ([9, 9, 9], 10, 3), ([1, 1, 50], 12, 10), ([5] * 9, 4, 1), ([], 5, 5)):
+        assert Q.per_bag(np.array(sizes, np.int64), total) == most
+    assert Q.spread(np.arange(10), 3).tolist() == [0, 3, 6] and Q.spread(np.arange(2), 3).tolist() == [0, 1]
