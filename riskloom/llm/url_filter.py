@@ -72,9 +72,10 @@ def features(df: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_LABELLED, slots: int = SLOTS):
-    """Logistic regression on at most ``max_rows`` rows (url, label 0/1; 1 = allow),
-    taken in hash order; None without labels of both classes."""
-    rows = (labelled.filter("url IS NOT NULL AND label IS NOT NULL")
+    """Logistic regression on at most ``max_rows`` distinct rows (url, label 0/1; 1 = allow),
+    taken in hash order, so a repeated url takes one place; without labels of both classes
+    the one label, None without any."""
+    rows = (labelled.select("url", "label").filter("url IS NOT NULL AND label IS NOT NULL").distinct()
             .orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
             .select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"),
                     F.col("label").cast("double").alias("label")))

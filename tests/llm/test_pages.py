@@ -130,6 +130,17 @@ def test_method_on_held_out_urls(spark):
     assert ((rest["verdict"] == "allow") == ~rest["path"].str.startswith("/de/")).mean() > 0.97
 
 
+def test_a_repeated_url_takes_one_place_of_the_sample(spark):
+    from pyspark.sql import functions as F
+    urls = [f"http://site{i % 7}.org/{'ok' if i % 2 else 'spam'}/{i}" for i in range(40)]
+    df = spark.createDataFrame([(u, i % 2) for i, u in enumerate(urls)], "url string, label int")
+    first = df.orderBy(F.xxhash64("url")).limit(1)
+    hot = first.crossJoin(spark.range(500)).select("url", "label").unionByName(df)
+    assert isinstance(url_filter.train(first.unionByName(first), 100), float)
+    model, plain = url_filter.train(hot, 100), url_filter.train(df, 100)
+    assert not isinstance(model, float) and abs(model.intercept - plain.intercept) < 1e-6
+
+
 def test_grams(spark):
     from pyspark.sql import functions as F
     row = spark.range(1).select(url_filter._grams(F.lit("abc"), "h").alias("g"), url_filter._grams(F.lit(""), "p").alias("e")).first()
