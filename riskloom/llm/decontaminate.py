@@ -19,7 +19,9 @@ of the larger counts) of at least the threshold.
 
 Defined results: null or empty texts hold nothing and items without words are
 never found; of repeated rows or items each pair of ids appears once; a null
-doc_id is left out; empty tables give no rows; other columns are ignored.
+doc_id is left out; an item with a null item_id is no row of ``matches``, but
+``drop_contaminated`` removes the documents that hold its text; empty tables give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -215,7 +217,7 @@ def matches(docs: DataFrame, bench: DataFrame, threshold: tuple[int, int] = THRE
             id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text_col: str = "text") -> DataFrame:
     """One row per (doc_id, item_id) held: start_word, n_words and similarity of the
-    best window (the first on ties)."""
+    best window (the first on ties). Rows with a null doc_id or item_id are left out."""
     spark = docs.sparkSession
     ship(spark)
     num, den = threshold
@@ -255,6 +257,8 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, threshold: tuple[int, i
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item (rows without doc_id stay)."""
     cols = docs.columns
-    bad = matches(docs, bench, threshold, id_col, text_col).select(F.col("doc_id").alias("bad_id")).distinct()
+    # any item counts here, also without an item_id: its text stands for it
+    items = bench.select(F.xxhash64("text").alias("item_id"), "text")
+    bad = matches(docs, items, threshold, id_col, text_col).select(F.col("doc_id").alias("bad_id")).distinct()
     src = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))
     return src.join(bad, F.col(f"c{cols.index(id_col)}") == F.col("bad_id"), "left_anti").toDF(*cols)

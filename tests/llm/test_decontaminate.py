@@ -95,3 +95,11 @@ def test_stage_and_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.matches(docs, none).count() == 0 and D.drop_contaminated(docs, none).count() == 6
     assert D.matches(docs.limit(0), bench).count() == 0
+
+
+def test_items_without_id_remove_their_documents(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "before " + item), (2, "nothing of it"), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, None), (7, "some other text")], "item_id long, text string")
+    assert D.matches(docs, bench).count() == 0
+    assert sorted(str(r.doc_id) for r in D.drop_contaminated(docs, bench).collect()) == ["2", "None"]
