@@ -1,14 +1,16 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash LSH trees of one depth.
 
 Shingles are five consecutive words (lower case, runs of letters and digits); a
 shorter text is one shingle. Documents with the same shingle set form a class;
 the rest of the work sees one representative (smallest doc_id) per class.
 
-1. Each representative has ``TREES`` labels of ``MAX_DEPTH`` min-hashes. Per tree
-   the labels are sorted, which lays them out as a prefix trie. The matched
-   prefix is shortened from MAX_DEPTH symbol by symbol until a pair at the
-   threshold is found with at least the target recall; neighbours that share
-   this prefix form a node, single labels go.
+1. Each representative has ``TREES`` labels of min-hashes. Their depth is fixed by
+   formula before any data is read: the longest prefix of at most ``MAX_DEPTH``
+   symbols at which a pair at the threshold is found with at least the target
+   recall (``prefix_length``; 4 at 0.8 and 0.999). Only these symbols are computed:
+   no node is matched deeper or shallower, which makes this banding of TREES bands.
+   Per tree the labels are sorted; neighbours of one label form a node, single
+   labels go.
 2. Nodes with the same members, or whose members all lie in one larger node, are
    dropped. Nodes of more than ``BLOCK`` members are split into blocks, and each
    pair of blocks is one bounded unit of work.
@@ -66,35 +68,37 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return sh[new], np.searchsorted(doc[new], np.arange(len(soff)))
 
 
-def _min_hashes(values: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
-    """count min-hashes (uint32) of each set; empty sets have the largest value."""
-    out = np.full((len(off) - 1, count), 0xFFFFFFFF, np.uint32)
+def _min_hashes(values: np.ndarray, off: np.ndarray, count: int, used: list[int]) -> np.ndarray:
+    """The used ones of count min-hashes (uint32) of each set; empty sets have the largest value."""
+    out = np.full((len(off) - 1, len(used)), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(off[1:] > off[:-1])
     if not len(full):
         return out
     x = mix(values)
     low, high = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
     odd = mix(np.arange(1, count + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-    for i in range(count):
+    for j, i in enumerate(used):
         h = low * odd[i]
         h ^= h >> np.uint32(15)
         h += high * odd[-1 - i]
         h ^= h >> np.uint32(13)
         h *= np.uint32(0x9E3779B1)
-        out[full, i] = np.minimum.reduceat(h, off[full])
+        out[full, j] = np.minimum.reduceat(h, off[full])
     return out
 
 
-def _signatures(src: DataFrame, kind: str, k: int) -> DataFrame:
+def _signatures(src: DataFrame, kind: str, k: int, depth: int) -> DataFrame:
+    used = [t * MAX_DEPTH + i for t in range(TREES) for i in range(depth)]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             values, off = shingle_sets(part.column("text"), k)
-            sig = _min_hashes(values, off, TREES * MAX_DEPTH)
+            sig = _min_hashes(values, off, TREES * MAX_DEPTH, used)
             total, total2 = running(mix(values)), running(mix(values ^ np.uint64(0x5851F42D4C957F2D)))
             fp = [pa.array((t[off[1:]] - t[off[:-1]]).view(np.int64)) for t in (total, total2)]
             # big-endian, so that labels sort by symbol
             raw = sig.astype(">u4").tobytes()
-            width = TREES * MAX_DEPTH * 4
+            width = TREES * depth * 4
             labels = pa.array([raw[i * width:(i + 1) * width] for i in range(part.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), *fp, pa.array(np.diff(off).astype(np.int32)), labels],
@@ -211,11 +215,11 @@ def links(docs: DataFrame, threshold: tuple[int, int] = (4, 5), k: int = SHINGLE
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(
         "id IS NOT NULL")
     kind = src.schema["id"].dataType.simpleString()
-    sigs = scratch(_signatures(src, kind, k), "signatures")
+    sigs = scratch(_signatures(src, kind, k, depth), "signatures")
     classes = scratch(sigs.groupBy("fp1", "fp2").agg(
         F.min("id").alias("rep"), F.count_distinct("id").alias("weight"), F.min("sig").alias("sig"),
         F.min("n").alias("n")), "classes")
-    prefix = F.substring("sig", F.col("tree") * MAX_DEPTH * 4 + 1, F.lit(4 * depth))
+    prefix = F.substring("sig", F.col("tree") * depth * 4 + 1, F.lit(4 * depth))
     # a document of several versions may represent several classes: classes are told apart by fp1
     forest = (classes.filter("n > 0").select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"),
                                              "sig", F.col("fp1").alias("id"))

@@ -100,3 +100,9 @@ def test_prefix_is_shortened_until_the_recall():
     assert J.prefix_length(0.8, 16, 8, 0.999) == 4
     assert J.prefix_length(0.8, 16, 8, 0.99) == 6
     assert J.prefix_length(0.99, 16, 8, 0.999) == 8
+
+
+def test_only_the_symbols_of_the_depth_are_computed(spark):
+    df = spark.createDataFrame([(1, "some words of a text")], "id long, text string")
+    for depth in (4, 6):
+        assert len(J._signatures(df, "long", 5, depth).first().sig) == J.TREES * depth * 4
