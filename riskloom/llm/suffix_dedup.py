@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array over content-selected positions.
+"""Repeated passages by sorted suffix fingerprints at content-selected positions.
 
 Words are maximal runs of non-space bytes, compared exactly. In every window of
 ``WINDOW`` consecutive word triples the smallest hash (the leftmost on ties)
@@ -6,10 +6,11 @@ selects a position; the suffixes at these positions are all that is kept, about
 2 in 33. A passage of at least ``min_words`` words holds a selected position
 whose next min_words - WINDOW + 1 words lie inside the passage, in every copy.
 
-1. Suffix keys (fingerprint of those words) of all documents are sorted (range
-   partitions with the document as tie-break, so a hot key spans partitions)
+1. Suffix keys (a 64-bit fingerprint of those words stands for the suffix, so the
+   order is no suffix order and tells no common prefix) of all documents are sorted
+   (range partitions with the document as tie-break, so a hot key spans partitions)
    and neighbours are compared; a suffix without an equal neighbour goes.
-2. Matches are extended left and right: for every remaining suffix all windows
+2. Matches are found by grouping: for every remaining suffix all windows
    of exactly ``min_words`` words around it are fingerprinted, 96 bits each;
    windows of several documents are repeated passages, and their union per
    document gives the maximal passages.
