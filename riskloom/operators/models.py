@@ -127,7 +127,7 @@ def prepare(tx: DataFrame, cfg: TrainConfig) -> tuple[Prep, DataFrame]:
     weights = TR.class_weights(folded.where(~F.col("is_test")))
     frame = TR.with_weights(folded, weights)
     if cfg.max_rows:  # a bounded sample needs few tasks per fit; the fits run side by side
-        frame = frame.coalesce(-(-cfg.max_rows // ROWS_PER_TASK))
+        frame = frame.repartition(-(-cfg.max_rows // ROWS_PER_TASK))
     return prep, reliable_checkpoint(frame).persist()
 
 
@@ -252,7 +252,7 @@ def explained_forest(tx: DataFrame, cfg: TrainConfig):
     prep, frame = prepare(tx, dataclasses.replace(cfg, max_rows=None))
     train = frame.where(~F.col("is_test"))
     if cfg.max_rows:
-        fitted = TR.cap_rows(train, cfg.max_rows, seed=cfg.seed).coalesce(-(-cfg.max_rows // ROWS_PER_TASK))
+        fitted = TR.cap_rows(train, cfg.max_rows, seed=cfg.seed).repartition(-(-cfg.max_rows // ROWS_PER_TASK))
         train = TR.with_weights(fitted, TR.class_weights(fitted)).persist()
     if cfg.calibration_folds and cfg.calibration_folds > 1:
         train = TR.stratified_folds(train.drop("fold"), cfg.calibration_folds,

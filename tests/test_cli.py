@@ -10,7 +10,7 @@ from riskloom.session import shared_path
 from riskloom.sources.artifacts import load_artifacts
 from riskloom.sources.transactions import fixture_transactions
 
-from conftest import SF_MID
+from sf_paths import SF_MID
 
 
 def test_train_then_score(spark):

@@ -5,7 +5,7 @@ from riskloom.operators import evaluate as EV
 from riskloom.operators import profile as A
 from riskloom.sources.transactions import fixture_transactions, surrogate_predictions
 
-from conftest import SF_MID
+from sf_paths import SF_MID
 
 
 def test_fixture_and_surrogate_goldens(spark):

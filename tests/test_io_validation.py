@@ -15,7 +15,7 @@ from riskloom.schema import REQUEST_SCHEMA
 from riskloom.sources import artifacts as ART
 from riskloom.sources.transactions import fixture_transactions, read_transactions
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_csv_source_round_trip(spark):

@@ -9,7 +9,7 @@ from riskloom.session import shared_path
 from riskloom.sources import artifacts as ART
 from riskloom.sources.transactions import fixture_transactions
 
-from conftest import SF_MID
+from sf_paths import SF_MID
 
 SMALL = M.TrainConfig(rf_trees=10, rf_depth=5, calibration_folds=2, gbt_iter=5, gbt_depth=3,
                       cv_folds=2, lr_max_iter=50)

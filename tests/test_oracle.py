@@ -5,7 +5,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from riskloom.plans import registry
+from sf_paths import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "orders"]
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
@@ -32,7 +33,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     srows = [r.asDict() for r in sdf.collect()]
@@ -55,8 +56,9 @@ def _check_plan(sdf):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only <= {"train_compare", "forest_importance", "tree_attribution", "stream_score"}
+    rows_only = set(registry.QUERIES) - set(registry.ORACLES)
+    assert rows_only <= {"train_compare", "forest_importance", "tree_attribution"}
+    assert set(registry.QUERIES) <= set(E.queries()) and set(registry.ORACLES) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -8,7 +8,7 @@ from riskloom.sources.requests import requests_from_transactions
 from riskloom.sources.transactions import fixture_cities, surrogate_predictions, surrogate_score
 from riskloom.streaming.scoring import history
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_batch_equals_stream(spark):
