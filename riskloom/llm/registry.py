@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.session import shared_path
 
 from . import (chunk_bpe, decontaminate, html_text, jaccard_join, neighbours, quality, suffix_dedup, token_counts,
-               token_files, url_filter)
+               token_files, url_filter, whitening)
 from .common import table
 
 
@@ -83,9 +83,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      vocabulary("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 8 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_decontaminate, op6_chunk_bpe,
-        op7_neighbours, op8_quality, op9_jaccard_join, op10_token_counts)}
-#: None of the ten can be written as SQL; each is tested against a brute-force version.
+        op7_neighbours, op8_quality, op9_jaccard_join, op10_token_counts, op11_whitening)}
+#: None of these can be written as SQL; each is tested against a brute-force version.
 ORACLES: dict[str, str] = {}
