@@ -191,3 +191,25 @@ def doc_shingles(hashes: np.ndarray, words: np.ndarray, k: int):
 def lower_text(df: DataFrame, column: str = "text") -> DataFrame:
     """The column in lower case, nulls as empty text."""
     return df.withColumn(column, F.lower(F.coalesce(F.col(column), F.lit(""))))
+
+
+#: First-step groups of ``sum_arrays``; each takes an equal share of the tasks' rows.
+GROUPS = 64
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    """Sum of the arrays of one group, in the order of their tasks."""
+    total = None
+    for k in np.argsort(np.asarray(rows["task"]), kind="stable").tolist():
+        row = np.asarray(rows["g"][k].values)
+        total = row.copy() if total is None else total + row
+    return pa.table({"i": rows["i"][:1], "task": rows["task"][:1], "g": pa.array([total], pa.list_(pa.float64()))})
+
+
+def sum_arrays(parts: DataFrame) -> DataFrame:
+    """Sum of the arrays g per i of (i, task, g): every task's row meets 1/64 of the
+    others first, so no group grows with all tasks at once."""
+    fields = "i int, task int, g array<double>"
+    part = (F.col("task") % GROUPS).alias("part")
+    return (parts.groupBy("i", part).applyInArrow(_add, fields)
+            .withColumn("task", F.col("task") % GROUPS).groupBy("i").applyInArrow(_add, fields))

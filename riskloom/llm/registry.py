@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_path
 
-from . import (chunk_bpe, decontaminate, html_text, jaccard_join, neighbours, quality, suffix_dedup, token_counts,
-               token_files, url_filter, whitening)
+from . import (chunk_bpe, decontaminate, html_text, jaccard_join, language_id, neighbours, quality, suffix_dedup,
+               token_counts, token_files, url_filter, whitening)
 from .common import table
 
 
@@ -88,9 +88,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=8)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_decontaminate, op6_chunk_bpe,
-        op7_neighbours, op8_quality, op9_jaccard_join, op10_token_counts, op11_whitening)}
+        op7_neighbours, op8_quality, op9_jaccard_join, op10_token_counts, op11_whitening,
+        op12_language_id)}
 #: None of these can be written as SQL; each is tested against a brute-force version.
 ORACLES: dict[str, str] = {}

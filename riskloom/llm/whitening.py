@@ -34,13 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship
+from .common import scratch, ship, sum_arrays
 
 SCALE, SHIFT = 1024.0, 100_000
 #: Entries beyond this do not fit a long after scaling.
 LARGEST = 2.0 ** 62
-#: First-step groups per matrix row; each takes an equal share of the tasks' matrices.
-GROUPS = 64
 HIGH = np.longdouble
 
 
@@ -103,20 +101,6 @@ def vector_sums(vectors: DataFrame) -> tuple[int, int, list[int]]:
     return first["dim"], first["n"], [int(r["s"]) for r in rows]
 
 
-def _add(keys: str):
-    """Sum of the arrays of a group, in the order of their tasks."""
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table["task"]), kind="stable")
-        total = np.zeros(0)
-        rows = table["g"]
-        for k in order.tolist():
-            row = np.asarray(rows[k].values)
-            total = row.copy() if not len(total) else total + row
-        return pa.table({keys: table[keys][:1], "task": table["part"][:1] if "part" in table.column_names
-                         else table["task"][:1], "g": pa.array([total], pa.list_(pa.float64()))})
-    return run
-
-
 def products(vectors: DataFrame, dim: int, size: int, centred) -> np.ndarray:
     """Sum over all vectors of y y', where y = ``centred``(integer matrix) has ``size`` columns."""
 
@@ -127,15 +111,12 @@ def products(vectors: DataFrame, dim: int, size: int, centred) -> np.ndarray:
             total += y.T @ y
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, task % GROUPS, np.int32)),
-             pa.array(np.full(size, task, np.int32)),
+            [pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, task, np.int32)),
              pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * size), pa.array(total.ravel()))],
-            ["i", "part", "task", "g"])
+            ["i", "task", "g"])
 
-    parts = vectors.mapInArrow(run, "i int, part int, task int, g array<double>")
-    fields = "i int, task int, g array<double>"
-    some = parts.groupBy("i", "part").applyInArrow(_add("i"), fields)
-    rows = some.groupBy("i").applyInArrow(_add("i"), fields).orderBy("i").collect()     # size x size numbers
+    parts = vectors.mapInArrow(run, "i int, task int, g array<double>")
+    rows = sum_arrays(parts).orderBy("i").collect()     # size x size numbers
     return np.array([r["g"] for r in rows]) if rows else np.zeros((size, size))
 
 
