@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import shared_path
 
-from . import (chunk_bpe, decontaminate, html_text, jaccard_join, language_id, neighbours, quality, suffix_dedup,
-               token_counts, token_files, url_filter, whitening)
+from . import (chunk_bpe, decontaminate, html_text, jaccard_join, language_id, neighbours, quality, resampling,
+               suffix_dedup, token_counts, token_files, url_filter, whitening)
 from .common import table
 
 
@@ -94,10 +94,16 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the n-grams of the benchmark texts."""
+    return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "benchmark", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_decontaminate, op6_chunk_bpe,
         op7_neighbours, op8_quality, op9_jaccard_join, op10_token_counts, op11_whitening,
-        op12_language_id)}
+        op12_language_id, op13_resampling)}
 #: None of these can be written as SQL; each is tested against a brute-force version.
 ORACLES: dict[str, str] = {}
