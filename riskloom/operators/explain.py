@@ -42,10 +42,8 @@ def contributions(features: Column, names: list[str], coef: list[float],
 
 def explainer(model, names: list[str]):
     """Function that adds ``contrib`` (array<struct<idx, feature, value>>) to a frame with
-    ``features``: log-odds terms of the logistic candidate, Shapley values of the first
-    calibration fold's forest. None for boosted trees, which have no additive terms here."""
-    from pyspark.ml.classification import RandomForestClassificationModel
-
+    ``features``: log-odds terms of the logistic candidate, Shapley values of the boosted
+    trees (in log-odds) or of the first calibration fold's forest (in probability)."""
     from riskloom.operators import treeshap as TS
     from riskloom.operators.models import CalibratedForest
     if isinstance(model, PipelineModel):
@@ -54,10 +52,8 @@ def explainer(model, names: list[str]):
         coef = [c / s if s else 0.0 for c, s in zip(lr.coefficients.toArray().tolist(), std)]
         center = scaler.mean.toArray().tolist()      # the training rows are the background
         return lambda df: df.withColumn("contrib", contributions(F.col("features"), names, coef, center))
-    forest = model.forests[0] if isinstance(model, CalibratedForest) else model
-    if isinstance(forest, RandomForestClassificationModel):
-        return lambda df: TS.with_contributions(df, forest, names)
-    return None
+    trees = model.forests[0] if isinstance(model, CalibratedForest) else model
+    return lambda df: TS.with_contributions(df, trees, names)
 
 
 def explode_contributions(df: DataFrame, contrib: Column, key: str = "Transaction_ID") -> DataFrame:

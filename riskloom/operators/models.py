@@ -1,14 +1,16 @@
-"""Model fitting, selection and scoring (T4-T10, R1, X1) on MLlib.
+"""Model fitting, selection and scoring.
 
 Flow: features -> fitted category codes and exact training medians ->
-imputed, assembled ``features`` vector -> hash-stratified train/test split and
-CV folds -> class weights -> candidate estimators fitted with ``weightCol`` ->
-predictions table (model, Transaction_ID, label, p) -> metrics -> best model by
-(CV average precision, test average precision).
-
-The prepared training frame is written as a reliable checkpoint once and
-reused by every fit; fitting is distributed by MLlib (tree statistics are
-aggregated per level, logistic regression gradients per iteration).
+imputed, assembled ``features`` vector -> stratified train/test split and
+CV folds with exact quotas -> class weights -> candidates -> predictions table
+(model, Transaction_ID, label, p) -> metrics -> best model by (CV average precision,
+test average precision).
+
+The prepared frame is written once as Parquet and read by every fit. The forests and
+boosting chains of all folds grow in one job over one binned sample (``growth``), their
+isotonic calibrators are fitted in one set of jobs (``functions.isotonic``); the logistic
+fits run beside them on MLlib. Fitted trees are stored as Spark's own models and loaded
+when they are used.
 """
 
 from __future__ import annotations
@@ -17,35 +19,33 @@ import dataclasses
 import functools
 import json
 import math
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegression, RandomForestClassificationModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.isotonic import isotonic_apply, isotonic_curves, isotonic_fit
 from riskloom.operators import encode as EN
 from riskloom.operators import evaluate as EV
 from riskloom.operators import features as FT
+from riskloom.operators import growth as G
 from riskloom.operators import train as TR
 from riskloom.schema import CATEGORICAL_FEATURES, MODEL_INPUTS, NUMERIC_FEATURES
-from riskloom.session import reliable_checkpoint
+from riskloom.session import reliable_checkpoint, shared_path
 
 RF, GBT, LR = "Random Forest", "Gradient Boosting", "Logistic Regression"
 
 
-#: Rows of a bounded training sample that one task takes.
-ROWS_PER_TASK = 50_000
-
-
 @dataclasses.dataclass
 class TrainConfig:
-    """Defaults are the published settings; tests pass smaller ones, the registry bounds
-    ``max_rows``."""
+    """Defaults are the published settings, the bound on the rows of a fit included (T1); tests
+    pass smaller ones. ``max_rows`` also bounds what a task holds of the sample."""
     rf_trees: int = 300
     rf_depth: int = 12
     rf_min_leaf: int = 4
@@ -58,7 +58,7 @@ class TrainConfig:
     cv_folds: int = 5
     test_fraction: float = 0.2
     seed: int = 42
-    max_rows: int | None = None
+    max_rows: int = 200_000
     models: tuple[str, ...] = (RF, GBT, LR)
     parallelism: int = 8                 # concurrent fits (full fits and CV folds), as CrossValidator
 
@@ -114,38 +114,23 @@ def fit_prep(tx: DataFrame) -> Prep:
     return Prep(codes, medians, list(MODEL_INPUTS))
 
 
-def prepare(tx: DataFrame, cfg: TrainConfig) -> tuple[Prep, DataFrame]:
-    """(prep, frame) with Transaction_ID, label, features, is_test, fold, weight.
+def prepare(tx: DataFrame, cfg: TrainConfig, capped: bool = True) -> tuple[Prep, DataFrame]:
+    """(prep, frame) with Transaction_ID, label, features, is_test, fold, cal_fold, weight.
 
-    The frame is checkpointed (reliable) because every candidate and fold reads it.
+    The frame lies in Parquet files, which every candidate and fold reads. Without
+    ``capped`` it holds the whole table.
     """
     prep = fit_prep(tx)
-    base = TR.cap_rows(tx.select("*", EN.label().alias("label")), cfg.max_rows, seed=cfg.seed)
+    base = tx.select("*", EN.label().alias("label"))
+    if capped:
+        base = TR.cap_rows(base, cfg.max_rows, seed=cfg.seed)
     vec = prep.transform(base, keep=("Transaction_ID", "label"))
-    split = TR.stratified_split(vec, "label", cfg.test_fraction, seed=cfg.seed)
-    folded = TR.stratified_folds(split, cfg.cv_folds, seed=cfg.seed)
-    weights = TR.class_weights(folded.where(~F.col("is_test")))
-    frame = TR.with_weights(folded, weights)
-    if cfg.max_rows:  # a bounded sample needs few tasks per fit; the fits run side by side
-        frame = frame.repartition(-(-cfg.max_rows // ROWS_PER_TASK))
-    return prep, reliable_checkpoint(frame).persist()
+    frame = TR.split_and_folds(vec, "label", cfg.test_fraction, cfg.cv_folds, cfg.calibration_folds, seed=cfg.seed)
+    return prep, TR.with_weights(frame, TR.class_weights(frame.where(~F.col("is_test"))))
 
 
 # ── candidates ───────────────────────────────────────────────────────────────
 
-def _forest(cfg: TrainConfig, seed: int) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight",
-        numTrees=cfg.rf_trees, maxDepth=cfg.rf_depth, minInstancesPerNode=cfg.rf_min_leaf,
-        featureSubsetStrategy="sqrt", seed=seed)
-
-
-def _gbt(cfg: TrainConfig) -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                         maxIter=cfg.gbt_iter, stepSize=cfg.gbt_step, maxDepth=cfg.gbt_depth,
-                         seed=cfg.seed)
-
-
 def _logistic(cfg: TrainConfig, weight_sum: float) -> Pipeline:
     # C scales the summed loss in the published model; Spark averages it: regParam = 1 / (C * sum(w)).
     reg = 1.0 / (cfg.lr_c * max(weight_sum, 1.0))
@@ -177,22 +162,19 @@ def model_probability(prep: "Prep", model, explain=None):
 
 class CalibratedForest:
     """T5: k forests, each calibrated by isotonic regression on its held-out fold;
-    the probability is the mean of the k calibrated probabilities."""
+    the probability is the mean of the k calibrated probabilities. The parts lie in
+    ``path`` and are loaded when they are used."""
 
-    def __init__(self, forests, calibrators):
-        self.forests = forests
-        self.calibrators = calibrators
+    def __init__(self, path: str, folds: int):
+        self.path, self.folds = path, folds
 
-    @staticmethod
-    def fit_fold(train: DataFrame, cfg: TrainConfig, i: int):
-        """(forest, calibrator) of fold ``i``; the folds are independent of each other."""
-        folds = TR.stratified_folds(train.drop("fold"), cfg.calibration_folds, seed=cfg.seed + 1)
-        rf = _forest(cfg, cfg.seed + i).fit(folds.where(F.col("fold") != i))
-        held = probability(rf, folds.where(F.col("fold") == i), "raw_p")
-        iso = IsotonicRegression(featuresCol="raw_p", labelCol="label", isotonic=True, predictionCol="cal_p")
-        # equal scores meet before the fit (weighted by their rows), which is exact
-        steps = held.groupBy("raw_p").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-        return rf, iso.setWeightCol("w").fit(steps)
+    @functools.cached_property
+    def forests(self) -> list[RandomForestClassificationModel]:
+        return [RandomForestClassificationModel.load(f"{self.path}/forest_{i}") for i in range(self.folds)]
+
+    @functools.cached_property
+    def calibrators(self) -> list[IsotonicRegressionModel]:
+        return [IsotonicRegressionModel.load(f"{self.path}/isotonic_{i}") for i in range(self.folds)]
 
     def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
         cur = df
@@ -217,47 +199,105 @@ class CalibratedForest:
 
     @staticmethod
     def load(path: str, k: int) -> "CalibratedForest":
-        from pyspark.ml.classification import RandomForestClassificationModel
-        return CalibratedForest(
-            [RandomForestClassificationModel.load(f"{path}/forest_{i}") for i in range(k)],
-            [IsotonicRegressionModel.load(f"{path}/isotonic_{i}") for i in range(k)])
-
-
-def start_candidate(name: str, train: DataFrame, cfg: TrainConfig, pool: ThreadPoolExecutor):
-    """Submit the independent fits of a candidate; returns a function that waits for the model."""
-    if name == RF and cfg.calibration_folds and cfg.calibration_folds > 1:
-        fits = [pool.submit(CalibratedForest.fit_fold, train, cfg, i) for i in range(cfg.calibration_folds)]
-        return lambda: CalibratedForest(*zip(*(f.result() for f in fits)))
-    return pool.submit(_fit_single, name, train, cfg).result
-
-
-def _fit_single(name: str, train: DataFrame, cfg: TrainConfig):
-    if name == RF:
-        return _forest(cfg, cfg.seed).fit(train)
-    if name == GBT:
-        return _gbt(cfg).fit(train)
-    if name == LR:
-        wsum = train.agg(F.sum("weight")).first()[0] or 1.0
-        return _logistic(cfg, wsum).fit(train)
-    raise ValueError(f"unknown candidate {name}")
-
-
-def explained_forest(tx: DataFrame, cfg: TrainConfig):
-    """(prep, frame, forest): the forest that explains the calibrated candidate (its first
-    fold's), fitted alone.
-
-    The frame holds the whole table, split before the bound: ``max_rows`` bounds the
-    training rows of the fit only, every test row stays.
+        return CalibratedForest(path, k)
+
+
+class StoredModels(Mapping):
+    """Fitted models by candidate, loaded at their first use."""
+
+    def __init__(self, loaders: dict[str, Callable]):
+        self._loaders, self._loaded = loaders, {}
+
+    def __getitem__(self, name: str):
+        if name not in self._loaded:
+            self._loaded[name] = self._loaders[name]()
+        return self._loaded[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._loaders)
+
+    def __len__(self) -> int:
+        return len(self._loaders)
+
+
+def _fit_logistic(train: DataFrame, cfg: TrainConfig) -> PipelineModel:
+    wsum = train.agg(F.sum("weight")).first()[0] or 1.0
+    return _logistic(cfg, wsum).fit(train)
+
+
+def sample_of(frame: DataFrame, inputs: int) -> G.Sample:
+    """The binned sample of a prepared frame of bounded size."""
+    w = {int(r["label"]): float(r["weight"]) for r in TR.class_weights(frame.where(~F.col("is_test"))).collect()}
+    return G.binned_sample(frame, (w.get(0, 1.0), w.get(1, 1.0)), inputs)
+
+
+def grow_ensembles(frame: DataFrame, cfg: TrainConfig, inputs: int) -> DataFrame:
+    """Forests and chains of the training part and of all CV folds, in one job."""
+    folds = [G.FULL, *range(cfg.cv_folds if cfg.cv_folds > 1 else 0)]
+    units = [G.Unit(k, G.CHAIN, 0, cfg.gbt_iter) for k in folds] if GBT in cfg.models else []
+    if RF in cfg.models:
+        units += G.forest_units(folds, cfg.calibration_folds, cfg.rf_trees)
+    return G.grow(frame.sparkSession, sample_of(frame, inputs), units, cfg)
+
+
+def ensemble_predictions(grown: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, dict]:
+    """(model, k, Transaction_ID, label, p) of the rows that each fold holds back, and the
+    calibration curves per (k, cal)."""
+    scores = reliable_checkpoint(G.unseen_scores(grown))
+    chain = scores.where(F.col("cal") == G.CHAIN).select(
+        F.lit(GBT).alias("model"), "k", "id", "label", (1 / (1 + F.exp(-F.col("p")))).alias("p"))
+    forest = scores.where(F.col("cal") != G.CHAIN).withColumn("p", F.col("p") / F.lit(float(cfg.rf_trees)))
+    keys = ["k", "cal"]
+    curves = isotonic_curves(isotonic_fit(forest.where("calibrates"), keys), keys)
+    held = isotonic_apply(forest.where("NOT calibrates"), keys, curves)
+    forest = (held.groupBy("k", "id", "label").agg(F.avg(F.coalesce("cal_p", "p")).alias("p"))
+              .select(F.lit(RF).alias("model"), "k", "id", "label", "p"))
+    return chain.unionByName(forest).withColumnRenamed("id", "Transaction_ID"), curves
+
+
+def store_ensembles(grown: DataFrame, curves: dict, cfg: TrainConfig, inputs: int) -> dict[str, Callable]:
+    """Write the final models in Spark's layout; returns a loader per candidate."""
+    spark = grown.sparkSession
+    path = shared_path(spark, "models")
+    loaders: dict[str, Callable] = {}
+    if GBT in cfg.models:
+        G.write_boosted(grown, G.FULL, cfg.gbt_iter, cfg.gbt_step, inputs, f"{path}/boosted")
+        loaders[GBT] = lambda: GBTClassificationModel.load(f"{path}/boosted")
+    if RF in cfg.models and cfg.calibration_folds > 1:
+        for i in range(cfg.calibration_folds):
+            G.write_forest(grown, G.FULL, i, cfg.rf_trees, inputs, f"{path}/forest_{i}")
+            G.write_isotonic(spark, curves.get((G.FULL, i)), f"{path}/isotonic_{i}")
+        loaders[RF] = lambda: CalibratedForest(path, cfg.calibration_folds)
+    elif RF in cfg.models:
+        G.write_forest(grown, G.FULL, -1, cfg.rf_trees, inputs, f"{path}/forest")
+        loaders[RF] = lambda: RandomForestClassificationModel.load(f"{path}/forest")
+    return loaders
+
+
+def explained_models(tx: DataFrame, cfg: TrainConfig, names: tuple[str, ...] = (RF,), all_rows: bool = True):
+    """(prep, frame, {name: model}): the tree models that explain the candidates, fitted alone:
+    the calibrated candidate's first forest, and the boosted trees.
+
+    With ``all_rows`` the frame holds the whole table, split before the bound, so that
+    every test row stays; ``max_rows`` bounds the training rows of the fit in either case.
     """
-    prep, frame = prepare(tx, dataclasses.replace(cfg, max_rows=None))
+    spark = tx.sparkSession
+    prep, frame = prepare(tx, cfg, capped=not all_rows)
     train = frame.where(~F.col("is_test"))
-    if cfg.max_rows:
-        fitted = TR.cap_rows(train, cfg.max_rows, seed=cfg.seed).repartition(-(-cfg.max_rows // ROWS_PER_TASK))
-        train = TR.with_weights(fitted, TR.class_weights(fitted)).persist()
-    if cfg.calibration_folds and cfg.calibration_folds > 1:
-        train = TR.stratified_folds(train.drop("fold"), cfg.calibration_folds,
-                                    seed=cfg.seed + 1).where(F.col("fold") != 0)
-    return prep, frame, _forest(cfg, cfg.seed).fit(train)
+    if all_rows:
+        train = TR.cap_rows(train, cfg.max_rows, seed=cfg.seed)
+    inputs = len(prep.inputs)
+    units = [G.Unit(G.FULL, G.CHAIN, 0, cfg.gbt_iter)] if GBT in names else []
+    forests = [u for u in G.forest_units([G.FULL], cfg.calibration_folds, cfg.rf_trees) if u.cal <= 0]
+    grown = G.grow(spark, sample_of(train, inputs), units + (forests if RF in names else []), cfg)
+    models, path = {}, shared_path(spark, "explained")
+    if RF in names:
+        G.write_forest(grown, G.FULL, forests[0].cal, cfg.rf_trees, inputs, f"{path}/forest")
+        models[RF] = RandomForestClassificationModel.load(f"{path}/forest")
+    if GBT in names:
+        G.write_boosted(grown, G.FULL, cfg.gbt_iter, cfg.gbt_step, inputs, f"{path}/boosted")
+        models[GBT] = GBTClassificationModel.load(f"{path}/boosted")
+    return prep, frame, models
 
 
 # ── T8-T10 ───────────────────────────────────────────────────────────────────
@@ -265,7 +305,7 @@ def explained_forest(tx: DataFrame, cfg: TrainConfig):
 @dataclasses.dataclass
 class TrainResult:
     prep: Prep
-    models: dict
+    models: Mapping
     predictions: DataFrame       # model, Transaction_ID, label, p (test part)
     metrics: DataFrame           # one row per model
     best_name: str
@@ -286,47 +326,51 @@ def _mean_std(scores: list[float]) -> tuple[float, float]:
     return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
 
 
-def fold_scores(fold_models: dict, train: DataFrame) -> dict[str, tuple[float, float]]:
+def fold_scores(preds: DataFrame, names, folds: int) -> dict[str, tuple[float, float]]:
     """Mean and population std of average precision over the CV folds, per candidate.
 
-    ``fold_models`` maps (candidate, fold) to the model fitted without that fold; all
-    folds are ranked in one pass.
+    ``preds`` has (model, k, label, p) of the rows of fold k, scored without it; all folds
+    are ranked in one pass.
     """
-    preds = _union([_predict(f"{n}/{k}", m, train.where(F.col("fold") == k))
-                    for (n, k), m in fold_models.items()])
-    found = {r["model"]: r["average_precision"]
-             for r in EV.rank_metrics(EV.score_steps(reliable_checkpoint(preds))).collect()}
-    scores: dict[str, list[float]] = {}
-    for n, k in fold_models:
-        scores.setdefault(n, []).append(float(found.get(f"{n}/{k}") or 0.0))
-    return {n: _mean_std(s) for n, s in scores.items()}
+    if folds < 2:
+        return {n: (0.0, 0.0) for n in names}
+    one = preds.withColumn("model", F.concat_ws("/", "model", F.col("k").cast("string")))
+    found = {r["model"]: r["average_precision"] for r in EV.rank_metrics(EV.score_steps(one)).collect()}
+    return {n: _mean_std([float(found.get(f"{n}/{k}") or 0.0) for k in range(folds)]) for n in names}
 
 
 def train_all(tx: DataFrame, cfg: TrainConfig = TrainConfig()) -> TrainResult:
-    """Fit every candidate on the training part and run its CV folds.
+    """Fit every candidate on the training part and on its CV folds; score the test part.
 
-    Fits, folds and calibration folds are independent Spark jobs submitted from one
-    thread pool (``cfg.parallelism``), like ``CrossValidator(parallelism=...)``; the
-    boosted models start first, as each is one long chain of jobs.
+    One job grows all trees; the logistic fits are submitted beside it from a pool
+    (``cfg.parallelism``), like ``CrossValidator(parallelism=...)``.
     """
     prep, frame = prepare(tx, cfg)
-    train = frame.where(~F.col("is_test"))
-    test = frame.where(F.col("is_test"))
-    cv = range(cfg.cv_folds if cfg.cv_folds > 1 else 0)
+    inputs = len(prep.inputs)
+    train, test = frame.where(~F.col("is_test")), frame.where(F.col("is_test"))
+    cv = cfg.cv_folds if cfg.cv_folds > 1 else 0
+    trees = any(n in (RF, GBT) for n in cfg.models)
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
-        started = {}
-        for n in sorted(cfg.models, key=lambda n: n != GBT):
-            started[(n, None)] = start_candidate(n, train, cfg, pool)
-            for k in cv:
-                started[(n, k)] = start_candidate(n, train.where(F.col("fold") != k), cfg, pool)
-        fitted = {key: wait() for key, wait in started.items()}
-    models = {n: fitted[(n, None)] for n in cfg.models}
-    cv = (fold_scores({key: m for key, m in fitted.items() if key[1] is not None}, train) if cv
-          else {n: (0.0, 0.0) for n in cfg.models})
-    allp = reliable_checkpoint(_union([_predict(n, models[n], test) for n in cfg.models]))
-    metrics = model_metrics(allp, cv)
+        grown = pool.submit(grow_ensembles, frame, cfg, inputs) if trees else None
+        linear = {k: pool.submit(_fit_logistic, train if k == G.FULL else train.where(F.col("fold") != k), cfg)
+                  for k in [G.FULL, *range(cv)]} if LR in cfg.models else {}
+        linear = {k: f.result() for k, f in linear.items()}
+        grown = grown.result() if trees else None
+    parts, loaders = [], {}
+    if trees:
+        scored, curves = ensemble_predictions(grown, cfg)
+        parts.append(scored.where(F.col("model").isin(*cfg.models)).withColumn("label", F.col("label").cast("int")))
+        loaders |= store_ensembles(grown, curves, cfg, inputs)
+    for k, m in linear.items():
+        rows = test if k == G.FULL else train.where(F.col("fold") == k)
+        parts.append(_predict(LR, m, rows).withColumn("k", F.lit(k)))
+    if LR in cfg.models:
+        loaders[LR] = lambda: linear[G.FULL]
+    scored = reliable_checkpoint(_union(parts))
+    allp = scored.where(F.col("k") == G.FULL).select("model", "Transaction_ID", "label", "p")
+    metrics = model_metrics(allp, fold_scores(scored.where(F.col("k") != G.FULL), cfg.models, cv))
     best = metrics.orderBy(F.desc("cv_mean_raw"), F.desc("pr_auc")).first()["name"]
-    return TrainResult(prep, models, allp, metrics, best, frame)
+    return TrainResult(prep, StoredModels({n: loaders[n] for n in cfg.models}), allp, metrics, best, frame)
 
 
 def model_metrics(preds: DataFrame, cv: dict[str, tuple[float, float]]) -> DataFrame:
@@ -359,7 +403,6 @@ def comparison(result: TrainResult) -> DataFrame:
 
 def importance(model, inputs: list[str], top: int = 15) -> DataFrame:
     """Tree importances or |coefficients|, sorted, top n. Raises if unavailable."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     inner = model
     if isinstance(model, PipelineModel):

@@ -90,11 +90,35 @@ def test_response_json_and_sanitize(spark):
     assert tuple(ART.sanitize(bad).first()) == (None, None, 1.0)
 
 
-def test_row_cap_keeps_fraction(spark):
+def test_row_cap_is_exact(spark):
     df = spark.range(20000).withColumnRenamed("id", "Transaction_ID")
-    n = TR.cap_rows(df, 5000).count()
-    assert 4500 < n < 5500
-    assert TR.cap_rows(df, None).count() == 20000
+    kept = [{r[0] for r in TR.cap_rows(d, 5000).collect()} for d in (df, df.repartition(7))]
+    assert len(kept[0]) == 5000 and kept[0] == kept[1]
+    assert TR.cap_rows(df, None).count() == 20000 == TR.cap_rows(df, 20000).count()
+    # rows of one id go together, also where one id holds most rows
+    hot = df.withColumn("Transaction_ID", F.when(F.col("Transaction_ID") < 9000, 3).otherwise(F.col("Transaction_ID")))
+    counts = TR.cap_rows(hot, 100).groupBy("Transaction_ID").count().collect()
+    assert {(r.Transaction_ID == 3) == (r["count"] == 9000) for r in counts} == {True}
+
+
+def test_split_and_folds_have_exact_quotas(spark):
+    df = spark.range(5003).select(F.col("id").alias("Transaction_ID"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    out = TR.split_and_folds(df.repartition(5))
+    got = out.groupBy("label", "is_test").count().collect()
+    assert {(r.label, r.is_test): r["count"] for r in got} == {(0, True): 900, (0, False): 3602, (1, True): 100,
+                                                             (1, False): 401}
+    for cols in (["label", "fold"], ["label", "fold", "cal_fold"]):
+        n = [r["count"] for r in out.where("NOT is_test").groupBy(*cols).count().collect()]
+        assert len(n) == 2 * 5 ** (len(cols) - 1)
+        sizes = {}
+        for r in out.where("NOT is_test").groupBy(*cols).count().collect():
+            sizes.setdefault(tuple(r[c] for c in cols[:-1]), []).append(r["count"])
+        assert all(max(v) - min(v) <= 1 for v in sizes.values())
+    assert out.where("is_test AND (fold IS NOT NULL OR cal_fold IS NOT NULL)").count() == 0
+    assert out.select("Transaction_ID").distinct().count() == 5003
+    again = TR.split_and_folds(df)
+    assert out.exceptAll(again).count() == 0
+    assert TR.split_and_folds(df.limit(0)).count() == 0
 
 
 def test_global_attribution_top(spark):

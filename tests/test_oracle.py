@@ -9,6 +9,8 @@ from riskloom.plans import registry
 from sf_paths import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "orders"]
+#: Tree explanations, the only queries with Python in their plan.
+PYTHON_QUERIES = {"tree_additivity"}
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                  "boolean": "BOOLEAN", "date": "DATE"}
 
@@ -46,7 +48,8 @@ def test_query_matches_oracle(spark, con, name):
         assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == duck[f.name], (f.name, duck[f.name])
     cols = sorted(ocols)
     assert _rows(srows, cols) == _rows(orows, cols)
-    _check_plan(sdf)
+    if name not in PYTHON_QUERIES:
+        _check_plan(sdf)
 
 
 def _check_plan(sdf):
