@@ -46,6 +46,34 @@ def impact_sweep(sweep: DataFrame, cost_fn: float, cost_fp: float = IMPACT_COST_
     ).withColumn("savings", F.col("baseline") - F.col("total"))
 
 
+def cheapest_thresholds(sweep: DataFrame, scenarios: DataFrame, test_size: int) -> DataFrame:
+    """B1, B3 for many cost and volume assumptions at once: the cheapest threshold of every
+    scenario (last on ties) with its costs, and the saving against alerting nobody.
+
+    ``scenarios`` has (scenario, cost_fn, cost_fp, monthly), any number of rows; each model's
+    19 sweep rows travel as one array, so a scenario meets each model once. A null cost or
+    volume gives null costs and the last threshold.
+    """
+    steps = sweep.groupBy("model").agg(F.sort_array(F.collect_list(F.struct(
+        "threshold", "tp", "fp", "fn"))).alias("steps"))
+    models = [r["model"] for r in steps.select("model").collect()]
+    each = scenarios.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))) if models else \
+        scenarios.withColumn("model", F.lit(None).cast("string"))
+    scale = F.col("monthly") / F.lit(float(test_size))
+
+    def total(s):
+        return (s["fn"] * F.col("cost_fn") + s["fp"] * F.col("cost_fp")) * scale
+    costs = F.transform("steps", lambda s: F.struct(
+        (-F.coalesce(total(s), F.lit(0.0))).alias("rank"), s["threshold"].alias("threshold"), s.alias("s"),
+        total(s).alias("total")))
+    best = each.join(steps, "model").withColumn("b", F.array_max(costs))
+    caught = (F.col("b.s.tp") + F.col("b.s.fn")) * F.col("cost_fn") * scale
+    return best.select("scenario", "model", F.col("b.threshold").alias("threshold"), F.col("b.total").alias("total"),
+                       (F.col("b.s.fn") * F.col("cost_fn") * scale).alias("missed"),
+                       (F.col("b.s.fp") * F.col("cost_fp") * scale).alias("false_alerts"),
+                       (caught - F.col("b.total")).alias("savings"))
+
+
 def impact_kpis(rows: DataFrame, test_size: int,
                 monthly: float = IMPACT_MONTHLY_VOLUME) -> DataFrame:
     """KPIs at the cheapest threshold (last on ties) and the best saving."""

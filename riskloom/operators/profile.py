@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.nulls import ratio
-from riskloom.functions.ordered import exact_quantiles
+from riskloom.functions.selection import select_quantiles
 from riskloom.session import reliable_checkpoint
 from riskloom.schema import (CORRELATION_COLUMNS, FRAUD_VALUE, HIST_BINS, HIST_MAX,
                              PROFILE_CATEGORICALS, TARGET)
@@ -264,13 +264,11 @@ def amount_histogram(df: DataFrame) -> DataFrame:
 # ── A9: distance percentiles ─────────────────────────────────────────────────
 
 def distance_percentiles(df: DataFrame) -> DataFrame:
-    """Exact median and p75 of distance per class (linear interpolation)."""
-    d = df.select(F.when(is_fraud(), "fraud").otherwise("normal").alias("class"),
-                  F.col("Distance_From_Home").cast("double").alias("d"))
-    q = exact_quantiles(d, ["class"], "d", [0.5, 0.75])
-    return (q.groupBy("class")
-            .agg(F.max(F.when(F.col("q") == 0.5, F.col("quantile"))).alias("median_distance"),
-                 F.max(F.when(F.col("q") == 0.75, F.col("quantile"))).alias("p75_distance")))
+    """Exact median and p75 of distance per class (linear interpolation); two classes at most."""
+    cls = F.when(is_fraud(), "fraud").otherwise("normal")
+    q = select_quantiles(df, ["Distance_From_Home"], [0.5, 0.75], cls)
+    rows = [(g, *(float(q[(g, "Distance_From_Home", p)]) for p in (0.5, 0.75))) for g in sorted({k[0] for k in q})]
+    return df.sparkSession.createDataFrame(rows, "class string, median_distance double, p75_distance double")
 
 
 # ── A10-A13: insights ────────────────────────────────────────────────────────

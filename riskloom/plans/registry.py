@@ -503,14 +503,13 @@ def q_calibration(spark, sf_dir):
 
 from riskloom.functions.numbers import py_round, py_round_sql  # noqa: E402
 from riskloom.operators import rules as RU  # noqa: E402
-from riskloom.schema import THRESHOLD_FLOOR  # noqa: E402
 from riskloom.sources.requests import requests_from_transactions  # noqa: E402
 from riskloom.sources.transactions import surrogate_score  # noqa: E402
 
 
 def serving_threshold(pr: DataFrame) -> float:
     """Floored F1-optimal threshold of the (single-model) predictions."""
-    return max(EV.threshold_optima(pr).first()["optimal_f1_threshold"], THRESHOLD_FLOOR)
+    return EV.threshold_optima(pr).select(EV.floored(F.col("optimal_f1_threshold")).alias("t")).first()["t"]
 
 
 def scored(spark, sf_dir):
@@ -895,8 +894,9 @@ _IMPACT_DOUBLES = ("total", "fn_cost", "fp_cost", "caught", "net", "baseline", "
 def _impact_rows(spark, sf_dir):
     t = tx(spark, sf_dir)
     pr = surrogate_predictions(t)
-    ov = t.where(F.col("Fraud_Label") == "Fraud").agg(
-        F.round(F.round(F.avg("Transaction_Amount"), 4), 1).alias("c")).first()["c"]
+    mean = t.where(F.col("Fraud_Label") == "Fraud").agg(
+        F.round(F.avg("Transaction_Amount"), 4).cast("decimal(20,4)").alias("c")).first()["c"]
+    ov = IM.default_cost_fn(mean)
     sweep = reliable_checkpoint(EV.threshold_sweep(pr))      # 19 rows per model
     one = sweep.first()
     n = one.tp + one.fp + one.tn + one.fn                    # every row is in each sweep row
@@ -1129,3 +1129,6 @@ def q_tree_additivity(spark, sf_dir):
         parts.append(both.select(F.lit(name).alias("model"), "Transaction_ID",
                                  F.round(F.abs(total - F.col("raw")), 9).alias("gap")))
     return parts[0].unionByName(parts[1])
+
+
+from riskloom.plans import lifecycle  # noqa: E402,F401

@@ -51,18 +51,19 @@ def parse_requests(lines: DataFrame) -> DataFrame:
 
     Numbers may be quoted and counts may be integral floats. ``bad_fields`` lists the
     fields that hold something else, ``payload`` is the line and ``_corrupt_record``
-    is set where it is no JSON object at all.
+    is set where it is no JSON object at all. Other columns of ``lines`` are kept.
     """
     r = F.from_json("value", _TEXT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    df = lines.select(F.col("value").alias("payload"), r.alias("r"))
+    more = [c for c in lines.columns if c != "value"]
+    df = lines.select(F.col("value").alias("payload"), r.alias("r"), *more)
     kinds = {f.name: f.dataType for f in REQUEST_SCHEMA.fields if not isinstance(f.dataType, T.StringType)}
     flat = df.select("payload", F.coalesce("r._corrupt_record", F.when(F.col("r").isNull(), F.col("payload")))
-                     .alias("_corrupt_record"), *[F.col(f"r.{f.name}") for f in REQUEST_SCHEMA.fields])
+                     .alias("_corrupt_record"), *[F.col(f"r.{f.name}") for f in REQUEST_SCHEMA.fields], *more)
     typed = {n: normalised(n, T.StringType(), t) for n, t in kinds.items()}
     bad = F.array(*[F.when(F.col(n).isNotNull() & typed[n].isNull(), F.lit(n)) for n in kinds])
     return flat.select(
         *[(typed[f.name] if f.name in typed else F.col(f.name)).alias(f.name) for f in REQUEST_SCHEMA.fields],
-        F.filter(bad, lambda x: x.isNotNull()).alias("bad_fields"), "payload", "_corrupt_record")
+        F.filter(bad, lambda x: x.isNotNull()).alias("bad_fields"), "payload", "_corrupt_record", *more)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -70,12 +71,16 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return parse_requests(spark.read.text(path))
 
 
-def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None):
-    """Streaming JSON-lines request source (file source)."""
+def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None, arrival: bool = False):
+    """Streaming JSON-lines request source (file source); with ``arrival`` the time of the
+    request's file is the column ``arrived_at``."""
     r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return parse_requests(r.text(path))
+    lines = r.text(path)
+    if arrival:
+        lines = lines.select("value", F.col("_metadata.file_modification_time").alias("arrived_at"))
+    return parse_requests(lines)
 
 
 def requests_from_transactions(tx: DataFrame, as_of: dt.date | None = None,

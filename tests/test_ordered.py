@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 
+
 from riskloom.functions.ordered import ordered_scan
 from riskloom.operators import evaluate as EV
 
@@ -203,23 +204,3 @@ def test_keyed_history_with_null_keys_and_order_values(spark):
     got = {r.k: (r.prev_sum, r.prev_count, r.prev_max) for r in
            keyed_history(df, "cust", ["d", "k"], "amt", 3, num_partitions=7).collect()}
     assert got == want
-
-
-def test_column_quantiles_equal_numpy(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    from riskloom.functions import ordered
-    rng = np.random.default_rng(8)
-    n = 30_000
-    data = {"u": rng.random(n), "ties": rng.integers(0, 3, n).astype(float), "flag": (rng.random(n) < 0.2).astype(float),
-            "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)), "none": np.full(n, np.nan)}
-    pdf = pd.DataFrame(data)
-    df = spark.createDataFrame(pdf).repartition(6)
-    want = {c: (None if np.isnan(v).all() else float(np.nanmedian(v))) for c, v in data.items()}
-    assert ordered.column_quantiles(df, list(data)) == want
-    tiny = spark.createDataFrame(pdf.head(7))
-    assert ordered.column_quantiles(tiny, ["u", "ties"]) == {c: float(np.median(pdf[c].head(7))) for c in ("u", "ties")}
-    # brackets that miss: the column is ranked in full
-    monkeypatch.setattr(ordered.F, "percentile_approx", lambda c, p, a: F.array(F.lit(5.0), F.lit(6.0)))
-    got = ordered.column_quantiles(df, ["u", "flag"])
-    assert abs(got["u"] - want["u"]) < 1e-12 and got["flag"] == want["flag"]
