@@ -1,20 +1,27 @@
-"""N-gram Jaccard join by MinHash LSH trees of one depth.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
 Shingles are five consecutive words (lower case, runs of letters and digits); a
 shorter text is one shingle. Documents with the same shingle set form a class;
 the rest of the work sees one representative (smallest doc_id) per class.
 
-1. Each representative has ``TREES`` labels of min-hashes. Their depth is fixed by
-   formula before any data is read: the longest prefix of at most ``MAX_DEPTH``
-   symbols at which a pair at the threshold is found with at least the target
-   recall (``prefix_length``; 4 at 0.8 and 0.999). Only these symbols are computed:
-   no node is matched deeper or shallower, which makes this banding of TREES bands.
-   Per tree the labels are sorted; neighbours of one label form a node, single
-   labels go.
-2. Nodes with the same members, or whose members all lie in one larger node, are
-   dropped. Nodes of more than ``BLOCK`` members are split into blocks, and each
-   pair of blocks is one bounded unit of work.
-3. A unit verifies its pairs exactly by counting common shingles (a product of
+1. Each representative has ``TREES`` labels of ``MAX_DEPTH`` min-hash symbols. The
+   labels of a tree, sorted, are a prefix trie: documents that share a prefix are
+   neighbours, a node is a run of them. Labels that share not even ``TOP`` symbols
+   with a neighbour are alone and leave.
+2. Every document shortens its matched prefixes until a partner at the threshold is
+   found with the target recall (``shorten``). Trees are taken in a fixed order. Where
+   the node of the shortest prefix is small, that node is matched. Trees in which it is
+   crowded are set aside; if the others do not reach the recall, the crowded ones are
+   matched at the longest prefix that does, the same in all of them. So a document
+   without a crowd needs a few short prefixes, one in a crowd long ones, and the
+   prefixes of a document follow the data. A prefix of d symbols adds
+   -log(1 - similarity ** d); the choice does not look at where a partner is: a node
+   counts towards the recall only if it stays small with one more member.
+3. A matched node holds all documents that share its prefix. Nodes with the same
+   members, or whose members all lie in one larger node, are dropped. Nodes of more
+   than ``BLOCK`` members are split into blocks, and each pair of blocks is one bounded
+   unit of work.
+4. A unit verifies its pairs exactly by counting common shingles (a product of
    incidence matrices) and gives, per member, its links and its local component.
    A pair in several nodes counts in the first only. Pairs are never emitted.
 
@@ -44,14 +51,34 @@ from .common import ALNUM, doc_shingles, mix, partitions, running, scratch, ship
 from .components import components
 
 SHINGLE, THRESHOLD, TREES, MAX_DEPTH, RECALL, BLOCK = 5, 0.8, 16, 8, 0.999, 256
+#: Shortest prefix (symbols), and the members from which its node is crowded.
+TOP, CROWD = 2, 32
+SYMBOL = 2  # bytes
 SLICE_BYTES = 2 << 20
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """Longest prefix at which a pair at the threshold is found with the target recall."""
-    while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
-        depth -= 1
-    return depth
+def gain(threshold: float, depth: int | np.ndarray) -> np.ndarray:
+    """What one tree matched at ``depth`` symbols adds to -log(1 - recall)."""
+    return -np.log1p(-np.power(threshold, np.asarray(depth, np.float64)))
+
+
+def shorten(sizes: np.ndarray, threshold: float, recall: float) -> np.ndarray:
+    """Prefix lengths (0: not matched) at which the documents are matched in their trees.
+
+    ``sizes`` (document, tree) are the members of the nodes at ``TOP`` symbols, 1 if alone.
+    """
+    goal = -np.log1p(-recall)
+    small = sizes < CROWD           # with a partner more the node would still be matched
+    reached = np.cumsum(small, axis=1) * gain(threshold, TOP)
+    before = np.concatenate((np.zeros((len(sizes), 1)), reached[:, :-1]), axis=1)
+    out = np.where((sizes <= CROWD) & (before < goal), TOP, 0)
+    left = goal - reached[:, -1]
+    crowded = sizes >= CROWD
+    depths = np.arange(MAX_DEPTH, TOP, -1)
+    enough = crowded.sum(1)[:, None] * gain(threshold, depths)[None, :] >= left[:, None]
+    # the longest that is enough, else the shortest one of a crowd
+    depth = np.where(enough.any(1), depths[enough.argmax(1)], TOP)
+    return np.where(crowded & (left > 0)[:, None], depth[:, None], out)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,37 +95,37 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return sh[new], np.searchsorted(doc[new], np.arange(len(soff)))
 
 
-def _min_hashes(values: np.ndarray, off: np.ndarray, count: int, used: list[int]) -> np.ndarray:
-    """The used ones of count min-hashes (uint32) of each set; empty sets have the largest value."""
-    out = np.full((len(off) - 1, len(used)), 0xFFFFFFFF, np.uint32)
+def _min_hashes(values: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
+    """Min-hashes (the upper 16 of 32 bits) of each set; empty sets have the largest value."""
+    out = np.full((len(off) - 1, count), 0xFFFF, np.uint16)
     full = np.flatnonzero(off[1:] > off[:-1])
     if not len(full):
         return out
     x = mix(values)
     low, high = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
     odd = mix(np.arange(1, count + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-    for j, i in enumerate(used):
+    for i in range(count):
         h = low * odd[i]
         h ^= h >> np.uint32(15)
         h += high * odd[-1 - i]
         h ^= h >> np.uint32(13)
         h *= np.uint32(0x9E3779B1)
-        out[full, j] = np.minimum.reduceat(h, off[full])
+        m = np.minimum.reduceat(h, off[full])
+        # the least values crowd near 0: their own mixed bits are the symbol
+        out[full, i] = ((m * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16)
     return out
 
 
-def _signatures(src: DataFrame, kind: str, k: int, depth: int) -> DataFrame:
-    used = [t * MAX_DEPTH + i for t in range(TREES) for i in range(depth)]
-
+def _signatures(src: DataFrame, kind: str, k: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             values, off = shingle_sets(part.column("text"), k)
-            sig = _min_hashes(values, off, TREES * MAX_DEPTH, used)
+            sig = _min_hashes(values, off, TREES * MAX_DEPTH)
             total, total2 = running(mix(values)), running(mix(values ^ np.uint64(0x5851F42D4C957F2D)))
             fp = [pa.array((t[off[1:]] - t[off[:-1]]).view(np.int64)) for t in (total, total2)]
             # big-endian, so that labels sort by symbol
-            raw = sig.astype(">u4").tobytes()
-            width = TREES * depth * 4
+            raw = sig.astype(">u2").tobytes()
+            width = TREES * MAX_DEPTH * SYMBOL
             labels = pa.array([raw[i * width:(i + 1) * width] for i in range(part.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), *fp, pa.array(np.diff(off).astype(np.int32)), labels],
@@ -107,9 +134,11 @@ def _signatures(src: DataFrame, kind: str, k: int, depth: int) -> DataFrame:
     return src.mapInArrow(run, f"id {kind}, fp1 long, fp2 long, n int, sig binary")
 
 
-def _trie_neighbours(forest: DataFrame, kind: str) -> DataFrame:
-    """Labels in sorted order that share the prefix with a neighbour (first and last of
+def _trie_neighbours(forest: DataFrame) -> DataFrame:
+    """Labels that share ``TOP`` symbols with a neighbour in sorted order (first and last of
     a sorted partition stay, as their neighbours are not seen here)."""
+    width = TOP * SYMBOL
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sure_first = None, True
         for batch in batches:
@@ -117,7 +146,7 @@ def _trie_neighbours(forest: DataFrame, kind: str) -> DataFrame:
                 continue
             rows = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
             tree = rows.column("tree").to_numpy()
-            node = rows.column("prefix").combine_chunks()
+            node = pc.binary_slice(rows.column("label").combine_chunks(), 0, width)
             same = (tree[1:] == tree[:-1]) & pc.equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False)
             sure = np.zeros(len(tree), bool)
             sure[0] = sure_first
@@ -129,19 +158,56 @@ def _trie_neighbours(forest: DataFrame, kind: str) -> DataFrame:
             yield held
 
     n = partitions(forest)
-    return (forest.repartitionByRange(n, "tree", "prefix", "id").sortWithinPartitions("tree", "prefix", "id")
-            .mapInArrow(run, f"tree int, prefix binary, id {kind}"))
+    return (forest.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+            .mapInArrow(run, "tree int, label binary, id long"))
+
+
+def _matched(close: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(id, tree, depth, label, seeks): the prefixes of every document at which it may be
+    matched; it seeks partners at those that ``shorten`` chose."""
+    top = F.substring("label", 1, TOP * SYMBOL)
+    close = scratch(close, "trie")
+    sizes = close.groupBy("tree", top.alias("top")).agg(F.count("*").alias("size")).filter("size > 1")
+    here = close.withColumn("top", top).join(sizes, ["tree", "top"]).select("id", "tree", "label", "size")
+    per_doc = here.groupBy("id").agg(F.collect_list(F.struct("tree", "label", "size")).alias("rows"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            at, flat = lists.offsets.to_numpy(), lists.flatten()
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            tree, size = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            table = np.ones((batch.num_rows, TREES), np.int64)
+            table[doc, tree] = size
+            depth = shorten(table, threshold, recall)[doc, tree]
+            rows, depths, seeks = [], [], []
+            for d in (TOP, *range(TOP + 1, MAX_DEPTH + 1)):
+                # all members of a small node, and of every node in a crowd, may be partners there
+                some = np.flatnonzero(size <= CROWD if d == TOP else size >= CROWD)
+                rows.append(some)
+                depths.append(np.full(len(some), d, np.int32))
+                seeks.append(depth[some] == d)
+            # a crowd that is too large for its recall is matched at its shortest prefix
+            some = np.flatnonzero((size > CROWD) & (depth == TOP))
+            rows, depths, seeks = (np.concatenate(x) for x in ([*rows, some], [*depths, np.full(len(some), TOP, np.int32)],
+                                                               [*seeks, np.ones(len(some), bool)]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(doc[rows])), pa.array(tree[rows]), pa.array(depths),
+                 flat.field(1).take(pa.array(rows)), pa.array(seeks)], ["id", "tree", "depth", "label", "seeks"])
+
+    return per_doc.mapInArrow(run, "id long, tree int, depth int, label binary, seeks boolean")
 
 
-def _nodes(members: DataFrame) -> DataFrame:
-    """(node, id, size) of the trie nodes that are left after dropping contained ones."""
-    members = members.withColumn("node", F.xxhash64("tree", "prefix")).select("node", "id")
-    sizes = (members.groupBy("node").agg(F.count("*").alias("size"),
+def _nodes(matched: DataFrame) -> DataFrame:
+    """(node, id, size) of the matched trie nodes that are left after dropping contained ones."""
+    prefix = F.substring("label", F.lit(1), F.col("depth") * SYMBOL)
+    members = matched.select(F.xxhash64("tree", "depth", prefix).alias("node"), "id", "seeks")
+    sizes = (members.groupBy("node").agg(F.count("*").alias("size"), F.max("seeks").alias("seeks"),
                                          F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-             .filter("size > 1"))
+             .filter("size > 1 AND seeks"))
     # one node per set of members
     single = scratch(sizes.groupBy("size", "who").agg(F.min("node").alias("node")).select("node", "size"), "nodes")
-    members = scratch(members.join(single, "node"), "members")
+    members = scratch(members.drop("seeks").join(single, "node"), "members")
     # a node whose members all have the same other node as their largest lies inside it
     largest = members.groupBy("id").agg(F.max(F.struct("size", "node")).alias("top"))
     inside = (members.join(largest, "id").groupBy("node")
@@ -211,20 +277,20 @@ def links(docs: DataFrame, threshold: tuple[int, int] = (4, 5), k: int = SHINGLE
     """
     ship(docs.sparkSession)
     num, den = threshold
-    depth = prefix_length(num / den, TREES, MAX_DEPTH, recall)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(
         "id IS NOT NULL")
     kind = src.schema["id"].dataType.simpleString()
-    sigs = scratch(_signatures(src, kind, k, depth), "signatures")
+    sigs = scratch(_signatures(src, kind, k), "signatures")
     classes = scratch(sigs.groupBy("fp1", "fp2").agg(
         F.min("id").alias("rep"), F.count_distinct("id").alias("weight"), F.min("sig").alias("sig"),
         F.min("n").alias("n")), "classes")
-    prefix = F.substring("sig", F.col("tree") * depth * 4 + 1, F.lit(4 * depth))
+    width = MAX_DEPTH * SYMBOL
     # a document of several versions may represent several classes: classes are told apart by fp1
     forest = (classes.filter("n > 0").select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"),
                                              "sig", F.col("fp1").alias("id"))
-              .select("tree", prefix.alias("prefix"), "id"))
-    members = scratch(_nodes(_trie_neighbours(forest, "long")), "kept-members")
+              .select("tree", F.substring("sig", F.col("tree") * width + 1, F.lit(width)).alias("label"), "id"))
+    matched = scratch(_matched(_trie_neighbours(forest), num / den, recall), "matched")
+    members = scratch(_nodes(matched), "kept-members")
     per_class = members.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     wanted = classes.join(per_class.withColumnRenamed("id", "fp1"), "fp1").select(
         "rep", "fp1", "fp2", "weight", "nodes")
@@ -276,12 +342,15 @@ def drop_near_copies(docs: DataFrame, threshold: tuple[int, int] = (4, 5), id_co
                      text_col: str = "text") -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each group of near copies.
 
-    Rows without doc_id stay; of rows that share a kept doc_id one stays.
+    Rows without doc_id stay; of rows that share a kept doc_id the one with the least hash
+    over its columns stays, whatever the partitioning.
     """
     cols = docs.columns
     kept = links(docs, threshold, id_col=id_col, text_col=text_col).filter("doc_id = class_id").select(
         F.col("doc_id").alias("kept_id"))
     src = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))
     key = f"c{cols.index(id_col)}"
-    stay = src.join(kept, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
+    row = F.struct(*src.columns)
+    stay = (src.join(kept, F.col(key) == F.col("kept_id"), "left_semi").groupBy(F.col(key).alias("key"))
+            .agg(F.min_by(row, F.xxhash64(*src.columns)).alias("row")).select("row.*"))
     return stay.unionByName(src.filter(F.col(key).isNull())).toDF(*cols)

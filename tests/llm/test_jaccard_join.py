@@ -2,6 +2,7 @@
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -96,13 +97,73 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 160)}}
 
 
-def test_prefix_is_shortened_until_the_recall():
-    assert J.prefix_length(0.8, 16, 8, 0.999) == 4
-    assert J.prefix_length(0.8, 16, 8, 0.99) == 6
-    assert J.prefix_length(0.99, 16, 8, 0.999) == 8
-
-
-def test_only_the_symbols_of_the_depth_are_computed(spark):
-    df = spark.createDataFrame([(1, "some words of a text")], "id long, text string")
-    for depth in (4, 6):
-        assert len(J._signatures(df, "long", 5, depth).first().sig) == J.TREES * depth * 4
+def test_prefixes_are_shortened_until_the_recall():
+    lonely, crowd = np.ones(16, int), np.full(16, 1000)
+    mixed = np.where(np.arange(16) < 4, 5, 1000)
+    got = J.shorten(np.stack([lonely, crowd, mixed, np.roll(lonely, 0) * 31]), 0.8, 0.999)
+    assert got[0].tolist() == [2] * 7 + [0] * 9                      # a few short prefixes
+    assert got[1].tolist() == [4] * 16                               # a crowd in every tree
+    assert got[2].tolist() == [2] * 4 + [7] * 12                     # long prefixes where it is crowded
+    assert got[3].tolist() == got[0].tolist()
+    for sizes, row in zip((lonely, crowd, mixed), got):
+        assert J.gain(0.8, row[row > 0]).sum() >= -np.log(0.001)
+    # a node that one more member would crowd is matched, but does not count
+    edge = lonely.copy()
+    edge[0] = J.CROWD
+    assert J.shorten(edge[None], 0.8, 0.999)[0].tolist() == [2] * 8 + [0] * 8
+    # lower recall, longer prefixes
+    assert J.shorten(crowd[None], 0.8, 0.9)[0, 0] > 4
+
+
+def test_recall_at_the_threshold_over_seeds(monkeypatch):
+    """Pairs of similarity 0.8 to 0.82 without and with a crowd around them: the trees find them."""
+    rng = np.random.default_rng(4)
+    found = total = 0
+    for crowd in (0, 100):
+        for _ in range(150):
+            base = rng.integers(1, 2 ** 62, 45).astype(np.uint64)
+            a, b = base.copy(), base.copy()
+            b[:5] = rng.integers(1, 2 ** 62, 5)                       # 40 of 50: similarity 0.8
+            others = []
+            for _ in range(crowd):
+                o = base.copy()
+                o[rng.permutation(45)[:4]] = rng.integers(1, 2 ** 62, 4)
+                others.append(o)
+            sets = [np.unique(s) for s in (a, b, *others)]
+            off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            sig = J._min_hashes(np.concatenate(sets), off, J.TREES * J.MAX_DEPTH).reshape(len(sets), J.TREES, J.MAX_DEPTH)
+            share = (sig[:2, None] == sig[None, :]).cumprod(-1).sum(-1)       # (2, other, tree) common prefix
+            sizes = (share >= J.TOP).sum(1)
+            depth = J.shorten(sizes, 0.8, 0.999)
+            lcp = share[0, 1]
+            found += bool(((depth > 0) & (lcp[None, :] >= depth)).any())
+            total += 1
+    assert found >= 0.995 * total
+
+
+def test_depths_follow_the_data(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    base = text(120)
+    docs = []
+    for i in range(80):                                               # a crowd
+        t = list(base)
+        t[rng.randrange(len(t))] = f"x{i}"
+        docs.append(t)
+    pair = text(100)
+    docs += [pair, pair[:-1] + ["other"], *(text(90) for _ in range(20))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "id long, text string")
+    sig = J._signatures(df, "long", 5)
+    width = J.MAX_DEPTH * J.SYMBOL
+    forest = (sig.selectExpr("explode(sequence(0, 15)) AS tree", "sig", "id")
+              .selectExpr("tree", f"substring(sig, tree * {width} + 1, {width}) AS label", "id"))
+    rows = J._matched(J._trie_neighbours(forest), 0.8, 0.999).filter("seeks").collect()
+    crowd, few = ({r.depth for r in rows if (r.id < 80) == side} for side in (True, False))
+    assert max(crowd) > 3 and few == {J.TOP}
+    assert {r.id for r in rows} == set(range(82))                     # the others have no node
+
+
+def test_rows_that_share_an_id_are_kept_by_content(spark):
+    rows = [(1, f"text number {i} of this id with its own words {i}", "en", "s", i) for i in range(12)]
+    kept = [J.drop_near_copies(spark.createDataFrame(rows, DOCS).repartition(n)).collect() for n in (1, 3, 7)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
