@@ -2,13 +2,16 @@
 
 A page becomes blocks of text, each with its root-to-leaf path of block elements
 (element name and class). Per path, text length, punctuation and link text are
-aggregated; the length and punctuation ratios of a path are fused, smoothed with
-those of everything under its parent, and paths below a share of the best path
-are dropped. Paths through elements that never hold the article (menus, footers,
-adverts, forms, comments, scripts) are out from the start. A page that marks its
-article (article, main) needs no ratios: every other block in it is its text, short
-lists, tables and captions too, and nothing outside it is. Every page is judged
-alone: no shuffle, and memory is bounded by one page.
+aggregated; the length and punctuation ratios of a path are fused and smoothed with
+those of everything under each of its ancestors, the nearer the more; a path through a
+marked article (article, main) counts ``MARK`` times. Paths that reach a share of the
+best path hold the main text. They select the content node: the deepest element path
+that holds nearly all of their text (or, from a section, list, table or quotation, the
+element around it; from inside a marked article, the article). Every block in the
+content node is the article's, short lists, tables and captions too; outside a marked
+article, paths below the share that are mostly link text go, headings stay. Paths through elements that never hold the
+article (menus, footers, adverts, forms, comments, scripts) are out from the start.
+Every page is judged alone: no shuffle, and memory is bounded by one page.
 
 Class, id and role words (HINTS) tell menus, adverts, comments and the like from the
 article, but not alone: they say nothing on an element that holds the page's largest
@@ -16,6 +19,8 @@ article or most of its text, nor in a negated token (no-comments, has-sidebar).
 headings ids and mixed tokens (related-work) do not count. On sections and paragraphs
 inside the article they are evidence: a mixed token drops a part that is mostly link
 text, an id of hint words only a part whose ratio is below the share of the best.
+Reader comments are told by structure: any container (section, div, list, article) whose
+token holds a comment word is out, also inside the article.
 
 Blocks keep page order and are joined by a line feed; character references are
 decoded and white space inside a block becomes one space.
@@ -39,8 +44,12 @@ from .common import ship, slices
 
 #: Share of the best path's score that a path must reach.
 THRESHOLD = 0.5
-#: Weight of the parent in the smoothing.
+#: Weight of an ancestor in the smoothing, against the step below it.
 PARENT = 0.6
+#: How much more a path through a marked article counts.
+MARK = 3.0
+#: Share of the main paths' text that the content node holds.
+MOST = 0.9
 SLICE_BYTES = 8 << 20
 
 _TOKEN = re.compile(
@@ -68,6 +77,16 @@ HINTS = frozenset(
 #: Words that make a class, id or role token tell of a part that is absent or elsewhere.
 NEGATIONS = frozenset("no non not without has have with".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of containers that hold reader comments.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Words that with a comment word still say nothing but comments.
+COMMENT_PARTS = COMMENTS | frozenset(
+    "list section area thread threads wrap wrapper container box form title block body item author text content user "
+    "users reader readers tree nav children depth".split())
+CONTAINERS = frozenset("section div article ol ul dl li aside main details table".split())
+#: Elements that are parts of an article rather than its container.
+INNER = frozenset("section ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure details p "
+                  "h1 h2 h3 h4 h5 h6 hgroup address".split())
 _P_CLOSERS = BLOCK - {"html", "head", "body"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
@@ -75,11 +94,16 @@ _SCOPES = frozenset("ul ol dl table body html article section div".split())
 
 
 def hinted(tag: str, tokens: list[tuple[str, list[str]]], inside: bool) -> str:
-    """What (kind of attribute, words) tokens say of an element: "hard" (not the article),
-    "score" or "links" (evidence that the ratio or the share of link text decides), or ""."""
+    """What (kind of attribute, words) tokens say of an element: "comment" (reader comments,
+    whatever they hold), "hard" (not the article), "score" or "links" (evidence that the ratio or the share of link text decides), or ""."""
     says = ""
     for kind, words in tokens:
-        if HINTS.isdisjoint(words) or not NEGATIONS.isdisjoint(words):
+        if not NEGATIONS.isdisjoint(words):
+            continue
+        if tag in CONTAINERS and not COMMENTS.isdisjoint(words):
+            if (COMMENTS if tag in ("article", "main") else COMMENT_PARTS).issuperset(words):
+                return "comment"
+        if tag in ("article", "main") or HINTS.isdisjoint(words):
             continue
         pure = HINTS.issuperset(words)
         if tag in HEADINGS:
@@ -102,32 +126,36 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str, int, int]]
     parts: list[str] = []
     around: list[int] = []
     stack: list[tuple[str, str, bool, int]] = []  # element, path step, boilerplate element, innermost part
-    text: list[str] = []
-    linked = 0
+    # text of the open block; hinted inline elements have text of their own inside it:
+    # depth of the stack below, pieces, link characters
+    open_: list[list] = [[0, [], 0]]
 
-    def flush() -> None:
-        nonlocal linked
-        clean = " ".join(html.unescape("".join(text)).split())
+    def give(depth: int, pieces: list[str], linked: int) -> None:
+        clean = " ".join("".join(pieces).split())
         if clean:
-            found.append((tuple(s for _, s, *_ in stack if s), any(b for _, _, b, _ in stack), clean,
-                          min(linked, len(clean)), stack[-1][3] if stack else -1))
-        text.clear()
-        linked = 0
+            found.append((tuple(s for _, s, *_ in stack[:depth] if s), any(b for _, _, b, _ in stack[:depth]), clean,
+                          min(linked, len(clean)), stack[depth - 1][3] if depth else -1))
+
+    def flush() -> None:
+        for i, (_, pieces, linked) in enumerate(open_):
+            give(open_[i + 1][0] if i + 1 < len(open_) else len(stack), pieces, linked)
+            open_[i][1:] = [], 0
 
     def pop(to: int) -> None:
-        if any(tag in BLOCK or bad for tag, _, bad, _ in stack[to:]) or (
-                to < len(stack) and stack[-1][3] != (stack[to - 1][3] if to else -1)):
+        if any(tag in BLOCK or bad for tag, _, bad, _ in stack[to:]):
             flush()
+        while len(open_) > 1 and open_[-1][0] >= to:
+            give(len(stack), *open_.pop()[1:])
         del stack[to:]
 
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
-            piece = page[at:m.start() if m else end]
-            text.append(piece)
+            piece = html.unescape(page[at:m.start() if m else end])
+            open_[-1][1].append(piece)
             if any(tag == "a" for tag, *_ in stack):
-                linked += len(piece)
+                open_[-1][2] += len(piece)
         if m is None:
             break
         at = m.end()
@@ -141,7 +169,7 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str, int, int]]
                     break
             continue
         if tag == "br":
-            text.append(" ")
+            open_[-1][1].append(" ")
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -172,9 +200,13 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str, int, int]]
                 words += tokens[-1][1]
         inside = any(t in ("article", "main") for t, *_ in stack)
         bad = tag in BOILERPLATE or (tag == "header" and not inside)
-        says = tag if tag in ("article", "main") else "" if tag in ("html", "body") else hinted(tag, tokens, inside)
-        if tag in BLOCK or bad or says:
+        says = "" if tag in ("html", "body") else hinted(tag, tokens, inside)
+        if tag in ("article", "main"):
+            says = says or tag
+        if tag in BLOCK or bad:
             flush()
+        elif says:  # inline: the block around it goes on after it
+            open_.append([len(stack), [], 0])
         part = stack[-1][3] if stack else -1
         if says:
             around.append(part)
@@ -206,7 +238,7 @@ def dropped(found: list, parts: list[str], around: list[int]) -> set[int]:
         if around[k] >= 0:
             sums[around[k]] = [x + y for x, y in zip(sums[around[k]], sums[k], strict=True)]
     total = sum(len(b[2]) for b in found)
-    kept = {k for k, row in enumerate(sums) if 2 * row[0] > total}
+    kept = {k for k, row in enumerate(sums) if 2 * row[0] > total and parts[k] != "comment"}
     for tag in ("article", "main"):
         k = max((k for k, says in enumerate(parts) if says == tag), key=lambda k: sums[k][0], default=-1)
         while k >= 0:
@@ -216,7 +248,7 @@ def dropped(found: list, parts: list[str], around: list[int]) -> set[int]:
     unsure: set[int] = set()
     for k, says in enumerate(parts):
         if around[k] in out or (k not in kept and (
-                says == "hard" or (says == "links" and 2 * sums[k][2] > sums[k][0]))):
+                says in ("comment", "hard") or (says == "links" and 2 * sums[k][2] > sums[k][0]))):
             out.add(k)
         elif around[k] in unsure or (says == "score" and k not in kept):
             unsure.add(k)
@@ -232,6 +264,41 @@ def dropped(found: list, parts: list[str], around: list[int]) -> set[int]:
     return out
 
 
+def path_scores(found: list) -> dict[tuple, float]:
+    """Smoothed ratio of every path of the blocks."""
+    totals: dict[tuple, list] = {}
+    for path, _, text, linked, _ in found:
+        for d in range(len(path) + 1):
+            _add(totals.setdefault((path[:d], d == len(path)), [0, 0, 0, 0]), text, linked)
+    under: dict[tuple, list] = {}
+    for (path, _), row in totals.items():
+        under[path] = [x + y for x, y in zip(under.get(path, [0, 0, 0, 0]), row, strict=True)]
+    ratios = {path: _ratio(*row) for path, row in under.items()}
+    out = {}
+    for path, own in totals:
+        if own:
+            parts = [_ratio(*totals[path, True]), *(ratios[path[:d]] for d in range(len(path) - 1, -1, -1))]
+            weights = [PARENT ** i for i in range(len(parts))]
+            smooth = sum(map(float.__mul__, weights, parts)) / sum(weights)
+            out[path] = smooth * (1.0 if _names(path).isdisjoint(("article", "main")) else MARK)
+    return out
+
+
+def content_node(chars: dict[tuple, int]) -> tuple[str, ...]:
+    """The element path that the main paths (with their text lengths) select."""
+    under: dict[tuple, int] = {}
+    for path, n in chars.items():
+        for d in range(len(path)):
+            under[path[:d]] = under.get(path[:d], 0) + n
+    node = max((p for p, n in under.items() if n >= MOST * sum(chars.values())), key=len, default=())
+    marks = [d for d, step in enumerate(node, 1) if _names((step,)) & {"article", "main"}]
+    if marks:
+        return node[:marks[0]]
+    while node and not _names(node[-1:]).isdisjoint(INNER):
+        node = node[:-1]
+    return node
+
+
 def main_text(page: str | None) -> str:
     """The article's text of one page."""
     found, parts, around = blocks(page or "")
@@ -239,17 +306,21 @@ def main_text(page: str | None) -> str:
     if parts:
         out = dropped(found, parts, around)
         found = [b for b in found if b[4] not in out]
-    marked = [b for b in found if not {"article", "main"}.isdisjoint(_names(b[0]))]
-    if marked:
-        return "\n".join(b[2] for b in marked)
-    totals: dict[tuple, list] = {}
+    if not found:
+        return ""
+    score = path_scores(found)
+    best = max(score.values())
+    chars: dict[tuple, int] = {}
+    links: dict[tuple, int] = {}
     for path, _, text, linked, _ in found:
-        for key in ((path, True), (path[:-1], False)):
-            _add(totals.setdefault(key, [0, 0, 0, 0]), text, linked)
-    score = {path: (1 - PARENT) * _ratio(*totals[path, True]) + PARENT * _ratio(*totals[path[:-1], False])
-             for path, *_ in found}
-    best = max(score.values(), default=0.0)
-    return "\n".join(text for path, _, text, *_ in found if score[path] >= THRESHOLD * best)
+        chars[path] = chars.get(path, 0) + len(text)
+        links[path] = links.get(path, 0) + linked
+    main = {path: n for path, n in chars.items() if score[path] >= THRESHOLD * best}
+    node = content_node(main)
+    # outside a marked article, links alone are a menu
+    sure = {path for path in chars if path in main or 2 * links[path] <= chars[path]
+            or not _names(path).isdisjoint(HEADINGS | {"article", "main"})}
+    return "\n".join(text for path, _, text, *_ in found if path[:len(node)] == node and path in sure)
 
 
 def _names(path: tuple[str, ...]) -> set[str]:

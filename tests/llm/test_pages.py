@@ -39,6 +39,48 @@ def test_markup(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_given_pages_without_their_marker(spark):
+    """The same text when nothing marks the article: the ratios find its container."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").limit(400).collect()
+    for mark in ("<div>", "<div class='post body'>", ""):
+        for r in rows:
+            page = r.html.replace("<article>", mark).replace("</article>", "</div>" if mark else "")
+            assert html_text.main_text(page) == article(r.html), (mark, r.page_id)
+
+
+def test_the_ratios_decide(spark, monkeypatch):
+    para = "A sentence of the text, with words; and more. " * 5
+    page = f"<div><p>{para}</p><p>{para}</p></div><div><section><p>short words</p><p>more</p></section></div>"
+    assert html_text.main_text(page.replace("<div><p>", "<div class=a><p>")) == "\n".join([para.strip()] * 2)
+    monkeypatch.setattr(html_text, "_ratio", lambda chars, *_: 1.0 / chars)
+    assert html_text.main_text(page.replace("<div><p>", "<div class=a><p>")) == "short words\nmore"
+
+
+@pytest.mark.parametrize("page,text", [
+    # reader comments, inside the article and as articles beside it
+    ("<article><p>The text.</p><section id=comments><p>A long comment, with many words, and more.</p></section></article>",
+     "The text."),
+    ("<article><p>The text.</p><ol class='comment-list'><li><p>Me too.</p></li></ol></article>", "The text."),
+    ("<article><p>The text, some words.</p></article><article class=comment><p>A comment.</p></article>",
+     "The text, some words."),
+    ("<article><h2 id='comments-on-method'>Comments on method</h2><p>The text.</p></article>",
+     "Comments on method\nThe text."),
+    # an unmarked page keeps its heading and its list
+    ("<body><h1>Title</h1><p>" + "One long paragraph, with words. " * 20 + "</p><ul><li>a<li>b</ul></body>",
+     "Title\n" + ("One long paragraph, with words. " * 20).strip() + "\na\nb"),
+    ("<body><div><h1>Title</h1><section><p>First part, with words.</p></section><section><p>Second part, with words.</p>"
+     "<table><tr><td>7</table></section></div><div class=links><a href=x>elsewhere</a></div></body>",
+     "Title\nFirst part, with words.\nSecond part, with words.\n7"),
+    # an inline advert does not cut its block
+    ("<article><p>x <span class='ad'>buy</span> more</p></article>", "x more"),
+    ("<article><p>x <span class='ad'>buy <b>now</b></span>, <a href=y>link</a> more</p></article>", "x , link more"),
+    ("<div class='post comments-open'><p>The text, some words.</p></div>", "The text, some words."),
+    # references do not join across tags
+    ("<article><p>&am<b>p;</b> &lt<b>;</b></p></article>", "&amp; <;")])
+def test_structure(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_short_blocks_beside_long_paragraphs():
     para = "Some words, more words; and then a few others. " * 6
     want = ["A heading of some length", *[para.strip()] * 6, *(f"item {i} of a short list" for i in range(5)), "Col", "7", "A caption"]
