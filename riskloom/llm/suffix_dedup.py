@@ -1,20 +1,26 @@
-"""Repeated passages by sorted suffix fingerprints at content-selected positions.
+"""Repeated passages by a sparse suffix array.
 
 Words are maximal runs of non-space bytes, compared exactly. In every window of
 ``WINDOW`` consecutive word triples the smallest hash (the leftmost on ties)
 selects a position; the suffixes at these positions are all that is kept, about
 2 in 33. A passage of at least ``min_words`` words holds a selected position
-whose next min_words - WINDOW + 1 words lie inside the passage, in every copy.
-
-1. Suffix keys (a 64-bit fingerprint of those words stands for the suffix, so the
-   order is no suffix order and tells no common prefix) of all documents are sorted
-   (range partitions with the document as tie-break, so a hot key spans partitions)
-   and neighbours are compared; a suffix without an equal neighbour goes.
-2. Matches are found by grouping: for every remaining suffix all windows
-   of exactly ``min_words`` words around it are fingerprinted, 96 bits each;
-   windows of several documents are repeated passages, and their union per
-   document gives the maximal passages.
-3. The first document (smallest doc_id) keeps a window, later ones lose it.
+whose next min_words - WINDOW + 1 words (the head) lie inside the passage, in every copy.
+
+1. The suffixes of all documents are sorted by their leading words, with a fingerprint
+   of the head as tie-break (range partitions that end with the document, so a hot
+   suffix spans partitions), and neighbours are compared; a suffix whose head no
+   neighbour of another text shares goes.
+2. The suffixes that are left carry the words before and after their head. Those of one
+   head are sorted in suffix order by the words after it; common prefixes with the
+   neighbour give the extension to the right, and likewise the words before it, read
+   backwards, the extension to the left. For every division of the rest of a passage
+   between the two sides the suffixes that agree on both are copies of each other: one
+   place of a repeated passage. A place is asked at the position that its own window
+   selects, so each is found once; their union per document gives the maximal passages.
+3. Heads that more than ``HOT`` suffixes share would make one task's group large. Their
+   places are fingerprinted (96 bits) and grouped instead, which has the same result and
+   is aggregated before it is exchanged.
+4. The first document (smallest doc_id) keeps a place, later ones lose it.
 
 Exact copies meet as whole texts before step 1, so a group of copies is one
 document there; partial aggregation and skew-split joins take the hot windows.
@@ -31,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +46,11 @@ from .common import (NOT_SPACE, WORD_BASE, WORD_BASE_2, partitions, range_hash,
                      utf8, word_hashes)
 
 MIN_WORDS, WINDOW, GRAM = 50, 32, 3
+#: Suffixes of one head that are extended in one task, and rows that a task sorts at once.
+HOT, ROWS = 1024, 20_000
 SLICE_BYTES = 2 << 20
 _PLACE = np.uint64((1 << 28) - 1)
+_HIGH = np.uint64(0xFFFFFFFF << 32)
 
 
 def select_positions(hashes: np.ndarray, words: np.ndarray, min_words: int):
@@ -75,7 +85,8 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _suffixes(src: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """Distinct suffix keys per document, and one row without key per document (n words)."""
+    """Distinct suffixes per document (leading words, fingerprint of the head), and one row
+    without key per document (n words)."""
     right = max(min_words - WINDOW + 1, GRAM)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,21 +95,23 @@ def _suffixes(src: DataFrame, kind: str, min_words: int) -> DataFrame:
             _, at = select_positions(h, words, min_words)
             at = np.unique(at)
             key = range_hash(h, at, at + right, WORD_BASE) if len(at) else np.zeros(0, np.uint64)
+            lead = h[at] & _HIGH | h[at + 1] >> np.uint64(32) if len(at) else key
             doc = np.searchsorted(words, at, side="right") - 1
             order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
+            doc, key, lead = doc[order], key[order], lead[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            doc, key = doc[new], key[new]
+            doc, key, lead = doc[new], key[new], lead[new]
             rows = np.concatenate((doc, np.arange(part.num_rows)))
             take = pa.array(rows)
             n = np.concatenate((np.zeros(len(doc), np.int32), np.diff(words).astype(np.int32)))
-            keys = pa.concat_arrays([_long(key), pa.nulls(part.num_rows, pa.int64())])
+            none = pa.nulls(part.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [keys, part.column("th").take(take), part.column("th2").take(take),
-                 part.column("id").take(take), pa.array(n)], ["key", "th", "th2", "id", "n"])
+                [pa.concat_arrays([_long(lead), none]), pa.concat_arrays([_long(key), none]), part.column("th").take(take), part.column("th2").take(take),
+                 part.column("id").take(take), pa.array(n)],
+                ["lead", "key", "th", "th2", "id", "n"])
 
-    return src.mapInArrow(run, f"key long, th long, th2 long, id {kind}, n int")
+    return src.mapInArrow(run, f"lead long, key long, th long, th2 long, id {kind}, n int")
 
 
 def _shared_suffixes(suffixes: DataFrame, kind: str) -> DataFrame:
@@ -130,13 +143,14 @@ def _shared_suffixes(suffixes: DataFrame, kind: str) -> DataFrame:
             yield held
 
     n = partitions(suffixes)
-    return (suffixes.repartitionByRange(n, "key", "th", "id").sortWithinPartitions("key", "th", "id")
+    order = ["lead", "key", "th", "id"]
+    return (suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("lead")
             .mapInArrow(run, f"key long, th long, id {kind}"))
 
 
 def _windows(src: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """Fingerprints (a, b) of all windows around the document's shared suffixes, with
-    the window starts (one row per distinct window and document)."""
+    """Fingerprints (a, b) of all windows around the document's shared suffixes of hot heads
+    (column keys), with the window starts (one row per distinct window and document)."""
     right = max(min_words - WINDOW + 1, GRAM)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +190,130 @@ def _windows(src: DataFrame, kind: str, min_words: int) -> DataFrame:
     return src.mapInArrow(run, f"a long, b int, id {kind}, tag int, starts array<int>")
 
 
+def _contexts(src: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """Occurrences of the document's shared suffixes (column keys): position, the window
+    starts that select it (lo to hi), and the words before (read backwards) and after its
+    head, 8 bytes each, zeros beyond the text."""
+    head = max(min_words - WINDOW + 1, GRAM)
+    rest = min_words - head
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE_BYTES):
+            h, words = _hashes(part.column("text"))
+            start, at = select_positions(h, words, min_words)
+            if not len(start):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            lo, hi = start[first], start[np.append(first[1:], len(start)) - 1]
+            at = at[first]
+            doc = np.searchsorted(words, at, side="right") - 1
+            key = range_hash(h, at, at + head, WORD_BASE)
+            wanted = part.column("keys")
+            pair = np.sort(_pairs(np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy())),
+                                  wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
+            probe = _pairs(doc, key)
+            place = np.minimum(np.searchsorted(pair, probe), max(len(pair) - 1, 0))
+            hit = np.flatnonzero(pair[place] == probe) if len(pair) else np.zeros(0, np.int64)
+            # a text may hold very many suffixes: a bounded number of rows at a time
+            for some in (hit[i:i + ROWS] for i in range(0, len(hit), ROWS)):
+                p, d = at[some], doc[some]
+                sides = []
+                for places, inside in ((p[:, None] - 1 - np.arange(rest), lambda x: x >= words[d][:, None]),
+                                       (p[:, None] + head + np.arange(rest), lambda x: x < words[d + 1][:, None])):
+                    side = np.where(inside(places), h[np.clip(places, 0, len(h) - 1)], np.uint64(0))
+                    raw = side.astype(">u8").tobytes()
+                    sides.append(pa.array([raw[i * rest * 8:(i + 1) * rest * 8] for i in range(len(some))], pa.binary()))
+                take, base = pa.array(d), words[d]
+                yield pa.RecordBatch.from_arrays(
+                    [_long(key[some]), part.column("id").take(take), part.column("tag").take(take),
+                     *(pa.array((x - base).astype(np.int32)) for x in (p, lo[some], hi[some])), *sides],
+                    ["key", "id", "tag", "at", "lo", "hi", "before", "after"])
+
+    return src.mapInArrow(run, f"key long, id {kind}, tag int, at int, lo int, hi int, before binary, after binary")
+
+
+def _common(order: np.ndarray, key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Common words of every row with the one before it in ``order``; -1 at a new key."""
+    a, b = order[:-1], order[1:]
+    same = np.logical_and.accumulate(side[a] == side[b], axis=1).sum(1) if side.shape[1] else np.zeros(len(a), int)
+    return np.concatenate(([-1], np.where(key[a] == key[b], same, -1)))
+
+
+def extend(rows: pa.Table, min_words: int) -> pa.Table:
+    """Repeated places among occurrences of whole heads: (id, tag, starts, first, keep)."""
+    rest = min_words - max(min_words - WINDOW + 1, GRAM)
+    key, at, lo, hi = (rows.column(c).to_numpy() for c in ("key", "at", "lo", "hi"))
+    before, after = (np.frombuffer(b"".join(rows.column(c).to_pylist()), ">u8").reshape(len(key), rest).astype(np.uint64)
+                     for c in ("before", "after"))
+    docs = pd.DataFrame({"id": rows.column("id").to_pandas(), "tag": rows.column("tag").to_pandas()})
+    # documents by their order
+    doc = docs.groupby(["id", "tag"], sort=True).ngroup().to_numpy()
+    names = docs.assign(doc=doc).drop_duplicates("doc").set_index("doc").sort_index()
+    ends = []
+    for side in (before, after):
+        order = np.lexsort((*side.T[::-1], key))          # suffix order within the head
+        ends.append((order, _common(order, key, side)))
+    parts = []
+    for left in range(rest + 1):
+        group = np.empty((2, len(key)), np.int64)
+        for row, (order, common), words in zip(group, ends, (left, rest - left), strict=True):
+            row[order] = np.cumsum(common < words)
+        here = np.flatnonzero((lo <= at - left) & (at - left <= hi))
+        if len(here) < 2:
+            continue
+        place = group[0, here] * (len(key) + 1) + group[1, here]
+        order = np.lexsort((doc[here], place))
+        here, place = here[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        last = np.append(first[1:], len(place)) - 1
+        least = doc[here[first]]
+        many = least != doc[here[last]]
+        size = np.diff(np.append(first, len(place)))
+        rows_ = np.repeat(many, size)
+        parts.append((here[rows_], (at[here] - left)[rows_], np.repeat(least, size)[rows_]))
+    if not parts:
+        return pa.table({})
+    which, start, least = (np.concatenate(c) for c in zip(*parts, strict=True))
+    mine = doc[which]
+    order = np.lexsort((start, least, mine))
+    mine, least, start = mine[order], least[order], start[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(mine)), bool), (mine[1:] != mine[:-1]) | (least[1:] != least[:-1]))))
+    ids, tags = rows.column("id").type, pa.int32()
+    return pa.table({
+        "id": pa.array(names["id"].to_numpy()[mine[new]], ids), "tag": pa.array(names["tag"].to_numpy()[mine[new]], tags),
+        "starts": pa.ListArray.from_arrays(pa.array(np.append(new, len(mine)), pa.int32()), pa.array(start.astype(np.int32))),
+        "first": pa.array(names["id"].to_numpy()[least[new]], ids), "keep": pa.array(mine[new] == least[new])})
+
+
+def _extended(contexts: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """Repeated places from the occurrences, head by head, many heads at a time."""
+    names = ["id", "tag", "starts", "first", "keep"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def give(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            out = extend(table.combine_chunks(), min_words) if table.num_rows else table
+            if table.num_rows and "id" in out.column_names:
+                yield from out.select(names).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))           # the last head may go on
+                yield from give(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield from give(pa.Table.from_batches(held))
+
+    return (contexts.repartition("key").sortWithinPartitions("key", "after")
+            .mapInArrow(run, f"id {kind}, tag int, starts array<int>, first {kind}, keep boolean"))
+
+
 def _pairs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     """One 64-bit value per (document of the slice, key)."""
     return key ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -199,17 +337,24 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
               .select("id", tag, "n", "first", (F.col("id") == F.col("first")).alias("keep")).distinct())
     shared = scratch(_shared_suffixes(found.filter("key IS NOT NULL").select("key", "th", "id"), kind),
                      "shared-suffixes")
-    per_doc = shared.groupBy("id", "th").agg(F.collect_list("key").alias("keys"))
+    hot = shared.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    per_doc = (shared.join(hot, "key", "left").groupBy("id", "th")
+               .agg(*(F.collect_list(F.when(F.col("hot").isNull() == cold, F.col("key"))).alias(name)
+                      for name, cold in (("keys", True), ("hot", False)))))
     # rows that share doc_id and text are one document
-    texts = src.drop("th2").join(per_doc, ["id", "th"]).withColumn("tag", tag)
-    windows = scratch(_windows(texts.select("id", "tag", "text", "keys"), kind, min_words), "windows")
+    texts = scratch(src.drop("th2").join(per_doc, ["id", "th"]).withColumn("tag", tag), "shared-texts")
+    places = scratch(_extended(_contexts(texts.filter(F.size("keys") > 0).select("id", "tag", "text", "keys"), kind,
+                                         min_words), kind, min_words), "places")
+    hot_texts = texts.filter(F.size("hot") > 0).select("id", "tag", "text", F.col("hot").alias("keys"))
+    windows = scratch(_windows(hot_texts, kind, min_words), "windows")
     firsts = scratch(windows.groupBy("a", "b")
                      .agg(F.min(F.struct("id", "tag")).alias("f"), F.max(F.struct("id", "tag")).alias("l"))
                      .filter("f < l").select("a", "b", F.col("f.id").alias("first"), F.col("f.tag").alias("ftag")),
                      "first-windows")
-    return (windows.join(firsts, ["a", "b"])
-            .select("id", "tag", "starts", "first",
-                    ((F.col("id") == F.col("first")) & (F.col("tag") == F.col("ftag"))).alias("keep")), copies)
+    by_hash = windows.join(firsts, ["a", "b"]).select(
+        "id", "tag", "starts", "first",
+        ((F.col("id") == F.col("first")) & (F.col("tag") == F.col("ftag"))).alias("keep"))
+    return places.unionByName(by_hash), copies
 
 
 def _merged(windows: DataFrame, copies: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
