@@ -202,12 +202,13 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str,
 
 
 def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lookback: int = 3,
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, sum_value: str | None = None) -> DataFrame:
     """Per-key history of ``value`` over earlier rows, safe for a hot key.
 
     Adds ``prev_sum``/``prev_count`` (sum and count of non-null values on all
     earlier rows of the key, in ``order_cols`` order) and ``prev_max`` (maximum
-    over the ``lookback`` immediately preceding rows). Equivalent to
+    over the ``lookback`` immediately preceding rows). ``sum_value`` is another column to
+    add up; a decimal one gives exact sums, whatever the partitions. Equivalent to
     ``Window.partitionBy(key).orderBy(order)`` frames, but the rows are range
     partitioned on (key, order) so a key holding a third of the data is spread
     over many tasks. Only the first and last key of each partition can continue
@@ -221,7 +222,7 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
     order = [F.col(c) for c in order_cols]
     tagged = reliable_checkpoint(
         df.repartitionByRange(n, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
-    v = F.col(value)
+    v, add = F.col(value), F.col(sum_value or value)
     w = Window.partitionBy("_part", key).orderBy(*order)
 
     # <= 1 row per partition: its first and last key (a NULL key sorts first)
@@ -230,10 +231,10 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
     edge = (tagged.join(bounds, "_part")
             .where(k.eqNullSafe(F.col("_kmin")) | k.eqNullSafe(F.col("_kmax"))))
     # <= 2 rows per partition: sums of the edge slices, then exclusive offsets
-    slices = edge.groupBy("_part", key).agg(F.sum(v).alias("_ts"), F.count(v).alias("_tc"))
+    slices = edge.groupBy("_part", key).agg(F.sum(add).alias("_ts"), F.count(add).alias("_tc"))
     prior = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("_part", key,
-                            F.coalesce(F.sum("_ts").over(prior), F.lit(0.0)).alias("_os"),
+                            F.coalesce(F.sum("_ts").over(prior), F.lit(0)).alias("_os"),
                             F.coalesce(F.sum("_tc").over(prior), F.lit(0)).alias("_oc"))
     # <= 2 * lookback rows per partition: first rows of the first key, last rows of the last key
     up = F.row_number().over(w)
@@ -248,14 +249,14 @@ def keyed_history(df: DataFrame, key: str, order_cols: list[str], value: str, lo
 
     local = tagged.select(
         "*",
-        F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        F.coalesce(F.sum(add).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
          .alias("_ls"),
-        F.count(v).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lc"),
+        F.count(add).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lc"),
         F.max(v).over(w.rowsBetween(-lookback, -1)).alias("_lm"))
     out = join_null_safe(local, F.broadcast(offsets), ["_part", key], "left")
     out = join_null_safe(out, F.broadcast(fixes), [key, *order_cols], "left")
     return out.select(
         *df.columns,
-        (F.col("_ls") + F.coalesce(F.col("_os"), F.lit(0.0))).alias("prev_sum"),
+        (F.col("_ls") + F.coalesce(F.col("_os"), F.lit(0))).alias("prev_sum"),
         (F.col("_lc") + F.coalesce(F.col("_oc"), F.lit(0))).alias("prev_count"),
         F.when(F.col("_fixed"), F.col("_fm")).otherwise(F.col("_lm")).alias("prev_max"))

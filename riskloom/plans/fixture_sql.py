@@ -23,7 +23,7 @@ h AS (
     CASE WHEN mi < 360 OR mi >= 1320 THEN 'Yes' ELSE 'No' END AS unu,
     CASE WHEN k % 11 = 0 THEN k % 4 ELSE 0 END AS failed,
     CASE WHEN cust % 9 = 0 THEN 1 + cust % 3 ELSE 0 END AS pf,
-    sum(amt) OVER w / count(amt) OVER w AS av,
+    CAST(sum(CAST(amt AS DECIMAL(18,4))) OVER w AS DOUBLE) / count(amt) OVER w AS av,
     max(amt) OVER (PARTITION BY cust ORDER BY d, k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mx
   FROM g WINDOW w AS (PARTITION BY cust ORDER BY d, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT k AS Transaction_ID, cust AS Customer_ID, amt AS Transaction_Amount,

@@ -106,7 +106,7 @@ def q_stream_repeats(spark, sf_dir):
 def q_model_scores(spark, sf_dir):
     """The published logistic candidate, fitted and then serving every accepted request, as a
     batch and as a stream."""
-    t = R.txh(spark, sf_dir)
+    t = R.txh_stored(spark, sf_dir)
     fitted = M.train_all(t, M.TrainConfig(models=(M.LR,), cv_folds=0))
     fn = M.model_probability(fitted.prep, fitted.models[M.LR])
     cities = fixture_cities(spark, sf_dir)

@@ -110,7 +110,9 @@ def fixture_transactions(spark: SparkSession, sf_dir: str, history: bool = True)
     # ``history=False`` omits the two columns (and their checkpointed pass) for
     # consumers that do not read them; using them then fails at analysis time.
     if history:
-        g = keyed_history(g, "cust", ["d", "k"], "amt", lookback=3)
+        # quarters of cents are exact decimals: the average does not depend on the order of a sum
+        g = keyed_history(g.withColumn("exact", F.col("amt").cast("decimal(18,4)")), "cust", ["d", "k"], "amt",
+                          lookback=3, sum_value="exact")
     cust = F.col("cust")
     intl = F.when(F.col("hr") != F.col("lr"), "Yes").otherwise("No")
     newm = F.when(k % 4 == 1, "Yes").otherwise("No")
@@ -122,7 +124,7 @@ def fixture_transactions(spark: SparkSession, sf_dir: str, history: bool = True)
         F.when(cust % 9 == 0, 1 + cust % 3).otherwise(F.lit(0).cast("bigint")).alias("pf"),
     )
     if history:
-        h = h.select("*", F.when(F.col("prev_count") > 0, F.col("prev_sum") / F.col("prev_count"))
+        h = h.select("*", F.when(F.col("prev_count") > 0, F.col("prev_sum").cast("double") / F.col("prev_count"))
                      .alias("av"), F.col("prev_max").alias("mx"))
 
     mi = F.col("mi")

@@ -68,3 +68,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["dimension", "value", "total", "fraud", "fraud_rate"]
+
+
+@pytest.mark.parametrize("missing", ["riskloom.llm.registry", "corpus_pipeline"])
+def test_optional_queries_are_left_out_with_a_reason(monkeypatch, missing):
+    import importlib
+    import sys
+    monkeypatch.setitem(sys.modules, missing, None)          # importing it fails
+    try:
+        with pytest.warns(UserWarning, match="left out"):
+            importlib.reload(E)
+        assert set(registry.QUERIES) <= set(E.queries()) and "pipeline" not in E.queries()
+    finally:
+        monkeypatch.undo()
+        importlib.reload(E)
