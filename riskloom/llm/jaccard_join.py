@@ -17,8 +17,10 @@ the rest of the work sees one representative (smallest doc_id) per class.
    prefixes of a document follow the data. A prefix of d symbols adds
    -log(1 - similarity ** d); the choice does not look at where a partner is: a node
    counts towards the recall only if it stays small with one more member.
-3. A matched node holds all documents that share its prefix. Nodes with the same
-   members, or whose members all lie in one larger node, are dropped. Nodes of more
+3. A matched node holds all documents that share its prefix. Of nodes with the same
+   members one stays; a node whose members all lie in one larger node goes; one that
+   shares most members with a larger node of at most twice its size joins it, so that
+   a crowd is verified once and not in every tree. Nodes of more
    than ``BLOCK`` members are split into blocks, and each pair of blocks is one bounded
    unit of work.
 4. A unit verifies its pairs exactly by counting common shingles (a product of
@@ -76,9 +78,10 @@ def shorten(sizes: np.ndarray, threshold: float, recall: float) -> np.ndarray:
     crowded = sizes >= CROWD
     depths = np.arange(MAX_DEPTH, TOP, -1)
     enough = crowded.sum(1)[:, None] * gain(threshold, depths)[None, :] >= left[:, None]
-    # the longest that is enough, else the shortest one of a crowd
+    # the longest that is enough, else the shortest one of a crowd; no more trees than it needs
     depth = np.where(enough.any(1), depths[enough.argmax(1)], TOP)
-    return np.where(crowded & (left > 0)[:, None], depth[:, None], out)
+    needed = (np.cumsum(crowded, axis=1) - 1) * gain(threshold, depth)[:, None] < left[:, None]
+    return np.where(crowded & needed & (left > 0)[:, None], depth[:, None], out)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -208,12 +211,21 @@ def _nodes(matched: DataFrame) -> DataFrame:
     # one node per set of members
     single = scratch(sizes.groupBy("size", "who").agg(F.min("node").alias("node")).select("node", "size"), "nodes")
     members = scratch(members.drop("seeks").join(single, "node"), "members")
-    # a node whose members all have the same other node as their largest lies inside it
+    # every member votes for its largest node
     largest = members.groupBy("id").agg(F.max(F.struct("size", "node")).alias("top"))
-    inside = (members.join(largest, "id").groupBy("node")
-              .agg(F.min("top.node").alias("lo"), F.max("top.node").alias("hi"))
-              .filter("lo = hi AND lo != node").select("node"))
-    return members.join(inside, "node", "left_anti")
+    votes = (members.join(largest, "id").groupBy("node", "size", F.col("top.node").alias("into"),
+                                                 F.col("top.size").alias("whole")).agg(F.count("*").alias("n")))
+    best = scratch(votes.groupBy("node", "size").agg(F.max(F.struct("n", "into", "whole")).alias("v"))
+                   .select("node", "size", "v.*"), "votes")
+    roots = best.filter("into = node").select(F.col("node").alias("into"))
+    inside = best.filter("n = size AND into != node").select("node")
+    # the nodes of one crowd in different trees are one node: its pairs are verified once
+    merged = best.filter("n < size AND into != node AND 2 * n >= size AND 2 * size >= whole").join(roots, "into")
+    moved = merged.select(F.col("node"), F.col("into"))
+    members = (members.select("node", "id").join(inside, "node", "left_anti").join(moved, "node", "left")
+               .select(F.coalesce("into", "node").alias("node"), "id").distinct())
+    members = scratch(members, "merged-members")
+    return members.join(members.groupBy("node").agg(F.count("*").alias("size")), "node")
 
 
 def _verify(kind: str, num: int, den: int):
