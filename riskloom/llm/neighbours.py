@@ -16,8 +16,10 @@ query, which are merged in a last aggregation.
 Defined results: vectors that are null, empty, all zero or hold null or
 non-finite components take no part, as rows with a null id; vectors of another
 length than the most frequent take no part; equal distances rank by smaller id;
-of rows that share an id each stands for itself as candidate and the smallest
-vector asks; an empty table gives no rows; other columns are ignored.
+rows that share an id each stand for themselves, as candidates and as queries (whose
+answers then share query_id); components of any finite size are compared (a distance
+beyond the largest double is infinite); an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -200,24 +202,44 @@ def fit_router(vectors: DataFrame, dim: int, sample: int = SAMPLE, parts: int =
     return Router.fit(np.unique(x, axis=0), parts, recall)
 
 
-def nearest(q: np.ndarray, v: np.ndarray, q_id: np.ndarray, v_id: np.ndarray, k: int):
-    """(query row, vector row, distance) of the k nearest of each query, ties by id.
-
-    The product form only preselects (with room for rounding); distances and order
-    come from the differences themselves.
+def distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances, also where squares leave the range of doubles."""
+    with np.errstate(over="ignore"):
+        away = np.abs(rows - q)
+        d = np.sqrt((away ** 2).sum(1))
+    odd = np.flatnonzero(~((d > 1e-140) & (d < 1e140)))
+    if len(odd):
+        top = away[odd].max(1)
+        some = np.isfinite(top) & (top > 0)
+        d[odd] = top
+        part = away[odd[some]] / top[some][:, None]
+        with np.errstate(over="ignore"):
+            d[odd[some]] = np.sqrt((part ** 2).sum(1)) * top[some]
+    return d
+
+
+def nearest(q: np.ndarray, v: np.ndarray, q_row: np.ndarray, v_row: np.ndarray, v_id: np.ndarray, k: int):
+    """(query, vector, distance) of the k nearest of each query but its own row, ties by id.
+
+    The product form only preselects, on vectors scaled by their largest component and
+    with room for the rounding of each pair; distances and order come from the
+    differences themselves.
     """
     out = []
-    vv = (v * v).sum(1)
+    scale = max(np.abs(v).max(initial=0), np.abs(q).max(initial=0), 1e-300)
+    small = v / scale
+    vv = (small * small).sum(1)
     for a in range(0, len(q), 256):
-        part = q[a:a + 256]
-        approx = vv[None, :] + (part * part).sum(1)[:, None] - 2 * (part @ v.T)
-        own = q_id[a:a + 256][:, None] == v_id[None, :]
+        part = q[a:a + 256] / scale
+        both = vv[None, :] + (part * part).sum(1)[:, None]
+        approx, room = both - 2 * (part @ small.T), 1e-9 * both
+        own = q_row[a:a + 256][:, None] == v_row[None, :]
         approx[own] = np.inf
-        kth = np.partition(approx, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
-        room = 1e-9 * (vv.max() + (part * part).sum(1))
+        n = min(k, len(v)) - 1
+        kth = np.partition(approx + room, n, axis=1)[:, n]
         for i in range(len(part)):
-            rows = np.flatnonzero((approx[i] <= kth[i] + room[i]) & ~own[i])
-            d = np.sqrt(((v[rows] - part[i]) ** 2).sum(1))
+            rows = np.flatnonzero((approx[i] - room[i] <= kth[i]) & ~own[i])
+            d = distances(v[rows], q[a + i])
             best = np.lexsort((v_id[rows], d))[:k]
             out.append((np.full(len(best), a + i), rows[best], d[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -233,12 +255,15 @@ def search(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id"
     ship(spark)
     valid, dim = _valid(vectors, id_col, vec_col)
     kind = valid.schema["id"].dataType.simpleString()
+    # every row has a number of its own: it tells a query from the candidates
+    valid = scratch(valid.withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
     router = fit_router(valid, dim, sample, parts, recall)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = router.part_of(_matrix(batch.column("vec"), dim)) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["id", "vec", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))],
+                                             ["id", "vec", "row", "part"])
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,17 +271,16 @@ def search(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id"
                 row, part = np.nonzero(router.routes(_matrix(batch.column("vec"), dim)))
                 yield pa.RecordBatch.from_arrays(
                     [*(c.take(pa.array(row)) for c in batch.columns), pa.array(part.astype(np.int32))],
-                    ["id", "vec", "part"])
+                    ["id", "vec", "row", "part"])
 
-    schema = f"id {kind}, vec array<double>, part int"
+    schema = f"id {kind}, vec array<double>, row long, part int"
     members = scratch(valid.mapInArrow(index, schema), "ann-members")
-    asked = scratch(valid.filter(queries).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(route, schema),
-                    "ann-queries")
+    asked = scratch(valid.filter(queries).mapInArrow(route, schema), "ann-queries")
     # one row per part
     blocks = (members.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vbs"))
               .join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qbs")), "part"))
     blocks = F.broadcast(blocks)
-    salt = F.xxhash64("id", "vec")
+    salt = F.xxhash64("row")
     left = (members.join(blocks, "part").withColumn("vb", F.pmod(salt, "vbs").cast("int"))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1))).drop("vbs", "qbs"))
     right = (asked.join(blocks, "part").withColumn("qb", F.pmod(salt, "qbs").cast("int"))
@@ -264,15 +288,17 @@ def search(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id"
 
     def rank(v: pa.Table, q: pa.Table) -> pa.Table:
         if not v.num_rows or not q.num_rows:
-            empty = pa.array([], q.schema.field("id").type)
-            return pa.table({"query_id": empty, "vec_id": empty, "score": pa.array([], pa.float64())})
+            empty, rows = pa.array([], q.schema.field("id").type), pa.array([], pa.int64())
+            return pa.table({"query_row": rows, "query_id": empty, "vec_id": empty, "score": pa.array([], pa.float64())})
         q_id, v_id = q.column("id").to_numpy(), v.column("id").to_numpy()
-        a, b, d = nearest(_matrix(q.column("vec"), dim), _matrix(v.column("vec"), dim), q_id, v_id, k)
-        return pa.table({"query_id": pa.array(q_id[a]), "vec_id": pa.array(v_id[b]), "score": pa.array(d)})
+        q_row, v_row = q.column("row").to_numpy(), v.column("row").to_numpy()
+        a, b, d = nearest(_matrix(q.column("vec"), dim), _matrix(v.column("vec"), dim), q_row, v_row, v_id, k)
+        return pa.table({"query_row": pa.array(q_row[a]), "query_id": pa.array(q_id[a]), "vec_id": pa.array(v_id[b]),
+                         "score": pa.array(d)})
 
     key = ["part", "vb", "qb"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-        rank, f"query_id {kind}, vec_id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        rank, f"query_row long, query_id {kind}, vec_id {kind}, score double")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

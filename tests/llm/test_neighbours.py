@@ -77,8 +77,25 @@ def test_odd_vectors(spark):
             (300, None, 0), (400, [nan, 1.0], 0), (500, [inf, 1.0], 0), (600, [None, 1.0], 0), (700, [], 0),
             (None, [1.0, 0.0], 0), (800, [1.0, 2.0, 3.0], 0), (3, [1.0, 0.0], None), (0, [5.0, 5.0], 1)]
     df = spark.createDataFrame(rows, KIND).selectExpr("*", "1 AS part", "2 AS rank")
-    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in
-           N.search(df, "id % 100 = 0").orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 3, 0.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 100, 1.414214), (100, 1, 1, 1.0),
-                   (100, 2, 2, 1.0), (100, 3, 0, 1.414214), (100, 4, 3, 1.414214), (100, 5, 0, 6.403124)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in N.search(df, "id % 100 = 0").collect())
+    # every row asks, also the two that share the id 0, and is a candidate of the other
+    first = [(3, 0.0), (1, 1.0), (2, 1.0), (100, 1.414214), (0, 6.403124)]
+    second = [(1, 5.656854), (2, 5.656854), (0, 6.403124), (3, 6.403124), (100, 6.403124)]
+    third = [(1, 1.0), (2, 1.0), (0, 1.414214), (3, 1.414214), (0, 6.403124)]
+    assert got == sorted((q, n + 1, v, d) for q, rows in ((0, first), (0, second), (100, third))
+                         for n, (v, d) in enumerate(rows))
     assert N.search(df.limit(0), "id % 100 = 0").count() == 0
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e150, 0.0]), (1, [2e150, 0.0]), (2, [1e160, 1e160]), (3, [1e-170, 2e-170]), (4, [3e-170, 0.0]),
+            (100, [1e-170, 0.0]), (5, [1.0, 1.0]), (6, [1.7e308, 0.0]), (200, [-1.7e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.search(df, "id % 100 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [v for v, _ in got[0]][:5] == [1, 3, 4, 5, 100] and [v for v, _ in got[100]][:3] == [3, 4, 5]
+    assert dict(got[0])[1] == pytest.approx(1e150) and dict(got[0])[2] == pytest.approx(np.hypot(1e160, 1e160))
+    assert dict(got[100])[3] == pytest.approx(2e-170) and dict(got[100])[4] == pytest.approx(2e-170)
+    assert got[200][-1] == (6, float("inf")) and len(got[200]) == 8
+    assert all(np.isfinite(s) for q in (0, 100) for v, s in got[q] if v not in (6, 200))
