@@ -20,7 +20,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel,
                                        RandomForestClassificationModel)
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,10 +78,10 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
 
     Two saves at the same moment may take the same number; the later run id is the newer.
     """
-    order = Window.orderBy(F.desc("complete"), F.desc("version"), F.desc("run"))     # a row per version
     rows = (_manifest(spark, path).groupBy("version", "run", "saved_at", "parts")
             .agg((F.count(F.lit(1)) == F.col("parts")).alias("complete")))
-    return rows.withColumn("newest", (F.row_number().over(order) == 1) & F.col("complete"))
+    last = rows.where("complete").agg(F.max(F.struct("version", "run")).alias("m")).first()["m"]
+    return rows.withColumn("newest", F.col("run") == F.lit(last["run"] if last else ""))
 
 
 def write_version(spark: SparkSession, path: str, tables: dict[str, DataFrame], models: dict | None = None,
