@@ -37,7 +37,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +46,7 @@ from .common import (NOT_SPACE, WORD_BASE, WORD_BASE_2, partitions, range_hash,
 
 MIN_WORDS, WINDOW, GRAM = 50, 32, 3
 #: Suffixes of one head that are extended in one task, and rows that a task sorts at once.
-HOT, ROWS = 1024, 20_000
+HOT, ROWS = 1024, 8192
 SLICE_BYTES = 2 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _HIGH = np.uint64(0xFFFFFFFF << 32)
@@ -245,10 +244,10 @@ def extend(rows: pa.Table, min_words: int) -> pa.Table:
     key, at, lo, hi = (rows.column(c).to_numpy() for c in ("key", "at", "lo", "hi"))
     before, after = (np.frombuffer(b"".join(rows.column(c).to_pylist()), ">u8").reshape(len(key), rest).astype(np.uint64)
                      for c in ("before", "after"))
-    docs = pd.DataFrame({"id": rows.column("id").to_pandas(), "tag": rows.column("tag").to_pandas()})
-    # documents by their order
-    doc = docs.groupby(["id", "tag"], sort=True).ngroup().to_numpy()
-    names = docs.assign(doc=doc).drop_duplicates("doc").set_index("doc").sort_index()
+    # documents by their order: id, then tag
+    ids, tags = (rows.column(c).to_numpy() for c in ("id", "tag"))
+    number = np.unique(ids, return_inverse=True)[1]
+    _, one, doc = np.unique(number * (1 << 32) + tags, return_index=True, return_inverse=True)
     ends = []
     for side in (before, after):
         order = np.lexsort((*side.T[::-1], key))          # suffix order within the head
@@ -278,11 +277,11 @@ def extend(rows: pa.Table, min_words: int) -> pa.Table:
     order = np.lexsort((start, least, mine))
     mine, least, start = mine[order], least[order], start[order]
     new = np.flatnonzero(np.concatenate((np.ones(min(1, len(mine)), bool), (mine[1:] != mine[:-1]) | (least[1:] != least[:-1]))))
-    ids, tags = rows.column("id").type, pa.int32()
+    kind = rows.column("id").type
     return pa.table({
-        "id": pa.array(names["id"].to_numpy()[mine[new]], ids), "tag": pa.array(names["tag"].to_numpy()[mine[new]], tags),
+        "id": pa.array(ids[one[mine[new]]], kind), "tag": pa.array(tags[one[mine[new]]], pa.int32()),
         "starts": pa.ListArray.from_arrays(pa.array(np.append(new, len(mine)), pa.int32()), pa.array(start.astype(np.int32))),
-        "first": pa.array(names["id"].to_numpy()[least[new]], ids), "keep": pa.array(mine[new] == least[new])})
+        "first": pa.array(ids[one[least[new]]], kind), "keep": pa.array(mine[new] == least[new])})
 
 
 def _extended(contexts: DataFrame, kind: str, min_words: int) -> DataFrame:
