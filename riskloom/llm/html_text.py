@@ -268,19 +268,21 @@ def path_scores(found: list) -> dict[tuple, float]:
     """Smoothed ratio of every path of the blocks."""
     totals: dict[tuple, list] = {}
     for path, _, text, linked, _ in found:
-        for d in range(len(path) + 1):
-            _add(totals.setdefault((path[:d], d == len(path)), [0, 0, 0, 0]), text, linked)
+        _add(totals.setdefault(path, [0, 0, 0, 0]), text, linked)
     under: dict[tuple, list] = {}
-    for (path, _), row in totals.items():
-        under[path] = [x + y for x, y in zip(under.get(path, [0, 0, 0, 0]), row, strict=True)]
+    for path, row in totals.items():
+        for d in range(len(path)):
+            under[path[:d]] = [x + y for x, y in zip(under.get(path[:d], [0, 0, 0, 0]), row, strict=True)]
+    for path, row in totals.items():        # blocks of the path itself are under its ancestors' paths only once
+        if path in under:
+            under[path] = [x + y for x, y in zip(under[path], row, strict=True)]
     ratios = {path: _ratio(*row) for path, row in under.items()}
     out = {}
-    for path, own in totals:
-        if own:
-            parts = [_ratio(*totals[path, True]), *(ratios[path[:d]] for d in range(len(path) - 1, -1, -1))]
-            weights = [PARENT ** i for i in range(len(parts))]
-            smooth = sum(map(float.__mul__, weights, parts)) / sum(weights)
-            out[path] = smooth * (1.0 if _names(path).isdisjoint(("article", "main")) else MARK)
+    for path, row in totals.items():
+        parts = [_ratio(*row), *(ratios[path[:d]] for d in range(len(path) - 1, -1, -1))]
+        weights = [PARENT ** i for i in range(len(parts))]
+        smooth = sum(map(float.__mul__, weights, parts)) / sum(weights)
+        out[path] = smooth * (1.0 if _names(path).isdisjoint(("article", "main")) else MARK)
     return out
 
 

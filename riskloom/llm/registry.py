@@ -105,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_files, op2_suffix_dedup, op3_url_filter, op4_html_text, op5_decontaminate, op6_chunk_bpe,
         op7_neighbours, op8_quality, op9_jaccard_join, op10_token_counts, op11_whitening,
         op12_language_id, op13_resampling)}
-#: None of these can be written as SQL; each is tested against a brute-force version.
+#: No query's columns are all SQL (tokens, hashes of ids, learned scores, eigenvectors, crc32); each is
+#: tested against a brute-force version.
 ORACLES: dict[str, str] = {}

@@ -41,7 +41,7 @@ def best_rule(host_col: Column, path_col: Column, rules: list[tuple[str, str]])
     """(rule, verdict) of the longest fitting rule, null if none fits.
 
     ``rules`` are (verdict, host/path) pairs; the list is part of the query. Of
-    equally long rules the first wins.
+    equally long rules the last wins.
     """
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, text in sorted(rules, key=lambda r: len(r[1])):
