@@ -233,9 +233,13 @@ def _verify(kind: str, num: int, den: int):
     columns = ["id", "n_links", "least"]
 
     def run(table: pa.Table) -> pa.Table:
-        pdf = table.select(["id", "block", "weight", "lo", "hi", "node"]).to_pandas()
-        sets = table.column("shingles").combine_chunks()
-        n = len(pdf)
+        packed = table.column("members").combine_chunks()
+        block = np.repeat(table.column("block").to_numpy(), np.diff(packed.offsets.to_numpy()))
+        node, lo, hi = (table.column(c)[0].as_py() for c in ("node", "lo", "hi"))
+        flat = packed.flatten()
+        ids, weight = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "weight"))
+        sets, nodes = flat.field("shingles"), flat.field("nodes")
+        n = len(ids)
         size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
         values, row = sets.flatten().to_numpy(), np.repeat(np.arange(n), size)
         # shingles of one member only cannot be common
@@ -254,12 +258,9 @@ def _verify(kind: str, num: int, den: int):
         # similarity >= num/den  <=>  (num + den) * common >= num * (size + size)
         linked = (num + den) * common.astype(np.int64) >= num * (size[:, None] + size[None, :])
         np.fill_diagonal(linked, False)
-        block = pdf["block"].to_numpy()
-        if pdf["lo"].iat[0] != pdf["hi"].iat[0]:
+        if lo != hi:
             linked &= block[:, None] != block[None, :]
         # a pair in several nodes counts in the smallest of them
-        node = pdf["node"].iat[0]
-        nodes = table.column("nodes").combine_chunks()
         other, who = nodes.flatten().to_numpy(), np.repeat(np.arange(n), np.diff(nodes.offsets.to_numpy()))
         early = other < node
         if early.any():
@@ -267,8 +268,6 @@ def _verify(kind: str, num: int, den: int):
             member = np.zeros((n, number.max() + 1), np.float32)
             member[who[early], number] = 1
             linked &= member @ member.T == 0
-        weight = pdf["weight"].to_numpy()
-        ids = pdf["id"].to_numpy()
         least = ids.copy()
         while True:  # local components: smallest linked id, until nothing changes
             new = np.minimum(least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(axis=1))
@@ -310,11 +309,13 @@ def links(docs: DataFrame, threshold: tuple[int, int] = (4, 5), k: int = SHINGLE
     sets = scratch(sets.dropDuplicates(["fp1"]), "sets")
     parts = members.withColumn("parts", F.ceil(F.col("size") / BLOCK)).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("parts")))
-    units = parts.select("node", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).select(
-        "node", "id", "block", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"))
+    # every member meets its set once; a unit gets whole blocks, one row each
+    blocks = (parts.join(sets.withColumnRenamed("fp1", "id"), "id").groupBy("node", "parts", "block")
+              .agg(F.collect_list(F.struct("id", "weight", "nodes", "shingles")).alias("members")))
+    units = (blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("node", "block", "members", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi")))
     run, schema = _verify("long", num, den)
-    found = scratch(units.join(sets.withColumnRenamed("fp1", "id"), "id")
-                    .groupBy("node", "lo", "hi").applyInArrow(run, schema), "links")
+    found = scratch(units.groupBy("node", "lo", "hi").applyInArrow(run, schema), "links")
     class_links = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     # components over documents: links between representatives, and members of classes
     names = classes.select(F.col("fp1").alias("id"), "rep")

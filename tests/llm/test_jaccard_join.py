@@ -182,3 +182,29 @@ def test_rows_that_share_an_id_are_kept_by_content(spark):
     rows = [(1, f"text number {i} of this id with its own words {i}", "en", "s", i) for i in range(12)]
     kept = [J.drop_near_copies(spark.createDataFrame(rows, DOCS).repartition(n)).collect() for n in (1, 3, 7)]
     assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
+def test_a_unit_gets_whole_blocks(spark, monkeypatch):
+    """A crowd of many blocks: no row per member and block, and the links of all pairs of blocks."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    verify = J._verify
+
+    def counted(kind, num, den):
+        run, schema = verify(kind, num, den)
+
+        def few(table):
+            assert table.num_rows <= 2, "a row for every member of a unit"
+            return run(table)
+
+        return few, schema
+
+    monkeypatch.setattr(J, "_verify", counted)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    found = J.links(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in found} == {i: n for i, (_, n) in brute(docs).items()}
