@@ -118,3 +118,16 @@ def test_scenarios_take_the_cheapest_threshold(spark):
     assert got["free"].threshold == 0.9 and got["free"].total == 0.0          # last on ties
     assert got["none"].total is None
     assert IM.cheapest_thresholds(sweep.limit(0), sc, 60).count() == 0
+
+
+def test_only_the_line_is_exchanged_for_repeats(spark, monkeypatch):
+    parse, seen = ST.parse_requests, []
+    monkeypatch.setattr(ST, "parse_requests", lambda lines: (seen.append(lines.columns), parse(lines))[1])
+    src, sink, bad = (shared_path(spark, n) for n in ("line-src", "line-sink", "line-bad"))
+    spark.createDataFrame([('{"request_id": "1"}',), ('{"request_id": "1"}',)], "value string").write.text(src)
+    cities = spark.createDataFrame([("a", "b", 0.0, 0.0)], "city string, country string, lat double, lon double")
+    queries, _, _ = ST.start_scoring_stream(spark, src, cities, R.surrogate_probability, 0.35, sink_dir=sink,
+                                            quarantine_dir=bad, repeat_window="10 minutes")
+    queries[0].awaitTermination()
+    assert seen == [["value"]]
+    assert [r.request_id for r in spark.read.parquet(bad).collect()] == ["1"]
