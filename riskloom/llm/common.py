@@ -66,7 +66,9 @@ def partitions(df: DataFrame) -> int:
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches by rows so that ``column`` holds about ``max_bytes`` each.
 
-    A row larger than the bound is a slice of its own: texts stay whole.
+    A row larger than the bound is a slice of its own: texts stay whole. Arrow's free
+    memory goes back to the system after each batch, not into the next stage: an
+    executor's idle workers count towards its memory.
     """
     for batch in batches:
         if batch.num_rows == 0:
@@ -78,6 +80,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> It
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

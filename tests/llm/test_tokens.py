@@ -142,3 +142,25 @@ def test_empty_tables(spark, tmp_path):
     assert chunk_bpe.encode_digests(df, WORD).count() == 0
     token_files.write_ids(df, str(tmp_path / "none"), WORD)
     assert token_files.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_free_arrow_memory_is_given_back_after_each_batch(monkeypatch):
+    """Idle workers keep what the pool keeps: the next stages' tasks then lack it."""
+    from riskloom.llm import common
+
+    given = []
+    pool = type("Pool", (), {"release_unused": lambda self: given.append(1)})()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    batches = [pa.RecordBatch.from_pydict({"text": ["a b", "c"] * 3}) for _ in range(3)]
+    assert sum(p.num_rows for p in common.slices(batches, "text", 4)) == 18
+    assert len(given) == 3
+
+
+def test_a_coder_slice_holds_few_ids_at_once():
+    """Ids of a slice are Python objects for a while: the slice bounds them, not the batch."""
+    from riskloom.llm.common import slices
+
+    text = "word " * 200_000                                  # 1 MB
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 12})
+    parts = [p.num_rows for p in slices([batch], "text", chunk_bpe.SLICE_BYTES)]
+    assert sum(parts) == 12 and max(parts) <= 4
