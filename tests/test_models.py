@@ -1,6 +1,7 @@
 """Training, selection, artifacts and model scoring on a small configuration."""
 import dataclasses
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from riskloom.operators import explain as XP
@@ -107,3 +108,18 @@ def test_tree_attribution_explains_every_test_row(spark, monkeypatch):
     rows = R.q_tree_attribution(spark, sf).groupBy("Transaction_ID").count().collect()
     assert {r.Transaction_ID for r in rows} == want and len(want) > 200
     assert {r["count"] for r in rows} == {50}
+
+
+def test_linear_contributions_unpack_the_vector_once(spark):
+    """The bars are those of ``contributions``; the vector is not unpacked for every use of an element."""
+    names, coef, center = ["a", "b", "c"], [0.5, -2.0, 0.0], [1.0, 0.25, 3.0]
+    df = spark.createDataFrame([(1, Vectors.dense([2.0, 1.0, 5.0])), (2, Vectors.dense([-1.0, 0.25, 0.0]))],
+                               ["id", "features"])
+    rows = XP.with_linear_contributions(df, names, coef, center, lambda v: v + F.lit(0.0))
+    bars = rows.select("id", F.posexplode(XP.waterfall(F.col("contrib"), 2)).alias("pos", "w"))
+    old = F.transform(XP.contributions(F.col("features"), names, coef, center), lambda x: F.struct(
+        x["idx"].alias("idx"), x["feature"].alias("feature"), (x["value"] + F.lit(0.0)).alias("value")))
+    plain = df.select("id", F.posexplode(XP.waterfall(old, 2)).alias("pos", "w"))
+    assert bars.columns == plain.columns and sorted(map(str, bars.collect())) == sorted(map(str, plain.collect()))
+    unpacked = [x._jdf.queryExecution().optimizedPlan().toString().count("UDF(features") for x in (bars, plain)]
+    assert unpacked[0] == 1 and unpacked[1] > 1, unpacked
