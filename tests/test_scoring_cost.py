@@ -1,0 +1,91 @@
+"""The per-row steps of scoring: what they give, and that nothing in them is interpreted."""
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from riskloom.functions import selection as SEL
+from riskloom.operators import validate as VAL
+from riskloom.session import compiled_methods
+from riskloom.sources.requests import parse_requests
+
+
+def _optimised(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parse_checks_without_lambda(spark):
+    lines = spark.createDataFrame([('{"request_id": "1", "amount": "2.5", "failed": 1.0, "daily_tx": "x", "as_of": "?"}',),
+                                   ('{"request_id": "2", "amount": "NaN", "distance": "far", "failed": "1.5"}',),
+                                   ("no json",)], "value string")
+    df = parse_requests(lines)
+    assert "lambda" not in _optimised(df)
+    rows = {r["request_id"]: r for r in df.collect()}
+    assert (rows["1"]["amount"], rows["1"]["failed"], rows["1"]["bad_fields"]) == (2.5, 1, ["daily_tx", "as_of"])
+    assert (rows["2"]["amount"], rows["2"]["bad_fields"]) == (None, ["amount", "distance", "failed"])
+    assert rows[None]["bad_fields"] == [] and rows[None]["_corrupt_record"] == "no json"
+
+
+def test_errors_without_lambda(spark):
+    cities = spark.createDataFrame([("A", "X", 0.0, 0.0), ("B", "Y", 1.0, 1.0)],
+                                   "city string, country string, lat double, lon double")
+    good = dict(request_id="g", amount=1.0, balance=1.0, distance=1.0, tx_time="10:00", tx_type="Online",
+                merchant_cat="M", card_type="Credit", tx_location=" A", home_loc="A ", daily_tx=1, weekly_tx=1,
+                avg_amount=1.0, max_24h=1.0, failed=0, prev_fraud=0, is_intl="No", is_new="No", unusual="No\n")
+    bad = good | dict(request_id="b", amount=-1.0, tx_time=None, home_loc="B", daily_tx=0)
+    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long' if isinstance(v, int) else 'string'}"
+                       for k, v in good.items())
+    df = VAL.validate(spark.createDataFrame([tuple(r.values()) for r in (good, bad)], schema), cities, merchant_cats=["M"])
+    assert "lambda" not in _optimised(df)
+    rows = {r["request_id"]: r for r in df.collect()}
+    assert rows["g"]["valid"] and rows["g"]["errors"] == [] and rows["g"]["home_loc"] == "A"
+    assert not rows["b"]["valid"]
+    assert [(e["field"], e["message"]) for e in rows["b"]["errors"]] == [
+        ("tx_time", VAL.MSG_REQUIRED), ("is_intl", VAL.MSG_INTL_FORMAT % "Yes"), ("amount", VAL.MSG_NON_NEGATIVE),
+        ("daily_tx", VAL.MSG_COUNTS)]
+
+
+def test_strip_is_white_space_of_unicode(spark):
+    edge = "".join(map(chr, range(0x20))) + "\x85\xa0   ​    　﻿"
+    df = spark.createDataFrame([(f"{c}a{c}b{c}\n",) for c in edge] + [(None,), ("",)], "v string")
+    old = F.regexp_replace("v", "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    assert df.select(VAL.strip("v"), old.alias("o")).where("NOT v <=> o").count() == 0
+
+
+def test_selection_passes_over_its_cells_once_per_many_rows(monkeypatch):
+    """The counts of many small batches cost an array of cells per 65,536 values."""
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(SEL.np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    x = np.random.default_rng(1).normal(size=200_000)
+
+    class Data:
+        def mapInArrow(self, run, _):
+            self.out = list(run(pa.RecordBatch.from_pydict({"g": [""] * 1000, "c0": x[i:i + 1000]})
+                                for i in range(0, len(x), 1000)))
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, *_):
+            return self.out[0]
+    # the aggregate's column needs no session here
+    monkeypatch.setattr(SEL.F, "sum", lambda c: type("C", (), {"alias": lambda self, n: None})())
+    b = SEL._count(Data(), {0: ("", "c0", 0)}, 0)
+    cells = (SEL.ordered_keys(x) >> np.uint64(48)).astype(np.int64)
+    assert dict(zip(b["cell"].to_pylist(), b["n"].to_pylist())) == dict(zip(*map(list, map(np.ndarray.tolist, np.unique(cells, return_counts=True)))))
+    assert len(calls) <= 4
+
+
+def test_method_limit_is_set_once(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "65535")
+        compiled_methods(spark)
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "20000")
+        compiled_methods(spark)
+        assert spark.conf.get(key) == "20000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
