@@ -51,3 +51,25 @@ def test_stream_writes_json_responses(spark):
     assert set(d) >= {"risk_score", "risk_score_pct", "tier", "ml_probability", "decision_trace",
                       "flags", "model", "optimal_threshold"}
     assert d["model"] == "surrogate" and d["decision_trace"]["final_tier"] == d["tier"]
+
+
+def test_batches_and_request_ids_do_not_fill_the_heap(spark):
+    """A micro-batch is read from files, not from cached blocks; request ids are kept in RocksDB."""
+    from riskloom.session import shared_path
+    from riskloom.streaming import scoring as ST
+    src = shared_path(spark, "heap-requests")
+    spark.createDataFrame([('{"request_id": "1"}',), ('{"request_id": "2"}',), ('{"request_id": "1"}',)],
+                          "value string").write.text(src)
+    cities = spark.createDataFrame([("A", "X", 0.0, 0.0)], "city string, country string, lat double, lon double")
+    plans = []
+
+    def probability(txn):
+        plans.append(txn._jdf.queryExecution().withCachedData().toString())
+        return txn.withColumn("p", F.lit(0.5))
+    queries, _, bad = ST.start_scoring_stream(spark, src, cities, probability, 0.5, repeat_window="1 hour")
+    queries[0].awaitTermination()
+    assert sorted(r.request_id for r in spark.read.parquet(bad).collect()) == ["1", "2"]
+    assert plans and not any("InMemoryRelation" in p for p in plans)
+    metrics = [m for p in queries[0].recentProgress for s in p["stateOperators"] for m in s["customMetrics"]]
+    assert any(m.startswith("rocksdb") for m in metrics)
+    assert spark.conf.get(ST._STORE, ST._DEFAULT_STORE) == ST._DEFAULT_STORE
